@@ -6,21 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_scoring, mixing, ngram_join, substring_dedup
+from . import ann_search, language_id, license_scan, lm_scoring, mixing, ngram_join, secret_scan, sentencepiece_codec, substring_dedup, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k_query(_read(spark, sf_dir, "embeddings"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(_read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(_read(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.nearest_query(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded(_read(spark, sf_dir, "documents"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_query(_read(spark, sf_dir, "documents"))
 
@@ -30,10 +54,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_ngram_join": op3_ngram_join,
-    "op5_source_mixing": op5_source_mixing,
-    "op9_lm_scoring": op9_lm_scoring,
-    "op10_substring_dedup": op10_substring_dedup,
+    f.__name__: f
+    for f in (op1_topk_search, op2_language_id, op3_ngram_join, op4_license_scan, op5_source_mixing, op6_secret_scan, op7_ann_search, op8_sentencepiece, op9_lm_scoring, op10_substring_dedup)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_topk_search": topk_search.TOP_K_SQL}
