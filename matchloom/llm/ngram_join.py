@@ -21,7 +21,10 @@ have a filled segment in common.
 * A document whose shingles fill too few segments (rare for H > 1) is compared
   with all documents of its three bands instead, by an equi-join on the band.
 
-Candidates are verified exactly on the shingle sets.  In a group of documents
+Candidates first meet in parity sketches: each shingle flips one bit of a map
+about as long as the set, so two maps never differ in more bits than their sets
+do in shingles, and a pair whose maps differ in more than H bits is dropped for
+sure.  The rest are verified exactly on the shingle sets.  In a group of documents
 that share a segment, only pairs with its smallest member are verified first;
 pairs across what is then still separate are verified in a second round.  Groups
 of near copies thus cost one pair a member, and no link between separate
@@ -49,7 +52,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import GOLD, POLY, U, Words, buckets, by_bucket, cogrouped, components, flat, grouped, joined, mix, packed, runs, slot_filter, text_bytes, windows, written
+from .shared import GOLD, POLY, U, Words, buckets, by_bucket, cogrouped, components, flat, grouped, joined, mix, packed, runs, slot_filter, spread, text_bytes, windows, written
 
 SHINGLE = 5
 #: Bits of the map of common shingles, one document in how many it is taken from, and how often a sampled shingle is common.
@@ -57,7 +60,9 @@ COMMON_BITS, SAMPLE, COMMON = 22, 64, 3
 #: Segments gathered by a scan task before it sends them, and documents in one part of them.
 FLUSH, PART = 600_000, 32_000
 
-#: kind 0: segments (x: names and sizes of sets, y: places in it, the top bit for one that looks up, z and u: parts of keys); 1: documents (x: ids, y: sizes, z: sets); 2: sets that fill too few segments (x, y)
+#: Bits of the smallest and the largest parity sketch.
+SKETCH = (64, 1 << 16)
+#: kind 0: segments (x: names and sizes of sets, y: places in it, the top bit for one that looks up, z and u: parts of keys); 1: documents (x: ids, y: sizes, z: sets, u: sketches one after another); 2: sets that fill too few segments (x, y)
 SENT = "b int, kind int, x binary, y binary, z binary, u binary"
 #: kind 1 and 2 as before; 3: pairs (x, y); 4: groups (x: members, y: how many each has, z: which look up, u: sizes)
 FOUND = SENT
@@ -136,6 +141,34 @@ def vertices(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.where(count == 0, 0, v.astype(np.int64))
 
 
+def sketch_bytes(n: np.ndarray) -> np.ndarray:
+    """Bytes of the sketch of a set: a power of two of bits, at least as many as shingles within limits."""
+    return (np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH) >> 3).astype(np.int64)
+
+
+def sketches(sets: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Parity sketches, one after another."""
+    size = sketch_bytes(n) * 8
+    base = np.concatenate(([0], np.cumsum(size)))
+    doc = np.repeat(np.arange(len(n)), n)
+    place = base[doc] + ((sets >> U(8)) & (size[doc] - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8))
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ; the longer one is folded."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = _halved(a)
+    while len(b) > len(a):
+        b = _halved(b)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _halved(a: np.ndarray) -> np.ndarray:
+    return a[: len(a) // 2] ^ a[len(a) // 2 :]
+
+
 # ---------------------------------------------------------------- sending
 
 
@@ -261,7 +294,7 @@ def _send(count: int, common: np.ndarray):
             v = vertices(sets, n)
             ids = pc.fill_null(part.column("doc_id").cast(pa.int64()), NONE).to_numpy(zero_copy_only=False)
             out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z", "u")}
-            _put(out, int(mix(v[:1].view(np.uint64))[0] % U(count)), 1, ids.tobytes(), n.tobytes(), v.tobytes(), b"")
+            _put(out, int(mix(v[:1].view(np.uint64))[0] % U(count)), 1, ids.tobytes(), n.tobytes(), v.tobytes(), sketches(sets, n).tobytes())
             new = np.zeros(len(v), bool)
             for i in np.flatnonzero((n > 0) & (ids != NONE)):
                 if v[i] not in seen:
@@ -352,30 +385,65 @@ def _candidates(t: pa.Table) -> dict[str, list]:
     return out
 
 
-def _across(groups: pa.Table, roots: pa.Table) -> dict[str, list]:
-    """Of each group the pairs of members in different components that were not compared with its first member."""
+def _asked(count: int):
+    """The members of a bucket's groups, packed by the place where their roots and sketches are."""
+
+    def run(t: pa.Table) -> dict[str, list]:
+        v = np.unique(joined(t["x"], np.int64))
+        order, at = by_bucket(spread(v, count), count)
+        own = np.flatnonzero(np.diff(at))
+        return {"q": own, "b": np.repeat(t["b"][0].as_py(), len(own)), "v": [v[order[at[k] : at[k + 1]]].tobytes() for k in own]}
+
+    return run
+
+
+def _answered(asked: pa.Table, sets: pa.Table) -> dict[str, list]:
+    """For each bucket that asks: its members with root, size and sketch."""
+    known = sets["v"].to_numpy()
+    order = np.argsort(known)
+    known, root, n, s = known[order], sets["root"].to_numpy()[order], sets["n"].to_numpy()[order], sets["s"].to_pylist()
+    out: dict[str, list] = {k: [] for k in ("b", "v", "root", "n", "s")}
+    for b, v in zip(asked["b"].to_pylist(), asked["v"].to_pylist()):
+        at = np.searchsorted(known, np.frombuffer(v, np.int64))
+        for k, x in (("b", b), ("v", v), ("root", root[at].tobytes()), ("n", n[at].tobytes()), ("s", b"".join([s[order[i]] for i in at.tolist()]))):
+            out[k].append(x)
+    return out
+
+
+def _across(groups: pa.Table, answers: pa.Table) -> dict[str, list]:
+    """Of each group the pairs of members in different components that were not compared with its first member and whose sketches leave room for a link."""
     out: dict[str, list] = {"a": [], "b": []}
     if not groups.num_rows:
         return out
-    known = roots["v"].to_numpy()
+    known, root, size = (joined(answers[k], np.int64) for k in ("v", "root", "n"))
+    sketch, at = np.frombuffer(b"".join(answers["s"].to_pylist()), np.uint8), np.concatenate(([0], np.cumsum(sketch_bytes(size))))
     order = np.argsort(known)
-    known, root = known[order], roots["root"].to_numpy()[order]
-    found = []
-    for x, y, z, u in zip(*(groups[k].to_pylist() for k in ("x", "y", "z", "u"))):
-        v, ask, n = np.frombuffer(x, np.int64), np.frombuffer(z, bool), np.frombuffer(u, np.int32)
-        own = root[np.searchsorted(known, v)]
+    sorted_known = known[order]
+    found, many = [], 0
+    for x, y, z in zip(*(groups[k].to_pylist() for k in ("x", "y", "z"))):
+        v, ask = np.frombuffer(x, np.int64), np.frombuffer(z, bool)
+        place = order[np.searchsorted(sorted_known, v)]
+        own = root[place]
         end = np.cumsum(np.frombuffer(y, np.uint32).astype(np.int64))
         for a, e in zip(np.concatenate(([0], end[:-1])), end):
             if (own[a + 1 : e] == own[a]).all():
                 continue
-            for i in range(a + 1, e - 1):  # one member at a time, so memory is in proportion to the group
-                rest = slice(i + 1, e)
-                ok = (own[rest] != own[i]) & (ask[i] | ask[rest]) & _may_link(n[i], n[rest])
-                if ok.any():
-                    w = v[rest][ok]
-                    found.append(np.stack([np.minimum(w, v[i]), np.maximum(w, v[i])], 1))
-            if len(found) > 10_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
+            who = place[a + 1 : e]
+            n = size[who]
+            width = int(sketch_bytes(n).min())
+            # all sketches of the group folded to its shortest
+            rows = np.stack([np.bitwise_xor.reduce(sketch[at[i] : at[i + 1]].reshape(-1, width), axis=0) for i in who])
+            for i in range(len(who) - 1):  # one member at a time, so memory is in proportion to the group
+                ok = np.flatnonzero((root[who[i + 1 :]] != root[who[i]]) & (ask[a + 1 + i] | ask[a + 2 + i : e]) & _may_link(n[i], n[i + 1 :])) + i + 1
+                if len(ok):
+                    ok = ok[np.bitwise_count(rows[ok] ^ rows[i]).sum(1) <= most_apart(n[i], n[ok])]
+                if len(ok):
+                    w, u = known[who[ok]], known[who[i]]
+                    found.append(np.stack([np.minimum(w, u), np.maximum(w, u)], 1))
+                    many += len(ok)
+                    if many > 500_000:
+                        found = [np.unique(np.concatenate(found), axis=0)]
+                        many = 0
     if found:
         both = np.unique(np.concatenate(found), axis=0)
         out["a"], out["b"] = both[:, 0], both[:, 1]
@@ -443,6 +511,34 @@ def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame) -> DataFrame:
     return cogrouped(pairs, sent, "p", verify, "a bigint, b bigint")
 
 
+def _near(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave room for a link."""
+    both = pairs.join(outlines.select(F.col("v").alias("a"), F.col("s").alias("x"), F.col("n").alias("n")), "a").join(outlines.select(F.col("v").alias("b"), F.col("s").alias("y"), F.col("n").alias("k")), "b")
+
+    def run(batches):
+        for batch in batches:
+            a, b, x, n, y, k = (batch.column(c) for c in ("a", "b", "x", "n", "y", "k"))
+            limit = most_apart(n.to_numpy(), k.to_numpy())
+            keep = pa.array([apart_at_least(p, q) <= h for p, q, h in zip(x.to_pylist(), y.to_pylist(), limit.tolist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(keep)
+
+    return both.select("a", "b", "x", "n", "y", "k").mapInArrow(run, "a bigint, b bigint")
+
+
+def _outlines(found: DataFrame) -> DataFrame:
+    """``v, n, s``: one sketch for each set."""
+
+    def run(batches):
+        for batch in batches:
+            for n, v, u in zip(*(batch.column(c).to_pylist() for c in ("y", "z", "u"))):
+                n, v = np.frombuffer(n, np.int64), np.frombuffer(v, np.int64)
+                end = np.cumsum(sketch_bytes(n))
+                own = np.flatnonzero(n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(v[own]), pa.array(n[own]), pa.array([u[a:b] for a, b in zip((end - sketch_bytes(n))[own], end[own])], pa.binary())], names=["v", "n", "s"])
+
+    return found.where("kind = 1").select("y", "z", "u").mapInArrow(run, "v bigint, n bigint, s binary").groupBy("v").agg(F.min("n").alias("n"), F.min("s").alias("s"))
+
+
 def _common(docs: DataFrame) -> np.ndarray:
     """A map of shingles that several sampled documents hold; of fixed size."""
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
@@ -462,6 +558,16 @@ def _common(docs: DataFrame) -> np.ndarray:
     return bits
 
 
+def _place(count: int):
+    @F.pandas_udf("int")
+    def place(v):
+        import pandas as pd
+
+        return pd.Series(spread(v.to_numpy(), count).astype(np.int32))
+
+    return place
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document."""
     spark = docs.sparkSession
@@ -479,13 +585,17 @@ def linked(docs: DataFrame) -> DataFrame:
         near = short.withColumn("band", F.explode(F.sequence(band(F.col("n")) - 1, band(F.col("n")) + 1)))
         more = near.join(sets, "band").where("v <> w and 4 * least(n, k) >= 3 * greatest(n, k)")
         pairs = pairs.unionAll(more.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))).distinct()
+    outlines = written(_outlines(found), "outlines")
+    pairs = written(_near(pairs, outlines), "pairs")
     links = written(_verified(docs, meta, pairs), "links")
     roots = written(components(links), "roots")
     groups = found.where("kind = 4").select("b", "x", "y", "z", "u")
     if groups.take(1):
-        members = grouped(groups, "b", lambda t: {"b": np.repeat(t["b"][0].as_py(), len(x := np.unique(joined(t["x"], np.int64)))), "v": x}, "b int, v bigint")
-        members = members.join(roots, "v", "left").select("b", "v", F.coalesce("root", "v").alias("root"))
-        across = written(cogrouped(groups, members, "b", _across, "a bigint, b bigint").distinct(), "across")
+        home = buckets(spark, 0)
+        asked = grouped(groups, "b", _asked(home), "q int, b int, v binary")
+        sets = outlines.join(roots, "v", "left").select("v", "n", "s", F.coalesce("root", "v").alias("root"), _place(home)("v").alias("q"))
+        answers = cogrouped(asked, sets, "q", _answered, "b int, v binary, root binary, n binary, s binary")
+        across = written(cogrouped(groups, answers, "b", _across, "a bigint, b bigint").distinct(), "across")
         if across.take(1):
             links = links.unionAll(written(_verified(docs, meta, across), "links"))
             roots = written(components(links), "roots")
