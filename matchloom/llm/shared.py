@@ -159,7 +159,7 @@ def windows(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(out[at]), at
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``limit`` bytes of text each, so that numpy's temporaries stay small whatever Arrow's batch size."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, at = np.cumsum(lengths), 0
@@ -177,20 +177,10 @@ def by_bucket(bucket: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(count + 1))
 
 
-def scan(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict[str, list]]], schema: str, column: str = "text") -> DataFrame:
-    """mapInArrow over small parts of ``df``; f gives columns as dicts of lists."""
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, column):
-                for made in f(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(made[k.name], k.type) for k in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+def lean(df: DataFrame) -> DataFrame:
+    """Rows reach Python in batches of at most 1,000, since texts are long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
 
 
 # ---------------------------------------------------------------- components
@@ -231,7 +221,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def packed(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str, column: str = "text") -> DataFrame:
-    """Like scan(), but f sees all parts of a task one after another and may keep bounded state between them."""
+    """mapInArrow over small parts of ``df``; f sees all parts of a task one after another, may keep bounded state between them, and gives columns as dicts of lists."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -242,7 +232,7 @@ def packed(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[
         for made in f(parts):
             yield pa.RecordBatch.from_arrays([pa.array(made[k.name], k.type) for k in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return lean(df).mapInArrow(run, schema)
 
 
 def tables(schema: str) -> Callable[[dict[str, list]], pa.Table]:
@@ -255,12 +245,12 @@ def tables(schema: str) -> Callable[[dict[str, list]], pa.Table]:
 
 def grouped(df: DataFrame, key: str, f: Callable[[pa.Table], dict[str, list]], schema: str) -> DataFrame:
     make = tables(schema)
-    return df.groupBy(key).applyInArrow(lambda t: make(f(t)), schema)
+    return lean(df).groupBy(key).applyInArrow(lambda t: make(f(t)), schema)
 
 
 def cogrouped(left: DataFrame, right: DataFrame, key: str, f: Callable[[pa.Table, pa.Table], dict[str, list]], schema: str) -> DataFrame:
     make = tables(schema)
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda a, b: make(f(a, b)), schema)
+    return lean(left).groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lambda a, b: make(f(a, b)), schema)
 
 
 def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
