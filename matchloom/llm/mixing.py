@@ -14,8 +14,8 @@ all sources at once, on the executors, as an expression over the source table.
 Rates are rounded to copies group by group: documents of a source are dealt by a
 hash of their id into groups of about GROUP, so a source with a third of all
 rows is many groups; inside a group, from the longest document to the shortest,
-one copy more is dealt whenever half the document's words are owed, and the
-difference passes on.  Reruns agree,
+each gets the number of copies that comes nearest to its rate and what the ones
+before it left owing, and the difference passes on.  Reruns agree,
 whatever the partitioning.
 
 Defined results: a null text has size 0; the null source is a source; equal
@@ -83,19 +83,17 @@ def mixed(docs: DataFrame, keep: bool = False) -> DataFrame:
     item = F.struct("doc_id", "size", *(["row"] if keep else []))
     first = lambda a, b: F.when(a["size"] != b["size"], F.sign(b["size"] - a["size"])).when(a["doc_id"] != b["doc_id"], F.sign(a["doc_id"] - b["doc_id"])).otherwise(0).cast("int")
     groups = both.groupBy("source", "part").agg(F.array_sort(F.collect_list(item), first).alias("items"), *(F.first(c).alias(c) for c in ("source_size", "target", "rate")))
-    whole = F.floor("rate")
-    left = F.round(F.col("rate") - whole, 12)
-    more = F.aggregate("items", F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("more")), lambda acc, d: _deal(acc, d["size"], left), lambda acc: acc["more"])
-    each = groups.withColumn("more", more).select("source", "source_size", "target", "rate", F.explode(F.arrays_zip("items", "more")).alias("d"))
-    each = each.select("d.items.*", "source", "source_size", "target", "rate", F.least(F.lit(CAP), whole + F.col("d.more")).cast("bigint").alias("copies"))
+    dealt = F.aggregate("items", F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<int>").alias("copies")), lambda acc, d: _deal(acc, d["size"], F.col("rate")), lambda acc: acc["copies"])
+    each = groups.withColumn("copies", dealt).select("source", "source_size", "target", "rate", F.explode(F.arrays_zip("items", "copies")).alias("d"))
+    each = each.select("d.items.*", "source", "source_size", "target", "rate", F.col("d.copies").cast("bigint").alias("copies"))
     return each.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _deal(acc, size, left):
-    """One more copy once half a document's words are owed; what is owed passes to the next, smaller one."""
-    owed = acc["owed"] + left * size
-    give = (size > 0) & (owed * 2 >= size) & (left > 0)
-    return F.struct((owed - F.when(give, size).otherwise(0)).alias("owed"), F.concat(acc["more"], F.array(F.when(give, 1).otherwise(0))).alias("more"))
+def _deal(acc, size, rate):
+    """As many copies as come nearest to what is owed; the difference passes to the next, smaller document."""
+    owed = acc["owed"] + rate * size
+    copies = F.when(size > 0, F.greatest(F.lit(0), F.least(F.lit(CAP), F.floor(owed / F.greatest(size, F.lit(1)) + 0.5)))).otherwise(F.floor(rate)).cast("int")
+    return F.struct((owed - copies * size).alias("owed"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
 
 
 def mix_query(docs: DataFrame) -> DataFrame:

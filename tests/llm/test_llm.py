@@ -1,0 +1,275 @@
+"""Operators against brute force, on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from matchloom.llm import ann_search, language_id, license_scan, lm_scoring, mixing, ngram_join, secret_scan, sentencepiece_codec, substring_dedup, topk_search
+from matchloom.llm.shared import components
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, b int, target double"
+
+
+def texts(seed=3):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)] + ["Été", "größe", "日本", "a", "b"]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    shared = make(70)
+    out = [None, "", " \t\n", "one", "ONE", "two words", "a b c d", "a  B c\td", "a b c d e"]
+    for i in range(40):
+        w = make(rng.choice([3, 8, 30, 60, 120, 300]))
+        out.append(" ".join(w))
+        if i % 4 == 0:
+            at = rng.randrange(len(w))
+            out.append(" ".join(w[:at] + shared + w[at:]))
+        if i % 5 == 0:
+            v = list(w)
+            v[rng.randrange(len(v))] = "changed"
+            out.append(" ".join(v))
+        if i % 7 == 0:
+            out.append(" ".join(w))
+    out += [" ".join(make(6000)), "x" * 5000, "é" * 300 + " " + "z" * 300]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "de", None][i % 3], [None, "s1", "s2", "s0"][i % 4], len(t or ""), i, i, 0.5) for i, t in enumerate(texts())]
+    rows += [rows[12], rows[12]] + [(None, "no id here at all", "en", "s1", 1, 1, 1, 1.0)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def collected(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def test_substring_dedup(docs, empty):
+    rows, first = collected(docs), {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        for p in range(len(w) - 12) if i is not None else ():
+            k = tuple(w[p : p + 13])
+            first[k] = min(first.get(k, i), i)
+    want = Counter()
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = set()
+        for p in range(len(w) - 12) if i is not None else ():
+            if first[tuple(w[p : p + 13])] < i:
+                gone.update(range(p, p + 13))
+        want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()] += 1
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == want and sum(k[2] > 0 for k in want) > 5
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_ngram_join(docs, empty):
+    sets = {}
+    for i, t in collected(docs):
+        w = (t or "").encode().lower().split()
+        if i is not None:
+            sets[i] = frozenset(tuple(w[p : p + 5]) for p in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs).collect()}
+    assert {i: x for i, x in got.items() if i is not None} == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert got[None] == (1, None)
+    assert ngram_join.linked(empty).count() == 0
+
+
+def test_near_copies_in_one_large_group(spark):
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(i % 5):
+            w[rng.randrange(len(w))] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    got = {r.component_id for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (105, 101), (7, 7)]
+    got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 105: 100}
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mix_query(docs).collect()
+    assert len(rows) == docs.count()
+    size = Counter()
+    for r in docs.collect():
+        size[r.source] += len((r.text or "").split())
+    order = [*sorted(s for s in size if s is not None), None]
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    target, free = {}, set(size)
+    left = float(sum(size.values()))
+    while True:
+        level = left / sum(weight[s] for s in free)
+        above = {s for s in free if level * weight[s] >= 3 * size[s]}
+        if not above:
+            break
+        for s in above:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+        free -= above
+    target |= {s: level * weight[s] for s in free}
+    source = {(r.doc_id, len((r.text or "").split())): r.source for r in docs.collect()}
+    taken = Counter()
+    for r in rows:
+        s = source[r.doc_id, r.size]
+        assert r.source_size == size[s] and math.isclose(r.target, target[s], rel_tol=1e-9) and r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 40 for s in size)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_query(docs.repartition(7)).collect()))
+    assert mixing.mix_query(empty).count() == 0
+    assert mixing.repeated(docs).columns == docs.columns
+
+
+def test_lm_scoring(docs, empty):
+    rows = [(i, (t or "").encode().lower().split() + [None]) for i, t in collected(docs)]
+    train = [w for i, w in rows if zlib.crc32(str(i if i is not None else "").encode()) % 7 != 2]
+    one, two = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["^", *w], w))
+    n, v = sum(one.values()), len(one)
+    ctx, before = {}, Counter()
+    for (a, b), c in two.items():
+        s = ctx.setdefault(a, [0, 0, 0, 0])
+        s[0] += c
+        s[min(c, 3)] += 1
+        before[b] += 1
+    d = lm_scoring._discounts(np.array([sum(c == k for c in two.values()) for k in (1, 2, 3, 4)]))
+    e = lm_scoring._discounts(np.array([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)]))
+    left = sum(e[min(c, 3)] for c in before.values()) / len(two) / (v + 1)
+
+    def p(a, b):
+        low = (before[b] - e[min(before[b], 3)]) / len(two) + left
+        if a not in ctx:
+            return low
+        s, c = ctx[a], two[a, b]
+        return (c - d[min(c, 3)] + (d[1] * s[1] + d[2] * s[2] + d[3] * s[3]) * low) / s[0]
+
+    want = Counter()
+    for i, w in rows:
+        score = sum(math.log10(p(a, b)) for a, b in zip(["^", *w], w))
+        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
+        want[i, len(w), sum(x in one for x in w), n, f"{base:.5g}", f"{score:.5g}"] += 1
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.5g}", f"{r.score:.5g}") for r in lm_scoring.lm_query(docs).collect())
+    assert got == want
+    assert lm_scoring.lm_query(empty).count() == 0
+
+
+def vectors(spark, n=300, width=24):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=width) / width**0.5], "x") for i in range(n)]
+    rows += [(n, None, "x"), (n + 1, [1.0, None], "x"), (n + 2, [float("nan")] * width, "x"), (n + 3, [float("inf")] * width, "x"), (n + 4, [0.0] * width, "x"), (n + 5, rows[0][1], "x"), (0, rows[0][1], "x"), (n + 6, [0.5], "x")]
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string"), rows
+
+
+def test_topk(spark):
+    df, rows = vectors(spark)
+    x = {i: np.floor(256 * np.array(np.float32(e + [0.0] * (24 - len(e))), float)) for i, e, _ in rows if e and None not in e and np.isfinite(e).all()}
+    got = {}
+    for r in topk_search.top_k_query(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in x if i % 50 == 0}
+    for q, found in got.items():
+        best = sorted((-int(x[q] @ y), i) for i, y in x.items() if i != q)[:5]
+        assert sorted(found) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert topk_search.top_k_query(df.where("vec_id < 0")).count() == 0
+
+
+def test_nearest(spark):
+    df, rows = vectors(spark)
+    x = {i: np.array(np.float32(e + [0.0] * (24 - len(e))), float) for i, e, _ in rows if e and None not in e and np.isfinite(e).all() and any(e)}
+    got = {}
+    for r in ann_search.nearest_query(df).collect():
+        assert math.isclose(r.score, float(x[r.query_id] @ x[r.vec_id]), rel_tol=1e-12, abs_tol=1e-15)
+        got.setdefault(r.query_id, {})[r.vec_id] = r["rank"]
+    hit = total = 0
+    for q in (i for i in x if i % 20 == 0):
+        best = {i for _, i in sorted((-float(x[q] @ y), i) for i, y in x.items() if i != q)[:20]}
+        hit, total = hit + len(best & set(got[q])), total + len(best)
+        assert sorted(got[q].values()) == list(range(1, len(got[q]) + 1))
+    assert hit / total >= 0.9
+    assert ann_search.nearest_query(df.where("vec_id < 0")).count() == 0
+
+
+def test_license_scan(spark, empty):
+    rows = [(1, "Licensed under the Apache Licence, Version 2.0."), (2, "ALL RIGHTS RESERVED. CC-BY, cc by"), (3, None), (4, ""), (5, "x" * 90_000 + " all rights reserved"), (6, "a General  Public, LICENSE and the general public licensee")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1].labels == "apache-2.0" and got[1].n_base == 0 and 0.9 < got[1].score < 1
+    assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (3, 0, 5, "cc-by,reserved") and got[2].n_words == 7
+    assert got[3].n_words == got[4].n_words == 0 and got[3].score == 0 and got[3].first_word is None
+    assert got[5].base_labels == "reserved" and got[6].n_base == 1
+    assert license_scan.scan_licenses(empty).count() == 0
+    import regex
+
+    text = license_scan.lowered(rows[0][1])
+    brute = regex.search("(?b)(?:licensed under the apache license, version 2.0){e<=4}", text)
+    assert license_scan.find_notices(text)[0][:2] == brute.span()
+
+
+def test_sentencepiece(docs, empty):
+    c = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
+    for s in ["", " ", "  a", "a  ", "▁", "a▁ ▁b", "\n\t x", "日本語😀\x00", "Hello  wörld"] + [t or "" for t in texts()]:
+        assert c.decode(c.encode(s)) == s
+    rows = sentencepiece_codec.encoded(docs)
+    assert all(r.decoded_equal or r.n_pieces is None for r in rows.collect()) and rows.where("pieces is null").count() == 1
+    back = {(r.doc_id, r.text) for r in sentencepiece_codec.decoded(rows).collect()}
+    assert back == set(collected(docs))
+    assert sentencepiece_codec.encoded(empty).count() == 0
+
+
+def test_secret_scan(docs, empty, spark):
+    held = secret_scan.labelled_findings(300, seed=5)
+    x, y = zip(*[(secret_scan.described(t, *secret_scan.candidates(t)[-1], s), k) for t, s, k in held if secret_scan.candidates(t)])
+    said = secret_scan.default_forest().predict(np.array(x)) >= 0.5
+    assert (said == np.array(y)).mean() >= 0.95
+    own = spark.createDataFrame([(1, "see token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" there", "src"), (2, "plain words only", "src"), (3, None, None)], "doc_id bigint, text string, source string")
+    assert [r.text for r in secret_scan.redacted(own).orderBy("doc_id").collect()] == ['see token = "<SECRET>" there', "plain words only", None]
+    assert secret_scan.redacted(docs).count() == docs.count() and secret_scan.redacted(docs).columns == docs.columns
+    assert secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_language_id(spark, empty):
+    english, german = "the quick brown fox and the lazy dog were there with that other thing ", "der schnelle braune fuchs und die faule katze waren auch nicht mit dem hund "
+    rows = [(i, (english if i % 2 else german) * 3, "en" if i % 2 else "de", f"h{i % 5}", 1, 1, 1, 1.0) for i in range(40)]
+    rows += [(100, "", "de", "h0", 0, 0, 0, 0.0), (101, None, None, None, 0, 0, 0, 0.0), (102, english * 3, None, "new", 0, 0, 0, 0.0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    pages = spark.createDataFrame([(7, "https://www.a.de/de/1", f"<html lang='de'><p>{german}</p>"), (8, None, None)], "page_id bigint, url string, html string")
+    got = {(r.doc_id, r.page_id): r for r in language_id.language_query(docs, pages).collect()}
+    assert len(got) == 45 and all(got[i, None].language == ("en" if i % 2 else "de") for i in range(40))
+    assert got[102, None].language == "en" and got[None, 7].language == "de" and got[100, None].language == "de"
+    kept = language_id.accepted(docs)
+    assert {r.doc_id for r in kept.collect()} == {*range(40), 102} and kept.columns == docs.columns
+    assert language_id.accepted(empty).count() == 0
+
+
+def test_pipeline(spark, docs, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "secret_scan", "source_mixing", "sentencepiece"]
+    assert all(r.decoded_equal for r in got.collect())
