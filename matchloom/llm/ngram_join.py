@@ -22,7 +22,7 @@ have a filled segment in common.
   with all documents of its three bands instead, by an equi-join on the band.
 
 Candidates first meet in parity sketches: each shingle flips one bit of a map
-about as long as the set, so two maps never differ in more bits than their sets
+four times as long as the set, so two maps never differ in more bits than their sets
 do in shingles, and a pair whose maps differ in more than H bits is dropped for
 sure.  The rest are verified exactly on the shingle sets.  In a group of documents
 that share a segment, only pairs with its smallest member are verified first;
@@ -61,7 +61,7 @@ COMMON_BITS, SAMPLE, COMMON = 22, 64, 3
 FLUSH, PART = 600_000, 32_000
 
 #: Bits of the smallest and the largest parity sketch.
-SKETCH = (64, 1 << 16)
+SKETCH = (256, 1 << 18)
 #: kind 0: segments (x: names and sizes of sets, y: places in it, the top bit for one that looks up, z and u: parts of keys); 1: documents (x: ids, y: sizes, z: sets, u: sketches one after another); 2: sets that fill too few segments (x, y)
 SENT = "b int, kind int, x binary, y binary, z binary, u binary"
 #: kind 1 and 2 as before; 3: pairs (x, y); 4: groups (x: members, y: how many each has, z: which look up, u: sizes)
@@ -142,8 +142,8 @@ def vertices(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def sketch_bytes(n: np.ndarray) -> np.ndarray:
-    """Bytes of the sketch of a set: a power of two of bits, at least as many as shingles within limits."""
-    return (np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH) >> 3).astype(np.int64)
+    """Bytes of the sketch of a set: a power of two of bits, at least four times as many as shingles within limits."""
+    return (np.clip(4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH) >> 3).astype(np.int64)
 
 
 def sketches(sets: np.ndarray, n: np.ndarray) -> np.ndarray:
