@@ -8,14 +8,15 @@ have a filled segment in common.
 
 * Size bands grow by 4/3, so only documents of the same or of neighbouring
   bands can link; each band and each pair of neighbours has its own m.
-* A document sends each filled segment of its band (kind 0), of the pair with
-  the band below (kind 1, to be found), and of the pair with the band above
-  (kind 1, to look up) only the H + 1 that cost least: those with two or more
-  uncommon shingles first.
-* Segments that hold common shingles only (common in a sample of documents; the
-  sample decides cost, never results) are left out as long as over H others
-  remain; a document that has too few of those also sends the common ones in
-  a name space of their own, where such documents find each other.
+* Under the plan of its band (kind 0) and those of its band with the one below
+  (kind 1, to be found) and the one above (kind 1, to look up) a document sends
+  only its first H + 1 filled segments, H for its own size, in one order that all
+  documents share: by cost, then by hash.  Before the first segment that two linked
+  sets have in common each of them has only segments the other lacks, at most H,
+  so both send it.
+* Cost follows from a segment's content: two or more uncommon shingles first,
+  then one, then none (common in a sample of documents; the sample decides cost,
+  never results).  Common segments thus travel only where others are too few.
 * Sets with H = 1 are one segment with its one-deletion neighbourhood: two sets
   that differ in one shingle share the smaller one.
 * A document whose shingles fill too few segments (rare for H > 1) is compared
@@ -26,12 +27,14 @@ four times as long as the set, so two maps never differ in more bits than their
 do in shingles, and a pair whose maps differ in more than H bits is dropped for
 sure.  The rest are verified exactly on the shingle sets.  In a group of documents
 that share a segment, only pairs with its smallest member are verified first;
-pairs across what is then still separate are verified in a second round.  Groups
-of near copies thus cost one pair a member, and no link between separate
-components is lost.  Equal sets are one vertex from the start.
-
-Memory and skew: segments travel packed, 8 bytes each, to buckets that are hash
-ranges; a scan task sends an equal set once.  Verification deals pairs by their
+then each member meets the nearest one, by sketch, of every component it is still
+separate from, and at last all pairs across what remains.  Groups of near copies
+thus cost few pairs a member, and no link between separate components is lost.  Equal sets are one vertex from the start.
+
+Memory and skew: segments travel packed, 6 bytes each, to buckets that are hash
+ranges, with the names of those sets only that the bucket needs; 32 bits of a key
+beside its range suffice, since a false agreement only costs a comparison.  A scan
+task sends an equal set once.  Verification deals pairs by their
 larger member, so a set with very many neighbours is sent to each partition at
 most once.
 
@@ -45,7 +48,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +65,9 @@ FLUSH, PART = 600_000, 32_000
 
 #: Bits of the smallest and the largest parity sketch.
 SKETCH = (256, 1 << 18)
-#: kind 0: segments (x: names and sizes of sets, y: places in it, the top bit for one that looks up, z and u: parts of keys); 1: documents (x: ids, y: sizes, z: sets, u: sketches one after another); 2: sets that fill too few segments (x, y)
+#: kind 0: segments (x: names of sets, then their sizes, y: places in it, the top bit for one that looks up, z: keys); 1: documents (x: ids, y: sizes, z: sets); 2: sets that fill too few segments (x, y); 5: sets (y: sizes, z: sets, u: sketches one after another)
 SENT = "b int, kind int, x binary, y binary, z binary, u binary"
-#: kind 1 and 2 as before; 3: pairs (x, y); 4: groups (x: members, y: how many each has, z: which look up, u: sizes)
+#: kind 1, 2 and 5 as before; 3: pairs (x, y); 4: groups (x: members, y: how many each has, z: which look up, u: sizes)
 FOUND = SENT
 META = "doc_id bigint, n_shingles bigint, v bigint"
 
@@ -173,10 +176,9 @@ def _halved(a: np.ndarray) -> np.ndarray:
 
 
 def _segments(sets, count, band, kind, common):
-    """Filled segments of documents of any bands under one kind of plan: key, document, and how many uncommon shingles each has; H and m of each document."""
+    """Filled segments of documents of any bands under one kind of plan: key, document, and how many uncommon shingles each has."""
     which, at = np.unique(band, return_inverse=True)
-    plans = np.array([plan(kind, int(b)) for b in which], np.int64).reshape(-1, 2)
-    h, m = plans[at, 0], plans[at, 1]
+    m = np.array([plan(kind, int(b))[1] for b in which], np.int64)[at]
     base = np.concatenate(([0], np.cumsum(m)))
     doc = np.repeat(np.arange(len(count)), count)
     place = base[doc] + ((sets >> U(16)) % m[doc].astype(np.uint64)).astype(np.int64)
@@ -187,21 +189,14 @@ def _segments(sets, count, band, kind, common):
     live = np.flatnonzero(some)
     who = np.searchsorted(base, live, "right") - 1
     name = (band[who].astype(np.uint64) << U(40)) + (U(kind) << U(56)) + (live - base[who]).astype(np.uint64)
-    return mix(total[live] + mix(name)), who, rare[live], h, m
+    return mix(total[live] + mix(name)), who, rare[live]
 
 
-def _fewest(who: np.ndarray, cost: np.ndarray, limit: np.ndarray, docs: int) -> np.ndarray:
-    """Of each document its first ``limit`` entries, those of lower cost class first."""
-    keep = np.zeros(len(who), bool)
-    left = limit.copy()
-    for c in (0, 1, 2):
-        own = np.flatnonzero(cost == c)
-        w = who[own]
-        rank = np.arange(len(w)) - np.searchsorted(w, w)
-        take = rank < left[w]
-        keep[own[take]] = True
-        left = left - np.bincount(w[take], minlength=docs)
-    return keep
+def _firsts_of(key: np.ndarray, who: np.ndarray, cost: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Places of each document's first ``limit`` entries by cost and key; equal keys keep the order of segments."""
+    order = np.argsort((who.astype(np.uint64) << U(42)) | (cost.astype(np.uint64) << U(40)) | (key >> U(24)), kind="stable")
+    w = who[order]
+    return order[np.arange(len(w)) - np.searchsorted(w, w) < limit[w]]
 
 
 HARD = U(0xD1B54A32D192ED03)
@@ -235,28 +230,16 @@ def entries(sets, count, common):
             return
         doc = np.repeat(np.arange(docs), count)
         mine = np.isin(doc, chosen)
-        key, w, rare, h, m = _segments(sets[mine], count[chosen], bands, kind, common[mine])
+        key, w, rare = _segments(sets[mine], count[chosen], bands, kind, common[mine])
         n = len(chosen)
         size = count[chosen]
-        need = (h if role != 2 else most_apart(size, np.minimum(size * 4 // 3, _firsts()[bands + 2] - 1))) + 1
-        lively = np.bincount(w[rare > 0], minlength=n)
-        filled = np.bincount(w, minlength=n)
-        hard = lively < need
+        # the largest set of the other side that may link
+        other = _firsts()[bands + 1] - 1 if role == 1 else np.minimum(size * 4 // 3, _firsts()[bands + (2 if role == 2 else 1)] - 1)
+        need = most_apart(size, other) + 1
         if role != 1:
-            short[chosen[filled < need]] = True
-        use = rare > 0
-        if role == 2:
-            cost = np.where(rare > 1, 0, np.where(rare > 0, 1, 2))
-            keep = _fewest(w, cost, need, n)
-            add(key[keep & use], chosen[w[keep & use]], 1)
-            # a document with too few uncommon segments looks up all its others too
-            more = ~use & hard[w]
-            add(mix(key[more] ^ HARD), chosen[w[more]], 1)
-        else:
-            add(key[use], chosen[w[use]], 1 if role == 0 else 0)
-            # either side may be the one with too few, so all that are not hard are found by common segments only if they are hard too
-            more = hard[w] & ~use
-            add(mix(key[more] ^ HARD), chosen[w[more]], 1 if role == 0 else 0)
+            short[chosen[np.bincount(w, minlength=n) < need]] = True
+        keep = _firsts_of(key, w, np.where(rare > 1, 0, np.where(rare > 0, 1, 2)), need)
+        add(key[keep], chosen[w[keep]], 0 if role == 1 else 1)
 
     take(np.flatnonzero(~tiny_own & (count > 0)), 0, band[~tiny_own & (count > 0)], 0)
     up = np.flatnonzero(~tiny_up & (count > 0))
@@ -280,11 +263,11 @@ def _send(count: int, common: np.ndarray):
         kept.clear()
         order, at = by_bucket((((keys >> U(40)) * U(count)) >> U(24)).astype(np.int64), count)
         keys, who = keys[order], (who[order] | (ask[order].astype(np.int64) << 15)).astype(np.uint16)
-        sets = np.stack([v, n], 1).tobytes()
         out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z", "u")}
         for b in np.flatnonzero(np.diff(at)):
             own = slice(at[b], at[b + 1])
-            _put(out, int(b), 0, sets, who[own].tobytes(), (keys[own] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((keys[own] >> U(32)) & U(0xFFFF)).astype(np.uint16).tobytes())
+            used, place = np.unique(who[own] & 0x7FFF, return_inverse=True)
+            _put(out, int(b), 0, v[used].tobytes() + n[used].astype(np.int32).tobytes(), (place.astype(np.uint16) | who[own] & 0x8000).tobytes(), (keys[own] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), b"")
         return out
 
     def run(parts):
@@ -294,7 +277,7 @@ def _send(count: int, common: np.ndarray):
             v = vertices(sets, n)
             ids = pc.fill_null(part.column("doc_id").cast(pa.int64()), NONE).to_numpy(zero_copy_only=False)
             out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z", "u")}
-            _put(out, int(mix(v[:1].view(np.uint64))[0] % U(count)), 1, ids.tobytes(), n.tobytes(), v.tobytes(), sketches(sets, n).tobytes())
+            _put(out, int(mix(v[:1].view(np.uint64))[0] % U(count)), 1, ids.tobytes(), n.tobytes(), v.tobytes(), b"")
             new = np.zeros(len(v), bool)
             for i in np.flatnonzero((n > 0) & (ids != NONE)):
                 if v[i] not in seen:
@@ -304,6 +287,7 @@ def _send(count: int, common: np.ndarray):
                 seen.clear()
             if new.any():
                 chosen = sets[np.repeat(new, n)]
+                _put(out, int(v[new][0] % count), 5, b"", n[new].tobytes(), v[new].tobytes(), sketches(chosen, n[new]).tobytes())
                 at = (chosen >> U(64 - COMMON_BITS)).astype(np.int64)
                 keys, who, ask, short = entries(chosen, n[new], common[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
                 if docs + new.sum() >= PART:
@@ -342,10 +326,10 @@ def _candidates(t: pa.Table) -> dict[str, list]:
         if kind:
             _put(out, b, kind, x, y, z, u)
             continue
-        sets, who = np.frombuffer(x, np.int64).reshape(-1, 2), np.frombuffer(y, np.uint16)
-        keys.append(np.frombuffer(z, np.uint32).astype(np.uint64) | np.frombuffer(u, np.uint16).astype(np.uint64) << U(32))
-        v.append(sets[who & 0x7FFF, 0])
-        n.append(sets[who & 0x7FFF, 1].astype(np.int32))
+        sets, who = len(x) // 12, np.frombuffer(y, np.uint16)
+        keys.append(np.frombuffer(z, np.uint32))
+        v.append(np.frombuffer(x, np.int64, sets)[who & 0x7FFF])
+        n.append(np.frombuffer(x, np.int32, sets, 8 * sets)[who & 0x7FFF])
         ask.append(who >> 15 == 1)
     if not keys:
         return out
@@ -410,8 +394,8 @@ def _answered(asked: pa.Table, sets: pa.Table) -> dict[str, list]:
     return out
 
 
-def _across(groups: pa.Table, answers: pa.Table) -> dict[str, list]:
-    """Of each group the pairs of members in different components that were not compared with its first member and whose sketches leave room for a link."""
+def _across(groups: pa.Table, answers: pa.Table, nearest: bool) -> dict[str, list]:
+    """Of each group the pairs of members in different components that were not compared with its first member and whose sketches leave room for a link; ``nearest``: for each member one of every other component."""
     out: dict[str, list] = {"a": [], "b": []}
     if not groups.num_rows:
         return out
@@ -436,7 +420,11 @@ def _across(groups: pa.Table, answers: pa.Table) -> dict[str, list]:
             for i in range(len(who) - 1):  # one member at a time, so memory is in proportion to the group
                 ok = np.flatnonzero((root[who[i + 1 :]] != root[who[i]]) & (ask[a + 1 + i] | ask[a + 2 + i : e]) & _may_link(n[i], n[i + 1 :])) + i + 1
                 if len(ok):
-                    ok = ok[np.bitwise_count(rows[ok] ^ rows[i]).sum(1) <= most_apart(n[i], n[ok])]
+                    far = np.bitwise_count(rows[ok] ^ rows[i]).sum(1).astype(np.int64) - most_apart(n[i], n[ok])
+                    ok, far = ok[far <= 0], far[far <= 0]
+                if nearest and len(ok) > 1:
+                    ok = ok[np.lexsort((far, root[who[ok]]))]
+                    ok = ok[np.unique(root[who[ok]], return_index=True)[1]]
                 if len(ok):
                     w, u = known[who[ok]], known[who[i]]
                     found.append(np.stack([np.minimum(w, u), np.maximum(w, u)], 1))
@@ -533,10 +521,9 @@ def _outlines(found: DataFrame) -> DataFrame:
             for n, v, u in zip(*(batch.column(c).to_pylist() for c in ("y", "z", "u"))):
                 n, v = np.frombuffer(n, np.int64), np.frombuffer(v, np.int64)
                 end = np.cumsum(sketch_bytes(n))
-                own = np.flatnonzero(n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(v[own]), pa.array(n[own]), pa.array([u[a:b] for a, b in zip((end - sketch_bytes(n))[own], end[own])], pa.binary())], names=["v", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n), pa.array([u[a:b] for a, b in zip(end - sketch_bytes(n), end)], pa.binary())], names=["v", "n", "s"])
 
-    return found.where("kind = 1").select("y", "z", "u").mapInArrow(run, "v bigint, n bigint, s binary").groupBy("v").agg(F.min("n").alias("n"), F.min("s").alias("s"))
+    return found.where("kind = 5").select("y", "z", "u").mapInArrow(run, "v bigint, n bigint, s binary").groupBy("v").agg(F.min("n").alias("n"), F.min("s").alias("s"))
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -593,10 +580,12 @@ def linked(docs: DataFrame) -> DataFrame:
     if groups.take(1):
         home = buckets(spark, 0)
         asked = grouped(groups, "b", _asked(home), "q int, b int, v binary")
-        sets = outlines.join(roots, "v", "left").select("v", "n", "s", F.coalesce("root", "v").alias("root"), _place(home)("v").alias("q"))
-        answers = cogrouped(asked, sets, "q", _answered, "b int, v binary, root binary, n binary, s binary")
-        across = written(cogrouped(groups, answers, "b", _across, "a bigint, b bigint").distinct(), "across")
-        if across.take(1):
+        for nearest in (True, False):
+            sets = outlines.join(roots, "v", "left").select("v", "n", "s", F.coalesce("root", "v").alias("root"), _place(home)("v").alias("q"))
+            answers = cogrouped(asked, sets, "q", _answered, "b int, v binary, root binary, n binary, s binary")
+            across = written(cogrouped(groups, answers, "b", partial(_across, nearest=nearest), "a bigint, b bigint").distinct(), "across")
+            if not across.take(1):  # none is left: components only ever grow together
+                break
             links = links.unionAll(written(_verified(docs, meta, across), "links"))
             roots = written(components(links), "roots")
     named = meta.join(roots, "v", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "v")).alias("root"))
