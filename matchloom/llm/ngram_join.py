@@ -6,10 +6,11 @@ at least m - H segments are equal in r and s, and one of these is not empty if
 either set fills more than H of them.  So it is enough to compare documents that
 have a filled segment in common.
 
-* Size bands grow by 4/3, so only documents of the same or of neighbouring
-  bands can link; each band and each pair of neighbours has its own m.
-* Under the plan of its band (kind 0) and those of its band with the one below
-  (kind 1, to be found) and the one above (kind 1, to look up) a document sends
+* Sizes double from one band to the next, so only documents of the same or of
+  neighbouring bands can link; each band has its own m, which serves its links
+  with itself and with the next band.
+* Under the plan of its band (to look up), and under that of the band below where
+  it is small enough for links there (to be found), a document sends
   only its first H + 1 filled segments, H for its own size, in one order that all
   documents share: by cost, then by hash.  Before the first segment that two linked
   sets have in common each of them has only segments the other lacks, at most H,
@@ -65,9 +66,9 @@ FLUSH, PART = 600_000, 32_000
 
 #: Bits of the smallest and the largest parity sketch.
 SKETCH = (256, 1 << 18)
-#: kind 0: segments (x: names of sets, then their sizes, y: places in it, the top bit for one that looks up, z: keys); 1: documents (x: ids, y: sizes, z: sets); 2: sets that fill too few segments (x, y); 5: sets (y: sizes, z: sets, u: sketches one after another)
-SENT = "b int, kind int, x binary, y binary, z binary, u binary"
-#: kind 1, 2 and 5 as before; 3: pairs (x, y); 4: groups (x: members, y: how many each has, z: which look up, u: sizes)
+#: kind 0: segments (x: names of sets, y: places in it, the top bit for one that looks up, z: keys); 1: documents (x: ids, y: sizes, z: sets); 2: sets that fill too few segments (x, y)
+SENT = "b int, kind int, x binary, y binary, z binary"
+#: kind 1 and 2 as before; 3: pairs (x, y); 4: groups (x: members, y: how many each has, z: which look up)
 FOUND = SENT
 META = "doc_id bigint, n_shingles bigint, v bigint"
 
@@ -76,11 +77,8 @@ META = "doc_id bigint, n_shingles bigint, v bigint"
 
 @lru_cache(maxsize=1)
 def _firsts() -> np.ndarray:
-    """The smallest size of each band: 1, 2, 3, 4, and then 4/3 of the one before."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, -(-4 * out[-1] // 3)))
-    return np.array(out)
+    """The smallest size of each band: powers of two."""
+    return 1 << np.arange(41)
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
@@ -93,14 +91,14 @@ def most_apart(r, s):
 
 
 @lru_cache(maxsize=None)
-def plan(kind: int, band: int) -> tuple[int, int]:
-    """H and the number of segments of a band (kind 0), or of a band and the next one (kind 1)."""
+def plan(band: int) -> tuple[int, int]:
+    """H and the number of segments of links within a band and between it and the next one."""
     low, high = int(_firsts()[band]), int(_firsts()[band + 1]) - 1
-    h = most_apart(high, high) if kind == 0 else most_apart(high, min(high * 4 // 3, int(_firsts()[band + 2]) - 1))
+    h = most_apart(high, high * 4 // 3)
     if h <= 1:
         return h, 1
     m = h + 1
-    while m < 16 * high and not all(_fills(size, m, (h if kind == 0 else most_apart(size, min(size * 4 // 3, 2 * high))) + 1) for size in (low, high)):
+    while m < 16 * high and not all(_fills(size, m, most_apart(size, size * 4 // 3) + 1) for size in (low, high)):
         m += max(1, m // 50)
     return h, m
 
@@ -175,10 +173,10 @@ def _halved(a: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- sending
 
 
-def _segments(sets, count, band, kind, common):
-    """Filled segments of documents of any bands under one kind of plan: key, document, and how many uncommon shingles each has."""
+def _segments(sets, count, band, common):
+    """Filled segments of documents under the plans of any bands: key, document, and how many uncommon shingles each has."""
     which, at = np.unique(band, return_inverse=True)
-    m = np.array([plan(kind, int(b))[1] for b in which], np.int64)[at]
+    m = np.array([plan(int(b))[1] for b in which], np.int64)[at]
     base = np.concatenate(([0], np.cumsum(m)))
     doc = np.repeat(np.arange(len(count)), count)
     place = base[doc] + ((sets >> U(16)) % m[doc].astype(np.uint64)).astype(np.int64)
@@ -188,7 +186,7 @@ def _segments(sets, count, band, kind, common):
     rare = np.bincount(place, weights=~common, minlength=base[-1]).astype(np.int64)
     live = np.flatnonzero(some)
     who = np.searchsorted(base, live, "right") - 1
-    name = (band[who].astype(np.uint64) << U(40)) + (U(kind) << U(56)) + (live - base[who]).astype(np.uint64)
+    name = (band[who].astype(np.uint64) << U(40)) + (live - base[who]).astype(np.uint64)
     return mix(total[live] + mix(name)), who, rare[live]
 
 
@@ -213,39 +211,37 @@ def entries(sets, count, common):
         who.append(d)
         ask.append(np.broadcast_to(np.uint16(a), len(k)) if np.isscalar(a) else a.astype(np.uint16))
 
-    tiny_own = np.array([plan(0, int(b))[0] <= 1 for b in band], bool)
-    tiny_up = np.array([plan(1, int(b))[0] <= 1 for b in band], bool)
-    tiny_down = np.array([b > 0 and plan(1, int(b) - 1)[0] <= 1 for b in band], bool)
+    tiny = np.array([plan(int(b))[0] <= 1 for b in band], bool)
+    # below this size no set of the band below can link
+    down = (band > 0) & (3 * count < 4 * _firsts()[np.maximum(band, 0)]) & (count > 0)
+    tiny_down = np.array([b > 0 and plan(int(b) - 1)[0] <= 1 for b in band], bool)
     # sets that may differ in one shingle at most: the set and its one-deletion neighbourhood, over all bands
-    tiny = np.flatnonzero(tiny_own | tiny_up | tiny_down)
-    if len(tiny):
+    near = np.flatnonzero(tiny | (down & tiny_down))
+    if len(near):
         at = np.concatenate(([0], np.cumsum(count)))
-        own = [(d, mix(sets[at[d] : at[d + 1]])) for d in tiny]
+        own = [(d, mix(sets[at[d] : at[d + 1]])) for d in near]
         k = np.concatenate([np.append(x.sum(dtype=np.uint64), x.sum(dtype=np.uint64) - x) if len(x) > 1 else x for _, x in own])
-        add(mix(k ^ HARD), np.repeat(tiny, [len(x) + (len(x) > 1) for _, x in own]), 1)
+        add(mix(k ^ HARD), np.repeat(near, [len(x) + (len(x) > 1) for _, x in own]), 1)
 
-    def take(chosen, kind, bands, role):
-        """role 0: both find and look up; 1: is found; 2: looks up."""
+    def take(chosen, bands, looks_up):
+        """The first segments under the plans of ``bands``, which are those of the documents, or the ones below."""
         if not len(chosen):
             return
         doc = np.repeat(np.arange(docs), count)
         mine = np.isin(doc, chosen)
-        key, w, rare = _segments(sets[mine], count[chosen], bands, kind, common[mine])
-        n = len(chosen)
+        key, w, rare = _segments(sets[mine], count[chosen], bands, common[mine])
         size = count[chosen]
         # the largest set of the other side that may link
-        other = _firsts()[bands + 1] - 1 if role == 1 else np.minimum(size * 4 // 3, _firsts()[bands + (2 if role == 2 else 1)] - 1)
-        need = most_apart(size, other) + 1
-        if role != 1:
-            short[chosen[np.bincount(w, minlength=n) < need]] = True
+        need = most_apart(size, size * 4 // 3 if looks_up else _firsts()[bands + 1] - 1) + 1
+        if looks_up:
+            short[chosen[np.bincount(w, minlength=len(chosen)) < need]] = True
         keep = _firsts_of(key, w, np.where(rare > 1, 0, np.where(rare > 0, 1, 2)), need)
-        add(key[keep], chosen[w[keep]], 0 if role == 1 else 1)
+        add(key[keep], chosen[w[keep]], int(looks_up))
 
-    take(np.flatnonzero(~tiny_own & (count > 0)), 0, band[~tiny_own & (count > 0)], 0)
-    up = np.flatnonzero(~tiny_up & (count > 0))
-    take(up, 1, band[up], 2)
-    down = np.flatnonzero(~tiny_down & (count > 0) & (band > 0))
-    take(down, 1, band[down] - 1, 1)
+    own = np.flatnonzero(~tiny & (count > 0))
+    take(own, band[own], True)
+    below = np.flatnonzero(down & ~tiny_down)
+    take(below, band[below] - 1, False)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16), short
     return np.concatenate(keys), np.concatenate(who), np.concatenate(ask), short
@@ -263,11 +259,11 @@ def _send(count: int, common: np.ndarray):
         kept.clear()
         order, at = by_bucket((((keys >> U(40)) * U(count)) >> U(24)).astype(np.int64), count)
         keys, who = keys[order], (who[order] | (ask[order].astype(np.int64) << 15)).astype(np.uint16)
-        out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z", "u")}
+        out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z")}
         for b in np.flatnonzero(np.diff(at)):
             own = slice(at[b], at[b + 1])
             used, place = np.unique(who[own] & 0x7FFF, return_inverse=True)
-            _put(out, int(b), 0, v[used].tobytes() + n[used].astype(np.int32).tobytes(), (place.astype(np.uint16) | who[own] & 0x8000).tobytes(), (keys[own] & U(0xFFFFFFFF)).astype(np.uint32).tobytes(), b"")
+            _put(out, int(b), 0, v[used].tobytes(), (place.astype(np.uint16) | who[own] & 0x8000).tobytes(), (keys[own] & U(0xFFFFFFFF)).astype(np.uint32).tobytes())
         return out
 
     def run(parts):
@@ -276,8 +272,8 @@ def _send(count: int, common: np.ndarray):
             sets, n = shingles(part)
             v = vertices(sets, n)
             ids = pc.fill_null(part.column("doc_id").cast(pa.int64()), NONE).to_numpy(zero_copy_only=False)
-            out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z", "u")}
-            _put(out, int(mix(v[:1].view(np.uint64))[0] % U(count)), 1, ids.tobytes(), n.tobytes(), v.tobytes(), b"")
+            out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z")}
+            _put(out, int(mix(v[:1].view(np.uint64))[0] % U(count)), 1, ids.tobytes(), n.tobytes(), v.tobytes())
             new = np.zeros(len(v), bool)
             for i in np.flatnonzero((n > 0) & (ids != NONE)):
                 if v[i] not in seen:
@@ -287,7 +283,6 @@ def _send(count: int, common: np.ndarray):
                 seen.clear()
             if new.any():
                 chosen = sets[np.repeat(new, n)]
-                _put(out, int(v[new][0] % count), 5, b"", n[new].tobytes(), v[new].tobytes(), sketches(chosen, n[new]).tobytes())
                 at = (chosen >> U(64 - COMMON_BITS)).astype(np.int64)
                 keys, who, ask, short = entries(chosen, n[new], common[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
                 if docs + new.sum() >= PART:
@@ -296,7 +291,7 @@ def _send(count: int, common: np.ndarray):
                 kept.append((v[new], n[new], keys, who, ask))
                 size, docs = size + len(keys), docs + int(new.sum())
                 if short.any():
-                    _put(out, 0, 2, v[new][short].tobytes(), n[new][short].tobytes(), b"", b"")
+                    _put(out, 0, 2, v[new][short].tobytes(), n[new][short].tobytes(), b"")
             yield out
             if size > FLUSH:
                 yield flush(kept)
@@ -308,7 +303,7 @@ def _send(count: int, common: np.ndarray):
 
 
 def _put(out: dict[str, list], *values) -> None:
-    for k, x in zip(("b", "kind", "x", "y", "z", "u"), values):
+    for k, x in zip(("b", "kind", "x", "y", "z"), values):
         out[k].append(x)
 
 
@@ -320,16 +315,15 @@ def _may_link(n, m):
 
 
 def _candidates(t: pa.Table) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z", "u")}
-    keys, v, n, ask = [], [], [], []
-    for b, kind, x, y, z, u in zip(*(t[k].to_pylist() for k in ("b", "kind", "x", "y", "z", "u"))):
+    out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z")}
+    keys, v, ask = [], [], []
+    for b, kind, x, y, z in zip(*(t[k].to_pylist() for k in ("b", "kind", "x", "y", "z"))):
         if kind:
-            _put(out, b, kind, x, y, z, u)
+            _put(out, b, kind, x, y, z)
             continue
-        sets, who = len(x) // 12, np.frombuffer(y, np.uint16)
+        who = np.frombuffer(y, np.uint16)
         keys.append(np.frombuffer(z, np.uint32))
-        v.append(np.frombuffer(x, np.int64, sets)[who & 0x7FFF])
-        n.append(np.frombuffer(x, np.int32, sets, 8 * sets)[who & 0x7FFF])
+        v.append(np.frombuffer(x, np.int64)[who & 0x7FFF])
         ask.append(who >> 15 == 1)
     if not keys:
         return out
@@ -339,25 +333,25 @@ def _candidates(t: pa.Table) -> dict[str, list]:
     same = keys[1:] == keys[:-1]
     shared = np.append(same, False) | np.concatenate(([False], same))
     order, keys = order[shared], keys[shared]
-    v, n, ask = (np.concatenate(x)[order] for x in (v, n, ask))
+    v, ask = (np.concatenate(x)[order] for x in (v, ask))
     order = np.lexsort((~ask, v, keys))  # of equal sets one, that looks up if any does
-    keys, v, n, ask = keys[order], v[order], n[order], ask[order]
+    keys, v, ask = keys[order], v[order], ask[order]
     if len(keys):
         first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (v[1:] != v[:-1])))
-        keys, v, n, ask = keys[first], v[first], n[first], ask[first]
+        keys, v, ask = keys[first], v[first], ask[first]
     order = np.lexsort((v, ~ask, keys))  # those that look up first
-    keys, v, n, ask = keys[order], v[order], n[order], ask[order]
+    keys, v, ask = keys[order], v[order], ask[order]
     begin, r = runs(keys)
     if not len(r):
         return out
     size = np.diff(begin)
     center = begin[:-1][r]
-    pair = (np.arange(len(keys)) != center) & ask[center] & _may_link(n, n[center])
+    pair = (np.arange(len(keys)) != center) & ask[center]
     a, z = np.minimum(v, v[center])[pair], np.maximum(v, v[center])[pair]
     both = np.unique(np.stack([a, z], 1), axis=0)
     b = t["b"][0].as_py()
     if len(both):
-        _put(out, b, 3, both[:, 0].tobytes(), both[:, 1].tobytes(), b"", b"")
+        _put(out, b, 3, both[:, 0].tobytes(), both[:, 1].tobytes(), b"")
     # groups of three or more, each set of members once
     whole = np.add.reduceat(mix(v.view(np.uint64) * U(2) + ask), begin[:-1])
     large = np.flatnonzero((size > 2) & ask[begin[:-1]])
@@ -365,7 +359,7 @@ def _candidates(t: pa.Table) -> dict[str, list]:
         _, some = np.unique(whole[large], return_index=True)
         large = large[some]
         own = np.isin(r, large)
-        _put(out, b, 4, v[own].tobytes(), size[np.unique(r[own])].astype(np.uint32).tobytes(), ask[own].tobytes(), n[own].astype(np.int32).tobytes())
+        _put(out, b, 4, v[own].tobytes(), size[np.unique(r[own])].astype(np.uint32).tobytes(), ask[own].tobytes())
     return out
 
 
@@ -501,7 +495,7 @@ def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
     """The pairs whose sketches leave room for a link."""
-    both = pairs.join(outlines.select(F.col("v").alias("a"), F.col("s").alias("x"), F.col("n").alias("n")), "a").join(outlines.select(F.col("v").alias("b"), F.col("s").alias("y"), F.col("n").alias("k")), "b")
+    both = pairs.join(outlines.select(F.col("v").alias("a"), F.col("s").alias("x"), F.col("n").alias("n")), "a").join(outlines.select(F.col("v").alias("b"), F.col("s").alias("y"), F.col("n").alias("k")), "b").where("4 * least(n, k) >= 3 * greatest(n, k)")
 
     def run(batches):
         for batch in batches:
@@ -513,17 +507,21 @@ def _near(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "n", "y", "k").mapInArrow(run, "a bigint, b bigint")
 
 
-def _outlines(found: DataFrame) -> DataFrame:
-    """``v, n, s``: one sketch for each set."""
+def _outlines(docs: DataFrame, meta: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``v, n, s``: sketches of the wanted sets ``v``, read from one document of each, and perhaps of some others.
 
-    def run(batches):
-        for batch in batches:
-            for n, v, u in zip(*(batch.column(c).to_pylist() for c in ("y", "z", "u"))):
-                n, v = np.frombuffer(n, np.int64), np.frombuffer(v, np.int64)
-                end = np.cumsum(sketch_bytes(n))
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n), pa.array([u[a:b] for a, b in zip(end - sketch_bytes(n), end)], pa.binary())], names=["v", "n", "s"])
+    The texts are read again, since most sets have no candidate at all; they don't travel.
+    """
+    one = meta.where("doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+    split = slot_filter(wanted.join(one, "v"), "doc_id")
+
+    def run(parts):
+        for part in parts:
+            sets, n = shingles(part)
+            s, end = sketches(sets, n).tobytes(), np.cumsum(sketch_bytes(n))
+            yield {"v": vertices(sets, n), "n": n, "s": [s[x:y] for x, y in zip(end - sketch_bytes(n), end)]}
 
-    return found.where("kind = 5").select("y", "z", "u").mapInArrow(run, "v bigint, n bigint, s binary").groupBy("v").agg(F.min("n").alias("n"), F.min("s").alias("s"))
+    return packed(split(docs.where("doc_id is not null"), "doc_id")[0].select("text"), run, "v bigint, n bigint, s binary")
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -572,11 +570,13 @@ def linked(docs: DataFrame) -> DataFrame:
         near = short.withColumn("band", F.explode(F.sequence(band(F.col("n")) - 1, band(F.col("n")) + 1)))
         more = near.join(sets, "band").where("v <> w and 4 * least(n, k) >= 3 * greatest(n, k)")
         pairs = pairs.unionAll(more.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))).distinct()
-    outlines = written(_outlines(found), "outlines")
-    pairs = written(_near(pairs, outlines), "pairs")
+    groups = found.where("kind = 4").select("b", "x", "y", "z")
+    members = _rows(groups.withColumn("kind", F.lit(4)), 4, "v bigint").distinct()
+    wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).unionAll(members).distinct()
+    outlines = written(_outlines(docs, meta, written(wanted, "sets")), "outlines")
+    pairs = written(_near(pairs, outlines).distinct(), "pairs")
     links = written(_verified(docs, meta, pairs), "links")
     roots = written(components(links), "roots")
-    groups = found.where("kind = 4").select("b", "x", "y", "z", "u")
     if groups.take(1):
         home = buckets(spark, 0)
         asked = grouped(groups, "b", _asked(home), "q int, b int, v binary")
