@@ -24,7 +24,7 @@ have a filled segment in common.
   with all documents of its three bands instead, by an equi-join on the band.
 
 Candidates first meet in parity sketches: each shingle flips one bit of a map
-four times as long as the set, so two maps never differ in more bits than their sets
+at least twice as long as the set, so two maps never differ in more bits than their sets
 do in shingles, and a pair whose maps differ in more than H bits is dropped for
 sure.  The rest are verified exactly on the shingle sets.  In a group of documents
 that share a segment, only pairs with its smallest member are verified first;
@@ -143,8 +143,8 @@ def vertices(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def sketch_bytes(n: np.ndarray) -> np.ndarray:
-    """Bytes of the sketch of a set: a power of two of bits, at least four times as many as shingles within limits."""
-    return (np.clip(4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH) >> 3).astype(np.int64)
+    """Bytes of the sketch of a set: a power of two of bits, at least twice as many as shingles within limits."""
+    return (np.clip(2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH) >> 3).astype(np.int64)
 
 
 def sketches(sets: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -376,59 +376,103 @@ def _asked(count: int):
 
 
 def _answered(asked: pa.Table, sets: pa.Table) -> dict[str, list]:
-    """For each bucket that asks: its members with root, size and sketch."""
+    """For each bucket that asks: those of its members that are known here, with root, size and sketch."""
     known = sets["v"].to_numpy()
     order = np.argsort(known)
     known, root, n, s = known[order], sets["root"].to_numpy()[order], sets["n"].to_numpy()[order], sets["s"].to_pylist()
     out: dict[str, list] = {k: [] for k in ("b", "v", "root", "n", "s")}
-    for b, v in zip(asked["b"].to_pylist(), asked["v"].to_pylist()):
-        at = np.searchsorted(known, np.frombuffer(v, np.int64))
-        for k, x in (("b", b), ("v", v), ("root", root[at].tobytes()), ("n", n[at].tobytes()), ("s", b"".join([s[order[i]] for i in at.tolist()]))):
-            out[k].append(x)
+    for b, v in zip(asked["b"].to_pylist(), asked["v"].to_pylist()) if len(known) else ():
+        v = np.frombuffer(v, np.int64)
+        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+        at = at[known[at] == v]
+        if len(at):
+            for k, x in (("b", b), ("v", known[at].tobytes()), ("root", root[at].tobytes()), ("n", n[at].tobytes()), ("s", b"".join([s[order[i]] for i in at.tolist()]))):
+                out[k].append(x)
     return out
 
 
+def _split(groups: pa.Table):
+    """Bucket, members and which look up, of each packed group."""
+    for b, x, y, z in zip(*(groups[k].to_pylist() for k in ("b", "x", "y", "z"))):
+        v, ask = np.frombuffer(x, np.int64), np.frombuffer(z, bool)
+        end = np.cumsum(np.frombuffer(y, np.uint32).astype(np.int64))
+        for a, e in zip(np.concatenate(([0], end[:-1])), end):
+            yield b, v[a:e], ask[a:e]
+
+
+def _packed_groups(kept: list) -> dict[str, list]:
+    """Groups of one bucket as one row, if there are any."""
+    if not kept:
+        return {k: [] for k in ("b", "x", "y", "z")}
+    return {"b": [kept[0][0]], "x": [b"".join(v.tobytes() for _, v, _ in kept)], "y": [np.array([len(v) for _, v, _ in kept], np.uint32).tobytes()], "z": [b"".join(ask.tobytes() for _, _, ask in kept)]}
+
+
+def _unsettled(groups: pa.Table, answers: pa.Table) -> dict[str, list]:
+    """The groups whose members are of more than one component; a set without an answer is alone in its own."""
+    known, root = (joined(answers[k], np.int64) for k in ("v", "root"))
+    order = np.argsort(known)
+    known, root, kept = known[order], root[order], []
+    for b, v, ask in _split(groups):
+        own = v
+        if len(known):
+            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            own = np.where(known[at] == v, root[at], v)
+        if (own != own[0]).any():
+            kept.append((b, v, ask))
+    return _packed_groups(kept)
+
+
 def _across(groups: pa.Table, answers: pa.Table, nearest: bool) -> dict[str, list]:
-    """Of each group the pairs of members in different components that were not compared with its first member and whose sketches leave room for a link; ``nearest``: for each member one of every other component."""
-    out: dict[str, list] = {"a": [], "b": []}
+    """Of each group the pairs of members in different components that were not compared with its first member and whose sketches leave room for a link (kind 3).
+
+    ``nearest``: for each member one of every other component only; groups of which pairs are left for later follow (kind 4).
+    """
+    out: dict[str, list] = {k: [] for k in ("kind", "v", "w", "b", "x", "y", "z")}
     if not groups.num_rows:
         return out
     known, root, size = (joined(answers[k], np.int64) for k in ("v", "root", "n"))
     sketch, at = np.frombuffer(b"".join(answers["s"].to_pylist()), np.uint8), np.concatenate(([0], np.cumsum(sketch_bytes(size))))
     order = np.argsort(known)
     sorted_known = known[order]
-    found, many = [], 0
-    for x, y, z in zip(*(groups[k].to_pylist() for k in ("x", "y", "z"))):
-        v, ask = np.frombuffer(x, np.int64), np.frombuffer(z, bool)
+    found, many, left = [], 0, []
+    for b, v, mask in _split(groups):
         place = order[np.searchsorted(sorted_known, v)]
-        own = root[place]
-        end = np.cumsum(np.frombuffer(y, np.uint32).astype(np.int64))
-        for a, e in zip(np.concatenate(([0], end[:-1])), end):
-            if (own[a + 1 : e] == own[a]).all():
-                continue
-            who = place[a + 1 : e]
-            n = size[who]
-            width = int(sketch_bytes(n).min())
-            # all sketches of the group folded to its shortest
-            rows = np.stack([np.bitwise_xor.reduce(sketch[at[i] : at[i + 1]].reshape(-1, width), axis=0) for i in who])
-            for i in range(len(who) - 1):  # one member at a time, so memory is in proportion to the group
-                ok = np.flatnonzero((root[who[i + 1 :]] != root[who[i]]) & (ask[a + 1 + i] | ask[a + 2 + i : e]) & _may_link(n[i], n[i + 1 :])) + i + 1
-                if len(ok):
-                    far = np.bitwise_count(rows[ok] ^ rows[i]).sum(1).astype(np.int64) - most_apart(n[i], n[ok])
-                    ok, far = ok[far <= 0], far[far <= 0]
-                if nearest and len(ok) > 1:
-                    ok = ok[np.lexsort((far, root[who[ok]]))]
-                    ok = ok[np.unique(root[who[ok]], return_index=True)[1]]
-                if len(ok):
-                    w, u = known[who[ok]], known[who[i]]
-                    found.append(np.stack([np.minimum(w, u), np.maximum(w, u)], 1))
-                    many += len(ok)
-                    if many > 500_000:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-                        many = 0
+        if (root[place] == root[place[0]]).all():
+            continue
+        who, ask = place[1:], mask[1:]
+        n = size[who]
+        width = int(sketch_bytes(n).min())
+        # all sketches of the group folded to its shortest
+        rows = np.stack([np.bitwise_xor.reduce(sketch[at[i] : at[i + 1]].reshape(-1, width), axis=0) for i in who])
+        later = False
+        for i in range(len(who) - 1):  # one member at a time, so memory is in proportion to the group
+            ok = np.flatnonzero((root[who[i + 1 :]] != root[who[i]]) & (ask[i] | ask[i + 1 :]) & _may_link(n[i], n[i + 1 :])) + i + 1
+            if len(ok):
+                far = np.bitwise_count(rows[ok] ^ rows[i]).sum(1).astype(np.int64) - most_apart(n[i], n[ok])
+                ok, far = ok[far <= 0], far[far <= 0]
+            if nearest and len(ok) > 1:
+                before = len(ok)
+                ok = ok[np.lexsort((far, root[who[ok]]))]
+                ok = ok[np.unique(root[who[ok]], return_index=True)[1]]
+                later |= len(ok) < before
+            if len(ok):
+                w, u = known[who[ok]], known[who[i]]
+                found.append(np.stack([np.minimum(w, u), np.maximum(w, u)], 1))
+                many += len(ok)
+                if many > 500_000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    many = 0
+        if later:
+            left.append((b, v, mask))
     if found:
         both = np.unique(np.concatenate(found), axis=0)
-        out["a"], out["b"] = both[:, 0], both[:, 1]
+        none = [None] * len(both)
+        out = {"kind": [3] * len(both), "v": both[:, 0].tolist(), "w": both[:, 1].tolist(), "b": none, "x": none, "y": none, "z": none}
+    rest = _packed_groups(left)
+    for k in ("b", "x", "y", "z"):
+        out[k] = out[k] + rest[k]
+    for k, x in (("kind", 4), ("v", None), ("w", None)):
+        out[k] = out[k] + [x] * len(rest["b"])
     return out
 
 
@@ -579,15 +623,25 @@ def linked(docs: DataFrame) -> DataFrame:
     roots = written(components(links), "roots")
     if groups.take(1):
         home = buckets(spark, 0)
-        asked = grouped(groups, "b", _asked(home), "q int, b int, v binary")
+        place, packed_group = _place(home)("v").alias("q"), "b int, x binary, y binary, z binary"
+
+        def answers(groups, sets):
+            asked = grouped(groups, "b", _asked(home), "q int, b int, v binary")
+            return cogrouped(asked, sets, "q", _answered, "b int, v binary, root binary, n binary, s binary")
+
+        bare = roots.select("v", F.lit(0).cast("bigint").alias("n"), F.lit(b"").alias("s"), "root", place)
+        groups = written(cogrouped(groups, answers(groups, bare), "b", _unsettled, packed_group), "groups")
         for nearest in (True, False):
-            sets = outlines.join(roots, "v", "left").select("v", "n", "s", F.coalesce("root", "v").alias("root"), _place(home)("v").alias("q"))
-            answers = cogrouped(asked, sets, "q", _answered, "b int, v binary, root binary, n binary, s binary")
-            across = written(cogrouped(groups, answers, "b", partial(_across, nearest=nearest), "a bigint, b bigint").distinct(), "across")
+            sets = outlines.join(roots, "v", "left").select("v", "n", "s", F.coalesce("root", "v").alias("root"), place)
+            made = written(cogrouped(groups, answers(groups, sets), "b", partial(_across, nearest=nearest), "kind int, v bigint, w bigint, " + packed_group), "across")
+            across = made.where("kind = 3").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
             if not across.take(1):  # none is left: components only ever grow together
                 break
             links = links.unionAll(written(_verified(docs, meta, across), "links"))
             roots = written(components(links), "roots")
+            groups = made.where("kind = 4").select("b", "x", "y", "z")
+            if not groups.take(1):
+                break
     named = meta.join(roots, "v", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "v")).alias("root"))
     named = written(named, "named")
     least = named.where("doc_id is not null and root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
