@@ -24,7 +24,7 @@ have a filled segment in common.
   with all documents of its three bands instead, by an equi-join on the band.
 
 Candidates first meet in parity sketches: each shingle flips one bit of a map
-at least twice as long as the set, so two maps never differ in more bits than their sets
+at least four times as long as the set, so two maps never differ in more bits than their sets
 do in shingles, and a pair whose maps differ in more than H bits is dropped for
 sure.  The rest are verified exactly on the shingle sets.  In a group of documents
 that share a segment, only pairs with its smallest member are verified first;
@@ -143,8 +143,8 @@ def vertices(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def sketch_bytes(n: np.ndarray) -> np.ndarray:
-    """Bytes of the sketch of a set: a power of two of bits, at least twice as many as shingles within limits."""
-    return (np.clip(2 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH) >> 3).astype(np.int64)
+    """Bytes of the sketch of a set: a power of two of bits, at least four times as many as shingles within limits."""
+    return (np.clip(4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *SKETCH) >> 3).astype(np.int64)
 
 
 def sketches(sets: np.ndarray, n: np.ndarray) -> np.ndarray:
