@@ -216,6 +216,16 @@ def test_nearest(spark):
     assert ann_search.nearest_query(df.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_copies(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda n: [(v / np.linalg.norm(v)).tolist() for v in rng.normal(size=(n, 24))]
+    one, others = unit(1)[0], unit(60)
+    for copies in (22, 60):
+        rows = [(1000 + i, one) for i in range(copies)] + [(2000 + i, e) for i, e in enumerate(others)]
+        got = sorted((r["rank"], r.vec_id) for r in ann_search.nearest_query(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).where("query_id = 1000").collect())
+        assert got == [(k, 1000 + k) for k in range(1, 21)]
+
+
 def test_license_scan(spark, empty):
     rows = [(1, "Licensed under the Apache Licence, Version 2.0."), (2, "ALL RIGHTS RESERVED. CC-BY, cc by"), (3, None), (4, ""), (5, "x" * 90_000 + " all rights reserved"), (6, "a General  Public, LICENSE and the general public licensee")]
     got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
