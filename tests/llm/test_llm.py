@@ -226,6 +226,22 @@ def test_nearest_copies(spark):
         assert got == [(k, 1000 + k) for k in range(1, 21)]
 
 
+def test_nearest_of_unequal_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:1200] *= rng.uniform(0.3, 0.9, (1200, 1))
+    x[7] *= 20
+    x[8] *= 1e-200
+    got = {}
+    for r in ann_search.nearest_query(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[::20] @ x.T
+    score[np.arange(len(score)), np.arange(0, len(x), 20)] = -np.inf
+    best = np.argsort(-score, 1)[:, :20].tolist()
+    assert sum(len(set(b) & got[20 * i]) for i, b in enumerate(best)) / (20 * len(best)) >= 0.9
+
+
 def test_license_scan(spark, empty):
     rows = [(1, "Licensed under the Apache Licence, Version 2.0."), (2, "ALL RIGHTS RESERVED. CC-BY, cc by"), (3, None), (4, ""), (5, "x" * 90_000 + " all rights reserved"), (6, "a General  Public, LICENSE and the general public licensee")]
     got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
