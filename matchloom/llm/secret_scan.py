@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key-like characters, and values assigned to a
-suspicious name.  Each is described by its length, digits and letter cases,
+Candidates are long runs of key-like characters that hold a digit, or are assigned
+or quoted; values assigned to a name with a suspicious part; and passwords in
+addresses.  Each is described by its length, digits and letter cases,
 entropy, the likelihood of its character transitions under the corpus' words,
 how much of it a dictionary covers, the kind of path its source suggests, and the
 words before it.  A forest of classification trees, trained from labelled
@@ -43,8 +44,13 @@ HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "diges
 KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_.-]+)")
 # Word parts for the dictionary cover.
 PARTS = ("tion", "ing", "the", "and", "ment", "able", "ation", "ent", "ion", "ter", "con", "pro", "ver", "ess", "est", "ous", "ant", "with", "from", "that", "this", "name", "test", "user", "data", "file", "path", "page", "time", "date", "word", "text", "your", "here", "pass", "change", "sample", "example", "dummy", "placeholder", "keit", "heit", "ung", "sch", "lich", "ich", "ein", "auch", "eau", "eux", "aux", "oire", "elle", "que", "pour", "ción", "mente", "ado", "ando", "aje", "ente", "los", "las")
-CANDIDATE = re.compile(r"""(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{16,}(?![A-Za-z0-9_+/=.-])|(?i:\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)\b["']?\s{0,3}[:=]\s{0,3}["']?)([^\s"',;]{6,})""")
-FEATURES = ("length", "digits", "upper", "lower", "other", "entropy", "hex", "transition", "cover", "repeat", "assigned", "quoted", "suspect", "harmless", "known", "code_path")
+CANDIDATE = re.compile(
+    r"""://[^\s/@:"']{0,64}:(?P<address>[^\s/@"']{3,256})@"""
+    r"""|(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{16,}(?![A-Za-z0-9_+/=.-])"""
+    r"""|(?i:(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)[A-Za-z0-9_-]{0,40}["']?\s{0,3}[:=]\s{0,3}["']?)(?P<named>[^\s"',;]{6,})"""
+    r"""|(?:[:=]\s{0,3}["']?|["'])(?P<assigned>[A-Za-z0-9_+/=.-]{16,})(?![A-Za-z0-9_+/=.:@-])"""
+)
+FEATURES = ("length", "digits", "upper", "lower", "other", "entropy", "hex", "transition", "cover", "repeat", "assigned", "quoted", "suspect", "harmless", "known", "code_path", "address")
 
 _CLASS = np.full(256, 5)
 for _i, _part in enumerate(("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOUBCDFGHJKLMNPQRSTVWXYZ", "0123456789", "_-./+=")):
@@ -86,6 +92,7 @@ def features(value: str, before: str, after: str, source: str) -> list[float]:
         float(any(x.strip("_-") in HARMLESS for x in names)),
         float(bool(KNOWN.match(value))),
         float(bool(re.search(r"\.(?:py|js|ts|go|java|env|ya?ml|json|cfg|ini|tf)$|config|deploy", source or ""))),
+        float(after[:1] == "@" and bool(re.search(r"://[^\s/@:]*:$", before))),
     ]
 
 
@@ -93,10 +100,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """Spans that might be secrets, in order and without overlap."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span(1) if m.group(1) else m.span()
-        while b > a and text[b - 1] in ".,;:=-/":
-            b -= 1
-        if b - a >= 6 and (not out or a >= out[-1][1]):
+        a, b = m.span(m.lastgroup or 0)
+        if m.lastgroup != "address":
+            while b > a and text[b - 1] in ".,;:=-/":
+                b -= 1
+        if b - a >= (3 if m.lastgroup == "address" else 6) and (not out or a >= out[-1][1]):
             out.append((a, b))
     return out
 
@@ -156,19 +164,25 @@ class Forest:
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int]]:
-    """``(text, source, secret)`` findings by rule; the candidate is the last word of the text."""
+    """``(text, source, secret)`` findings by rule; the candidate is the last one of the text."""
     rng = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(np.array(list(chars))[rng.integers(0, len(chars), k)])
     hexes, upper, lower, digits = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     words = lambda k: "".join(PARTS[i] for i in rng.integers(0, len(PARTS), k))
     prose = lambda: " ".join(words(int(rng.integers(1, 4))) for _ in range(int(rng.integers(0, 5))))
     out = []
+    inner = lambda: pick(upper + lower + digits + "!#$%&*?", int(rng.integers(3, 8)))
+    short = lambda: [inner() + pick(digits, 1) + inner(), pick(lower, int(rng.integers(4, 8))) + pick(digits, int(rng.integers(1, 4))) + pick("!#$%&*?", 1) + pick(lower, 2), words(2)[:7] + pick(digits, int(rng.integers(1, 4))) + pick("!#$%&*?", 1) + pick(lower, int(rng.integers(0, 3)))][rng.integers(3)]
     for _ in range(n):
         name = str(rng.choice(["token", "secret", "password", "api_key", "apikey", "access_token", "client_secret", "auth_token", "private_key"]))
         harmless = str(rng.choice(HARMLESS))
-        value = [pick(hexes, int(rng.choice([32, 40, 48, 64]))), pick(upper + lower + digits, int(rng.integers(20, 50))), "AKIA" + pick(upper + digits, 16), "ghp_" + pick(upper + lower + digits, 36), "sk-" + pick(upper + lower + digits, 32), pick(upper + lower + digits + "+/", 40) + "="][rng.integers(6)]
+        value = [pick(hexes, int(rng.choice([32, 40, 48, 64]))), pick(upper + lower + digits, int(rng.integers(20, 50))), "AKIA" + pick(upper + digits, 16), "ghp_" + pick(upper + lower + digits, 36), "sk-" + pick(upper + lower + digits, 32), pick(upper + lower + digits + "+/", 40) + "=", short(), short(), pick(lower, int(rng.integers(18, 40))), pick(upper + lower, int(rng.integers(18, 40)))][rng.integers(10)]
         assign = str(rng.choice([" = ", "=", ": ", ' = "', "='"]))
-        out.append((f"{prose()} {name}{assign}{value}", str(rng.choice(["src", "app.env", "config.yml", "notes.txt"])), 1))
+        if rng.integers(8) == 0:
+            text = f"{prose()} {rng.choice(['postgres', 'mysql', 'amqp', 'https', 'redis'])}://{words(1)}:{pick(upper + lower + digits, int(rng.integers(4, 6))) + pick(digits, 1) if rng.integers(2) else short().replace('?', '')}@{words(1)}/db"
+        else:
+            text = f"{prose()} {str(rng.choice(['', '', 'DB_', 'my-', 'app_'])) + name}{assign}{value}"
+        out.append((text, str(rng.choice(["src", "app.env", "config.yml", "notes.txt"])), 1))
         other = [
             f"{harmless} {pick(hexes, int(rng.choice([32, 40, 64])))}",
             f"{harmless}: {pick(hexes, 40)}",
@@ -178,8 +192,11 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int
             pick(digits, int(rng.integers(16, 24))),
             f"www.{words(3)}.example.com/{words(2)}/{pick(digits, 4)}",
             f"{words(2)}_{words(2)}_{words(2)}-{pick(digits, 2)}",
-        ][rng.integers(8)]
-        out.append((f"{prose()} {other}", str(rng.choice(["src", "README.md", "index.html", "notes.txt"])), 0))
+            f"{name}{assign}{rng.choice(['required', 'optional', 'changeme', 'undefined', 'string', 'process.env.SECRET', 'os.environ', words(3)])}",
+            f'title{assign}{words(int(rng.integers(5, 9)))}',
+            f"https://user:{rng.choice(['password', 'passwd', '<password>', 'changeme', '$PASSWORD', 'pass', 'xxxx', '****'])}@{words(1)}/db",
+        ][rng.integers(11)]
+        out.append((f"{prose()} {other}", str(rng.choice(["src", "README.md", "index.html", "notes.txt", "app.env", "config.yml"])), 0))
     return out
 
 

@@ -279,6 +279,16 @@ def test_secret_scan(docs, empty, spark):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_short_or_digitless_values(spark):
+    texts = {'DB_PASSWORD = "hunter2!x"': "hunter2!x", 'client_secret: "s3cr3t!pw"': "s3cr3t!pw", 'access_token = "qzvkxwpjhtbmnrfgdlcyqzsxwv"': "qzvkxwpjhtbmnrfgdlcyqzsxwv", 'key = "XqWzKvJpTbNmRfGdLcYh"': "XqWzKvJpTbNmRfGdLcYh", "postgres://u:pa55@host/db": "pa55"}
+    for text, value in texts.items():
+        assert [text[a:b] for a, b in secret_scan.candidates(text)] == [value]
+    own = spark.createDataFrame([(i, t, "app.env") for i, t in enumerate([*texts, "password: required", "the title of 'internationalisation' and more"])], "doc_id bigint, text string, source string")
+    got = [r.text for r in secret_scan.redacted(own).orderBy("doc_id").collect()]
+    assert got == [t.replace(v, "<SECRET>") for t, v in texts.items()] + ["password: required", "the title of 'internationalisation' and more"]
+    assert secret_scan.candidates("pass" * 50_000) == []
+
+
 def test_language_id(spark, empty):
     english, german = "the quick brown fox and the lazy dog were there with that other thing ", "der schnelle braune fuchs und die faule katze waren auch nicht mit dem hund "
     rows = [(i, (english if i % 2 else german) * 3, "en" if i % 2 else "de", f"h{i % 5}", 1, 1, 1, 1.0) for i in range(40)]
