@@ -6,7 +6,9 @@ Evidence of a document, or a page:
   per language, trained from about TRAIN declared texts of each language, twice as
   many at most on average, chosen by hash - the only bounded sample here;
 * declared markup language (``<html lang>``, or the lang column), believed as far
-  as the text model agrees with such declarations over the whole corpus;
+  as the text model agrees with such declarations over the whole corpus; only its
+  primary subtag counts, and one that is none of the LANGUAGES most declared ones
+  is evidence for those, but never a verdict itself;
 * address suffix (top-level domain, and the first path segment where it is
   a language code), counted the same way;
 * host prior, smoothed hierarchically: host, its registered domain, the corpus.
@@ -37,6 +39,8 @@ from .shared import flat, packed, written
 #: Texts of each language that the text model is trained from, and bytes used of each.
 TRAIN, TRAIN_BYTES = 400, 20_000
 BINS = 1 << 15
+#: Most languages of the text model, those with most declared texts; others only count as declarations.
+LANGUAGES = 200
 #: Most trigrams whose evidence counts, pseudo-counts of the host hierarchy and of declarations.
 EVIDENCE, HOST, DECLARED = 60.0, 20.0, 5.0
 #: A document whose best language has less than this, or none of the wanted ones, is rejected.
@@ -54,13 +58,16 @@ def _bins(data: np.ndarray) -> np.ndarray:
     return x >> np.uint32(32 - 15)
 
 
+def _primary(column: str):
+    """The primary subtag of a declared language: en of en-us and en_gb."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(F.col(column))), "^[^-_]*", 0), F.lit(""))
+
+
 def trained(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and log likelihoods [bin, language], from ``(declared, text)``."""
+    """The LANGUAGES most declared languages, and log likelihoods [bin, language], from ``(declared, text)``."""
     rank = F.xxhash64("text")
-    sample = texts.where("declared is not null and declared <> '' and text is not null").withColumn("r", rank)
-    share = sample.groupBy("declared").count().collect()
-    if len(share) > 200:
-        raise ValueError("over 200 declared languages")
+    sample = texts.withColumn("declared", _primary("declared")).where("declared is not null and text is not null").withColumn("r", rank)
+    share = sample.groupBy("declared").count().orderBy(F.col("count").desc(), "declared").limit(LANGUAGES).collect()
     many = {r["declared"]: r["count"] for r in share}
     languages = sorted(many)
     if not languages:
@@ -130,7 +137,7 @@ def identified(inputs: DataFrame) -> DataFrame:
     """``kind, id, language, confidence, text_language, declared, suffix, host`` for rows of INPUT."""
     languages, model = trained(inputs.select("declared", "text"))
     n = len(languages)
-    scored = written(_text_evidence(inputs, languages, model), "evidence").withColumn("posterior", _softmax(F.col("evidence")))
+    scored = written(_text_evidence(inputs, languages, model), "evidence").withColumn("posterior", _softmax(F.col("evidence"))).withColumn("tag", _primary("declared"))
     total = scored.agg(F.count("*"), *[F.sum(F.col("posterior")[k]) for k in range(n)]).first()
     prior = [((x or 0.0) + 1.0) / ((total[0] or 0) + n) for x in total[1:]]
     base = F.array(*[F.lit(float(p)) for p in prior])
@@ -142,13 +149,13 @@ def identified(inputs: DataFrame) -> DataFrame:
         return F.zip_with(counts, below, lambda c, p: (c + p * weight) / (size + weight))
 
     out = scored
-    for key in ("declared", "suffix", "domain", "host"):
+    for key in ("tag", "suffix", "domain", "host"):
         out = out.join(_summed(scored, key, n), key, "left").withColumn(f"{key}_n", F.coalesce(F.col(f"{key}_n"), zeros))
     by_domain = smoothed(F.col("domain_n"), base, HOST)
     by_host = smoothed(F.col("host_n"), by_domain, HOST)
     ratio = lambda key: F.zip_with(smoothed(F.col(f"{key}_n"), base, DECLARED), base, lambda p, q: F.log(p / q))
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = plus(plus(F.col("evidence"), F.transform(by_host, lambda p: F.log(p))), plus(ratio("declared"), ratio("suffix")))
+    fused = plus(plus(F.col("evidence"), F.transform(by_host, lambda p: F.log(p))), plus(ratio("tag"), ratio("suffix")))
     names = F.array(*[F.lit(x) for x in languages])
     out = out.withColumn("fused", _softmax(fused))
     first = lambda x: F.element_at(names, F.array_position(x, F.array_max(x)).cast("int"))

@@ -303,6 +303,20 @@ def test_language_id(spark, empty):
     assert language_id.accepted(empty).count() == 0
 
 
+def test_language_id_of_many_declarations(spark, monkeypatch):
+    english, german = "the quick brown fox and the lazy dog were there with that other thing ", "der schnelle braune fuchs und die faule katze waren auch nicht mit dem hund "
+    tags = ("en", "en-us", "EN_gb"), ("de", "de-at", "de_CH")
+    rows = [(i, (german if i % 2 else english) * 3, tags[i % 2][i % 3], "h", 1, 1, 1, 1.0) for i in range(60)]
+    rows += [(100 + i, english, f"x{i}", "h", 1, 1, 1, 1.0) for i in range(205)]
+    inputs = language_id.from_documents(spark.createDataFrame(rows, DOCS))
+    languages, _ = language_id.trained(inputs.select("declared", "text"))
+    assert len(languages) == 200 and {"en", "de"} <= set(languages) and not {"en-us", "de-at"} & set(languages)
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    got = {r.id: r for r in language_id.identified(inputs).collect()}
+    assert len(got) == 265 and got[1].declared == "de-at" and all(got[i].language == ("de" if i % 2 else "en") for i in range(60))
+    assert {got[i].language for i in range(100, 305)} == {"en"}
+
+
 def test_pipeline(spark, docs, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
