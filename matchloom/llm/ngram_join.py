@@ -20,16 +20,19 @@ have a filled segment in common.
   never results).  Common segments thus travel only where others are too few.
 * Sets with H = 1 are one segment with its one-deletion neighbourhood: two sets
   that differ in one shingle share the smaller one.
-* A document whose shingles fill too few segments (rare for H > 1) is compared
-  with all documents of its three bands instead, by an equi-join on the band.
+* A document whose shingles fill too few segments (rare for H > 1) is found by
+  shingles instead: of any floor(size / 4) + 1 of its shingles a linked set holds at
+  least one, so one more scan sends the documents' shingles that are among these.
 
 Candidates first meet in parity sketches: each shingle flips one bit of a map
 at least four times as long as the set, so two maps never differ in more bits than their sets
 do in shingles, and a pair whose maps differ in more than H bits is dropped for
 sure.  The rest are verified exactly on the shingle sets.  In a group of documents
-that share a segment, only pairs with its smallest member are verified first;
-then each member meets the nearest one, by sketch, of every component it is still
-separate from, and at last all pairs across what remains.  Groups of near copies
+that share a segment, only pairs with its smallest member, the centre, are verified
+first.  Groups with one centre are then one; where it still has members in different
+components, each member meets the nearest ones by sketch in other components:
+one in the first round, MORE times as many in each further one, until no
+group has a pair left that was not compared.  Groups of near copies
 thus cost few pairs a member, and no link between separate components is lost.  Equal sets are one vertex from the start.
 
 Memory and skew: segments travel packed, 6 bytes each, to buckets that are hash
@@ -37,7 +40,8 @@ ranges, with the names of those sets only that the bucket needs; 32 bits of a ke
 beside its range suffice, since a false agreement only costs a comparison.  A scan
 task sends an equal set once.  Verification deals pairs by their
 larger member, so a set with very many neighbours is sent to each partition at
-most once.
+most once.  A group with more than MEMBERS members is dealt by hash into parts,
+and each two parts are a task of their own.
 
 Shingles and sets are 64-bit hashes.  Defined results: a null text, or one
 without words, has an empty set and no links; fewer than five words are one
@@ -56,7 +60,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import GOLD, POLY, U, Words, buckets, by_bucket, cogrouped, components, flat, grouped, joined, mix, packed, runs, slot_filter, spread, text_bytes, windows, written
+from .shared import GOLD, POLY, SLOTS, Scratch, U, Words, buckets, by_bucket, cogrouped, components, flat, grouped, joined, mix, packed, runs, slot_filter, spread, text_bytes, windows, written
 
 SHINGLE = 5
 #: Bits of the map of common shingles, one document in how many it is taken from, and how often a sampled shingle is common.
@@ -64,11 +68,13 @@ COMMON_BITS, SAMPLE, COMMON = 22, 64, 3
 #: Segments gathered by a scan task before it sends them, and documents in one part of them.
 FLUSH, PART = 600_000, 32_000
 
+#: Members of a group's part, pairs of a member in the first round, and how their number grows.
+MEMBERS, NEAREST, MORE = 2048, 1, 8
 #: Bits of the smallest and the largest parity sketch.
 SKETCH = (256, 1 << 18)
 #: kind 0: segments (x: names of sets, y: places in it, the top bit for one that looks up, z: keys); 1: documents (x: ids, y: sizes, z: sets); 2: sets that fill too few segments (x, y)
 SENT = "b int, kind int, x binary, y binary, z binary"
-#: kind 1 and 2 as before; 3: pairs (x, y); 4: groups (x: members, y: how many each has, z: which look up)
+#: kind 1 and 2 as before; 3: pairs (x, y); 4: members of groups of three or more (x: members, y: centres, z: which look up), by the place of the member
 FOUND = SENT
 META = "doc_id bigint, n_shingles bigint, v bigint"
 
@@ -314,7 +320,7 @@ def _may_link(n, m):
     return 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
 
 
-def _candidates(t: pa.Table) -> dict[str, list]:
+def _candidates(t: pa.Table, count: int) -> dict[str, list]:
     out: dict[str, list] = {k: [] for k in ("b", "kind", "x", "y", "z")}
     keys, v, ask = [], [], []
     for b, kind, x, y, z in zip(*(t[k].to_pylist() for k in ("b", "kind", "x", "y", "z"))):
@@ -352,128 +358,66 @@ def _candidates(t: pa.Table) -> dict[str, list]:
     b = t["b"][0].as_py()
     if len(both):
         _put(out, b, 3, both[:, 0].tobytes(), both[:, 1].tobytes(), b"")
-    # groups of three or more, each set of members once
-    whole = np.add.reduceat(mix(v.view(np.uint64) * U(2) + ask), begin[:-1])
-    large = np.flatnonzero((size > 2) & ask[begin[:-1]])
-    if len(large):
-        _, some = np.unique(whole[large], return_index=True)
-        large = large[some]
-        own = np.isin(r, large)
-        _put(out, b, 4, v[own].tobytes(), size[np.unique(r[own])].astype(np.uint32).tobytes(), ask[own].tobytes())
+    # groups of three or more, each member once for a centre, to the member's place
+    many = pair & (size[r] > 2)
+    if many.any():
+        both = np.stack([v[many], v[center][many]], 1)
+        order = np.lexsort((~ask[many], both[:, 1], both[:, 0]))
+        both, asks = both[order], ask[many][order]
+        first = np.concatenate(([True], (both[1:] != both[:-1]).any(1)))
+        both, asks = both[first], asks[first]
+        order, at = by_bucket(spread(both[:, 0], count), count)
+        for k in np.flatnonzero(np.diff(at)):
+            own = order[at[k] : at[k + 1]]
+            _put(out, int(k), 4, both[own, 0].tobytes(), both[own, 1].tobytes(), asks[own].tobytes())
     return out
 
 
-def _asked(count: int):
-    """The members of a bucket's groups, packed by the place where their roots and sketches are."""
-
-    def run(t: pa.Table) -> dict[str, list]:
-        v = np.unique(joined(t["x"], np.int64))
-        order, at = by_bucket(spread(v, count), count)
-        own = np.flatnonzero(np.diff(at))
-        return {"q": own, "b": np.repeat(t["b"][0].as_py(), len(own)), "v": [v[order[at[k] : at[k + 1]]].tobytes() for k in own]}
-
-    return run
-
-
-def _answered(asked: pa.Table, sets: pa.Table) -> dict[str, list]:
-    """For each bucket that asks: those of its members that are known here, with root, size and sketch."""
-    known = sets["v"].to_numpy()
-    order = np.argsort(known)
-    known, root, n, s = known[order], sets["root"].to_numpy()[order], sets["n"].to_numpy()[order], sets["s"].to_pylist()
-    out: dict[str, list] = {k: [] for k in ("b", "v", "root", "n", "s")}
-    for b, v in zip(asked["b"].to_pylist(), asked["v"].to_pylist()) if len(known) else ():
-        v = np.frombuffer(v, np.int64)
-        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
-        at = at[known[at] == v]
-        if len(at):
-            for k, x in (("b", b), ("v", known[at].tobytes()), ("root", root[at].tobytes()), ("n", n[at].tobytes()), ("s", b"".join([s[order[i]] for i in at.tolist()]))):
-                out[k].append(x)
-    return out
-
-
-def _split(groups: pa.Table):
-    """Bucket, members and which look up, of each packed group."""
-    for b, x, y, z in zip(*(groups[k].to_pylist() for k in ("b", "x", "y", "z"))):
-        v, ask = np.frombuffer(x, np.int64), np.frombuffer(z, bool)
-        end = np.cumsum(np.frombuffer(y, np.uint32).astype(np.int64))
-        for a, e in zip(np.concatenate(([0], end[:-1])), end):
-            yield b, v[a:e], ask[a:e]
-
-
-def _packed_groups(kept: list) -> dict[str, list]:
-    """Groups of one bucket as one row, if there are any."""
-    if not kept:
-        return {k: [] for k in ("b", "x", "y", "z")}
-    return {"b": [kept[0][0]], "x": [b"".join(v.tobytes() for _, v, _ in kept)], "y": [np.array([len(v) for _, v, _ in kept], np.uint32).tobytes()], "z": [b"".join(ask.tobytes() for _, _, ask in kept)]}
-
-
-def _unsettled(groups: pa.Table, answers: pa.Table) -> dict[str, list]:
-    """The groups whose members are of more than one component; a set without an answer is alone in its own."""
-    known, root = (joined(answers[k], np.int64) for k in ("v", "root"))
-    order = np.argsort(known)
-    known, root, kept = known[order], root[order], []
-    for b, v, ask in _split(groups):
-        own = v
-        if len(known):
-            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
-            own = np.where(known[at] == v, root[at], v)
-        if (own != own[0]).any():
-            kept.append((b, v, ask))
-    return _packed_groups(kept)
-
-
-def _across(groups: pa.Table, answers: pa.Table, nearest: bool) -> dict[str, list]:
-    """Of each group the pairs of members in different components that were not compared with its first member and whose sketches leave room for a link (kind 3).
-
-    ``nearest``: for each member one of every other component only; groups of which pairs are left for later follow (kind 4).
-    """
-    out: dict[str, list] = {k: [] for k in ("kind", "v", "w", "b", "x", "y", "z")}
-    if not groups.num_rows:
-        return out
-    known, root, size = (joined(answers[k], np.int64) for k in ("v", "root", "n"))
-    sketch, at = np.frombuffer(b"".join(answers["s"].to_pylist()), np.uint8), np.concatenate(([0], np.cumsum(sketch_bytes(size))))
-    order = np.argsort(known)
-    sorted_known = known[order]
-    found, many, left = [], 0, []
-    for b, v, mask in _split(groups):
-        place = order[np.searchsorted(sorted_known, v)]
-        if (root[place] == root[place[0]]).all():
-            continue
-        who, ask = place[1:], mask[1:]
-        n = size[who]
-        width = int(sketch_bytes(n).min())
-        # all sketches of the group folded to its shortest
-        rows = np.stack([np.bitwise_xor.reduce(sketch[at[i] : at[i + 1]].reshape(-1, width), axis=0) for i in who])
-        later = False
-        for i in range(len(who) - 1):  # one member at a time, so memory is in proportion to the group
-            ok = np.flatnonzero((root[who[i + 1 :]] != root[who[i]]) & (ask[i] | ask[i + 1 :]) & _may_link(n[i], n[i + 1 :])) + i + 1
-            if len(ok):
-                far = np.bitwise_count(rows[ok] ^ rows[i]).sum(1).astype(np.int64) - most_apart(n[i], n[ok])
-                ok, far = ok[far <= 0], far[far <= 0]
-            if nearest and len(ok) > 1:
-                before = len(ok)
-                ok = ok[np.lexsort((far, root[who[ok]]))]
-                ok = ok[np.unique(root[who[ok]], return_index=True)[1]]
-                later |= len(ok) < before
-            if len(ok):
-                w, u = known[who[ok]], known[who[i]]
-                found.append(np.stack([np.minimum(w, u), np.maximum(w, u)], 1))
-                many += len(ok)
-                if many > 500_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    many = 0
-        if later:
-            left.append((b, v, mask))
-    if found:
-        both = np.unique(np.concatenate(found), axis=0)
-        none = [None] * len(both)
-        out = {"kind": [3] * len(both), "v": both[:, 0].tolist(), "w": both[:, 1].tolist(), "b": none, "x": none, "y": none, "z": none}
-    rest = _packed_groups(left)
-    for k in ("b", "x", "y", "z"):
-        out[k] = out[k] + rest[k]
-    for k, x in (("kind", 4), ("v", None), ("w", None)):
-        out[k] = out[k] + [x] * len(rest["b"])
-    return out
+def _members(t: pa.Table) -> dict[str, list]:
+    """Each member and centre once, and whether it looks up anywhere."""
+    v, center, ask = joined(t["x"], np.int64), joined(t["y"], np.int64), joined(t["z"], bool)
+    order = np.lexsort((~ask, center, v))
+    v, center, ask = v[order], center[order], ask[order]
+    first = np.concatenate(([True], (v[1:] != v[:-1]) | (center[1:] != center[:-1])))
+    return {"v": v[first], "center": center[first], "ask": ask[first]}
+
+
+def _across(t: pa.Table, limit: int) -> dict[str, list]:
+    """Of one group, or of two parts of one, pairs in different components whose sketches leave room for a link; for each member the ``limit`` nearest behind it. Last, whether there were more."""
+    v, root, n, part, ask = (t[k].to_numpy() for k in ("v", "root", "n", "part", "ask"))
+    order = np.argsort(v)
+    sketch = t["s"].to_pylist()
+    v, root, n, part, ask = (x[order] for x in (v, root, n, part, ask))
+    width = int(sketch_bytes(n).min())
+    # all sketches folded to the shortest
+    rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketch[i], np.uint8).reshape(-1, width), axis=0) for i in order])
+    two = part[0] != part[-1] or (part != part[0]).any()
+    found, more = [], False
+    for i in range(len(v) - 1):  # one member at a time, so memory is in proportion to the group
+        ok = (root[i + 1 :] != root[i]) & (ask[i] | ask[i + 1 :]) & _may_link(n[i], n[i + 1 :])
+        if two:
+            ok &= part[i + 1 :] != part[i]
+        ok = np.flatnonzero(ok) + i + 1
+        if len(ok):
+            far = np.bitwise_count(rows[ok] ^ rows[i]).sum(1).astype(np.int64) - most_apart(n[i], n[ok])
+            ok, far = ok[far <= 0], far[far <= 0]
+        if len(ok) > limit:
+            ok, more = ok[np.lexsort((ok, far))[:limit]], True
+        if len(ok):
+            found.append(np.stack([np.full(len(ok), v[i]), v[ok]], 1))
+    both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return {"a": [*both[:, 0].tolist(), *[None] * more], "b": [*both[:, 1].tolist(), *[None] * more]}
+
+
+def _sketched(members: DataFrame, outlines: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of groups that are not yet one component, dealt into tasks, with what ``_across`` needs."""
+    own = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    size = own.groupBy("center").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    size = size.where("low <> high").select("center", F.ceil(F.col("size") / MEMBERS).cast("int").alias("parts"))
+    own = own.join(size, "center").withColumn("part", F.pmod(F.xxhash64("v", F.lit(9)), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = own.withColumn("other", other).withColumn("task", F.xxhash64("center", F.least("part", "other"), F.greatest("part", "other")))
+    return dealt.join(outlines, "v").select("task", "v", "root", "n", "s", "part", "ask")
 
 
 def _rows(found: DataFrame, kind: int, schema: str) -> DataFrame:
@@ -492,14 +436,13 @@ def _rows(found: DataFrame, kind: int, schema: str) -> DataFrame:
 # ---------------------------------------------------------------- verifying
 
 
-def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity reaches the threshold, from the texts of one document of each set."""
-    count = buckets(docs.sparkSession, 0)
+def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, count: int, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity reaches the threshold, from the texts of one document of each set, in ``count`` parts."""
     pairs = pairs.withColumn("p", F.pmod(F.xxhash64("b"), F.lit(count)).cast("int"))
     wanted = pairs.select(F.col("a").alias("v"), "p").unionAll(pairs.select(F.col("b").alias("v"), "p"))
     wanted = wanted.groupBy("v").agg(F.collect_set("p").alias("p"))
     one = meta.where("doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
-    wanted = written(wanted.join(one, "v"), "wanted")
+    wanted = keep(wanted.join(one, "v"), "wanted")
     split = slot_filter(wanted.select("doc_id"), "doc_id")
     texts = split(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id")[0].join(wanted, "doc_id").select("v", "p", "text")
 
@@ -587,63 +530,93 @@ def _common(docs: DataFrame) -> np.ndarray:
     return bits
 
 
-def _place(count: int):
-    @F.pandas_udf("int")
-    def place(v):
-        import pandas as pd
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (mix(x.view(np.uint64)) % U(SLOTS)).astype(np.int64)
+
 
-        return pd.Series(spread(v.to_numpy(), count).astype(np.int32))
+def _slots_of(df: DataFrame):
+    """The places of a number column in a bitmap of fixed size, sent to all workers."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))], names=["s"])
+
+    at = df.mapInArrow(run, "s bigint").distinct().toArrow().column("s").to_numpy()
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return df.sparkSession.sparkContext.broadcast(bits)
+
+
+def _in_slots(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _slot(x)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _by_shingles(docs: DataFrame, short: DataFrame, keep: Scratch) -> DataFrame:
+    """Pairs (a, b) of the sets ``short`` (v, n) with all that hold one of floor(n / 4) + 1 of their shingles.
+
+    A set that links holds at least three quarters of either set's shingles.
+    """
+    asked = _slots_of(short.select("v"))
+
+    def probes(parts):
+        for part in parts:
+            sets, n = shingles(part)
+            v = vertices(sets, n)
+            need = np.where(_in_slots(v, asked.value) & (n > 0), n // 4 + 1, 0)
+            mine = np.arange(len(sets)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(need, n)
+            yield {"a": np.repeat(v, need), "k": sets[mine].view(np.int64)}
+
+    texts = docs.where("doc_id is not null").select("text")
+    wanted = keep(packed(texts, probes, "a bigint, k bigint").join(short.select(F.col("v").alias("a")), "a", "left_semi").distinct(), "probes")
+    bits = _slots_of(wanted.select("k"))
+
+    def held(parts):
+        for part in parts:
+            sets, n = shingles(part)
+            hit = _in_slots(sets.view(np.int64), bits.value)
+            yield {"b": np.repeat(vertices(sets, n), n)[hit], "k": sets[hit].view(np.int64)}
 
-    return place
+    pairs = packed(texts, held, "b bigint, k bigint").distinct().join(wanted, "k").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    count = buckets(spark, text_bytes(docs) / 6, 2e6)
+    total, keep = text_bytes(docs), Scratch()
+    count, home = buckets(spark, total / 6, 2e6), buckets(spark, total, 24e6)
     common = spark.sparkContext.broadcast(_common(docs))
     sent = packed(docs, lambda parts: _send(count, common.value)(parts), SENT)
-    found = written(grouped(sent, "b", _candidates, FOUND), "segments")
+    found = keep(grouped(sent, "b", partial(_candidates, count=home), FOUND), "segments")
     meta = _rows(found, 1, META).withColumn("doc_id", F.when(F.col("doc_id") != NONE, F.col("doc_id")))
     pairs = _rows(found, 3, "a bigint, b bigint").distinct()
     short = _rows(found, 2, "v bigint, n bigint").distinct()
     if short.take(1):
-        band = lambda n: F.aggregate(F.lit([int(x) for x in _firsts()[1:48]]), F.lit(0), lambda k, x: k + (n >= x).cast("int"))
-        sets = meta.where("doc_id is not null and n_shingles > 0").select(F.col("v").alias("w"), F.col("n_shingles").alias("k"), band(F.col("n_shingles")).alias("band")).distinct()
-        near = short.withColumn("band", F.explode(F.sequence(band(F.col("n")) - 1, band(F.col("n")) + 1)))
-        more = near.join(sets, "band").where("v <> w and 4 * least(n, k) >= 3 * greatest(n, k)")
-        pairs = pairs.unionAll(more.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))).distinct()
-    groups = found.where("kind = 4").select("b", "x", "y", "z")
-    members = _rows(groups.withColumn("kind", F.lit(4)), 4, "v bigint").distinct()
-    wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).unionAll(members).distinct()
-    outlines = written(_outlines(docs, meta, written(wanted, "sets")), "outlines")
-    pairs = written(_near(pairs, outlines).distinct(), "pairs")
-    links = written(_verified(docs, meta, pairs), "links")
-    roots = written(components(links), "roots")
-    if groups.take(1):
-        home = buckets(spark, 0)
-        place, packed_group = _place(home)("v").alias("q"), "b int, x binary, y binary, z binary"
-
-        def answers(groups, sets):
-            asked = grouped(groups, "b", _asked(home), "q int, b int, v binary")
-            return cogrouped(asked, sets, "q", _answered, "b int, v binary, root binary, n binary, s binary")
-
-        bare = roots.select("v", F.lit(0).cast("bigint").alias("n"), F.lit(b"").alias("s"), "root", place)
-        groups = written(cogrouped(groups, answers(groups, bare), "b", _unsettled, packed_group), "groups")
-        for nearest in (True, False):
-            sets = outlines.join(roots, "v", "left").select("v", "n", "s", F.coalesce("root", "v").alias("root"), place)
-            made = written(cogrouped(groups, answers(groups, sets), "b", partial(_across, nearest=nearest), "kind int, v bigint, w bigint, " + packed_group), "across")
-            across = made.where("kind = 3").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
-            if not across.take(1):  # none is left: components only ever grow together
-                break
-            links = links.unionAll(written(_verified(docs, meta, across), "links"))
-            roots = written(components(links), "roots")
-            groups = made.where("kind = 4").select("b", "x", "y", "z")
-            if not groups.take(1):
-                break
+        pairs = pairs.unionAll(_by_shingles(docs, keep(short, "short"), keep)).distinct()
+    members = keep(grouped(found.where("kind = 4").select("b", "x", "y", "z"), "b", _members, "v bigint, center bigint, ask boolean"), "members")
+    wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).unionAll(members.select("v")).distinct()
+    outlines = keep(_outlines(docs, meta, keep(wanted, "sets")), "outlines")
+    pairs = keep(_near(pairs, outlines).distinct(), "pairs")
+    links = keep(_verified(docs, meta, pairs, home, keep), "links")
+    roots, limit = keep(components(links), "roots"), NEAREST
+    while True:
+        task = _sketched(members, outlines, roots)
+        across = keep(grouped(task, "task", partial(_across, limit=limit), "a bigint, b bigint").distinct(), "across")
+        new = across.where("a is not null").join(pairs, ["a", "b"], "left_anti")
+        if new.take(1):
+            linked_now = keep(_verified(docs, meta, new, home, keep), "links")
+            pairs = keep(pairs.unionAll(new), "pairs")
+            if linked_now.take(1):
+                links = links.unionAll(linked_now)
+                roots = keep(components(links), "roots")
+        if not across.where("a is null").take(1):
+            break
+        limit *= MORE
     named = meta.join(roots, "v", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "v")).alias("root"))
     named = written(named, "named")
+    keep.drop()
     least = named.where("doc_id is not null and root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = named.join(least, "root", "left")
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

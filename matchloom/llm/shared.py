@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a local default is set only where the cluster names none (tests)."""
+    """The folder all machines share, which the cluster names in spark.checkpoint.dir; a local master may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -51,6 +53,22 @@ def drop(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables of one job: called like written(), it keeps them in mind until drop() deletes them all."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str = "step") -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        for df in self.tables:
+            drop(df)
+        self.tables.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

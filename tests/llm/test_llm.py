@@ -323,3 +323,64 @@ def test_pipeline(spark, docs, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "secret_scan", "source_mixing", "sentencepiece"]
     assert all(r.decoded_equal for r in got.collect())
+
+
+def test_sets_that_fill_too_few_segments_are_found_by_shingles(spark):
+    from matchloom.llm.shared import Scratch
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        w = [f"s{rng.randrange(5000)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:55] + ["new"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    import pyarrow as pa
+
+    sets, n = ngram_join.shingles(pa.RecordBatch.from_pydict({"text": [t for _, t in rows]}))
+    v = ngram_join.vertices(sets, n)
+    short = spark.createDataFrame([(int(v[i]), int(n[i])) for i in range(0, 60, 2)], "v bigint, n bigint")
+    keep = Scratch()
+    got = {(r.a, r.b) for r in ngram_join._by_shingles(docs, short, keep).collect()}
+    keep.drop()
+    assert {(min(int(v[i]), int(v[i + 1])), max(int(v[i]), int(v[i + 1]))) for i in range(0, 60, 2)} <= got
+
+
+def test_pairs_of_a_group_in_parts(spark, monkeypatch):
+    """A group dealt into several parts gives the same components."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", 16)
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        w = [f"t{k}" for k in range(120)]
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(120)] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    root = list(range(120))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(120):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: find(i) for i in range(120)}
+
+
+def test_sentencepiece_takes_the_best_path():
+    """Against a dynamic programme over all pieces of a model."""
+    c = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
+    pieces = {c.raw[a:b].tobytes(): i for i, (a, b) in enumerate(zip(c.raw_at[:-1], c.raw_at[1:])) if b > a}
+    cost = {int(p): s for p, s in zip(c.piece.tolist(), c.score.tolist()) if p >= 0}
+    for text in ["internationalisation of the words", "größe 日本語 x", "a" * 90 + " zq zq", "  two  spaces "]:
+        raw = b" " + text.encode()
+        top = [0.0] + [-1e18] * len(raw)
+        for at in range(1, len(raw) + 1):
+            top[at] = max([top[at - 1] + c.low] + [top[k] + cost[pieces[raw[k:at]]] for k in range(max(0, at - 64), at) if pieces.get(raw[k:at]) in cost])
+        ids = c.encode(text).tolist()
+        assert math.isclose(sum(cost.get(i, c.low) for i in ids), top[-1], rel_tol=1e-12)
