@@ -70,7 +70,11 @@ def test_substring_dedup(docs, empty):
         want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()] += 1
     got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs).collect())
     assert got == want and sum(k[2] > 0 for k in want) > 5
+    assert Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, 13, 3).collect()) == want  # three levels
+    assert substring_dedup.lengths(13) == [7, 13] and substring_dedup.lengths(13, 3) == [4, 7, 13]
     assert substring_dedup.remove_repeats(empty).count() == 0
+    alone = docs.where("doc_id = 12").dropDuplicates(["doc_id"])
+    assert [r.n_removed for r in substring_dedup.remove_repeats(alone).collect()] == [0]
 
 
 def test_ngram_join(docs, empty):
@@ -142,10 +146,27 @@ def test_mixing(docs, empty):
         s = source[r.doc_id, r.size]
         assert r.source_size == size[s] and math.isclose(r.target, target[s], rel_tol=1e-9) and r.taken <= 3 * r.size
         taken[s] += r.taken
+    n_docs = Counter(r.source for r in docs.collect())
+    for r in rows:  # the tilt that brute force finds by halving
+        s = source[r.doc_id, r.size]
+        mean, sizes = size[s] / n_docs[s], [len((x.text or "").split()) for x in docs.collect() if x.source == s] if r is rows[0] else []
+        if sizes:
+            low, high = -200.0, 200.0
+            for _ in range(200):
+                middle = (low + high) / 2
+                if sum(x * min(3, math.exp(min(2, middle * x / mean))) for x in sizes) < target[s]:
+                    low = middle
+                else:
+                    high = middle
+            assert math.isclose(r.rate, min(3, math.exp(min(2, low * r.size / mean))), rel_tol=1e-5)
     assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] + 40 for s in size)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_query(docs.repartition(7)).collect()))
     assert mixing.mix_query(empty).count() == 0
-    assert mixing.repeated(docs).columns == docs.columns
+    again = mixing.repeated(docs)
+    assert again.columns == docs.columns and again.count() == sum(r.copies for r in rows)
+    words = Counter(r.source for r in again.collect() for _ in (r.text or "").split())
+    assert words == +taken
+    assert mixing.repeated(empty).count() == 0
 
 
 def test_lm_scoring(docs, empty):
