@@ -1,14 +1,17 @@
 """Substring deduplication by level-wise doubling.
 
-Lengths double from level to level (where a length is odd, the two halves of a
-window share its middle word): windows of 7 words that occur in a single
-document are discarded, and only places where a repeated window survives are
-extended to 13 words and compared again; a level without candidates ends it.
-
-At the first level a document sends not all its windows but one for each
-13-word place: the smallest hash among the seven 7-word windows in it.  Equal
-13-word places hold equal 7-word windows and so send the same one; about a
-quarter of the words are sent instead of all.
+Windows of a short length that occur in a single document are discarded; places
+where a repeated one survives are extended to twice that length and compared again,
+and so on up to windows of n words, until no candidates survive: a level that keeps nothing
+ends it.  Lengths double from level to level (where a length is odd, the two halves
+of a window share its middle word): 7 and 13 for the default SHORTEST, 4, 7 and 13
+for one of 4.  A shorter first level sends less for each place and keeps more places; for windows of 13
+words one more level costs another exchange of the possible texts and gains nothing here.
+
+At each level before the last a document sends not all its windows but one for each
+place of n words: the smallest hash among the shorter windows in it.  Equal
+places hold equal shorter windows and so send the same one; at the first
+level about a quarter of the words are sent instead of all.
 
 Memory and skew: each scan part combines equal windows before it sends them, so
 a passage that a third of all documents hold reaches its bucket once for each
@@ -18,8 +21,9 @@ a repeated window have their texts shuffled, twice.
 Defined results: a null text has no words; a document shorter than the window
 loses nothing; rows with the same doc_id are one document, so what they share
 removes nothing (such rows are expected to hold one text: places found in one
-apply to all); a row with a null doc_id takes no part and keeps its words; extra
-columns are ignored; an empty table gives an empty result.
+apply to all); a row with a null doc_id takes no part and keeps its words; texts of any length
+are read whole, and one text is the most that a worker holds beside its bucket; extra
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import U, Words, buckets, cogrouped, flat, grouped, mix, pack, packed, runs, slot_filter, spread, text_bytes, unpack, windows, written
+from .shared import Scratch, U, Words, buckets, cogrouped, flat, grouped, mix, pack, packed, runs, slot_filter, spread, text_bytes, unpack, windows
 
 TOP = U(0xFFFFFFFFFFFFFFFF)
 ENTRIES = "b int, known boolean, who binary, docs binary, keys binary"
 PLACES = "b int, known boolean, who binary, docs binary, pos binary"
 BOTH = "b int, known boolean, who binary, docs binary, keys binary, pos binary"
+#: The first level's windows have at least this many words.
+SHORTEST = 7
 #: Entries that a scan task gathers before it sends them.
 FLUSH = 400_000
 #: Bytes of text in one bucket of documents.
@@ -114,8 +120,16 @@ def _repeated(count: int):
     return run
 
 
-def _extended(n: int, half: int, count: int):
-    """Windows of n words of documents, at the places that hold a repeated window of ``half``."""
+def lengths(n: int, shortest: int = SHORTEST) -> list[int]:
+    """The lengths of all levels: each at most twice the one before, the last one n."""
+    out = [n]
+    while (out[0] + 1) // 2 >= max(shortest, 1) and out[0] > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def _extended(n: int, last: int, length: int, count: int):
+    """Windows of ``length`` words of documents, at places whose smallest window of ``last`` words is repeated; those of n words with their positions."""
 
     def run(texts: pa.Table, found: pa.Table) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("b", "known", "who", "docs", "keys", "pos")}
@@ -127,21 +141,28 @@ def _extended(n: int, half: int, count: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             words = Words(*flat(batch.column("text")))
             h = words.hashes()
-            place, low = _lowest(words.row, h, n, half)
+            place, low = _lowest(words.row, h, n, last)
             if not len(place):
                 continue
             key = mix(ids[words.row[place]].view(np.uint64)) ^ low
             hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
-            w, at = windows(h, words.row, n)  # at equals place
+            at, w = _lowest(words.row, h, n, length)  # at equals place; of n words the window itself
             w, at = w[hit], at[hit]
             if not len(w):
                 continue
             doc, pos = ids[words.row[at]], (at - words.first[words.row[at]]).astype(np.uint32)
+            if length < n:
+                keep = np.concatenate(([True], (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])))
+                w, doc, pos = w[keep], doc[keep], pos[keep]
             order = np.lexsort((pos, doc, w))
             w, doc, pos = w[order], doc[order], pos[order]
             begin, r = runs(w)
-            later = doc > doc[begin[:-1]][r]
-            for known, keep, bucket in ((False, ~later, _key_bucket(w[~later], count)), (True, later, spread(doc[later], count))):
+            later = doc > doc[begin[:-1]][r]  # repeated for sure
+            if length < n:
+                parts = ((False, np.ones(len(w), bool), _key_bucket(w, count)),)
+            else:
+                parts = ((False, ~later, _key_bucket(w[~later], count)), (True, later, spread(doc[later], count)))
+            for known, keep, bucket in parts:
                 for k, v in pack(bucket, count, known, doc[keep], keys=w[keep], pos=pos[keep]).items():
                     out[k] += v
         return out
@@ -190,23 +211,28 @@ def _result(rows) -> dict[str, list]:
     return out
 
 
-def repeated_places(docs: DataFrame, n: int = 13) -> tuple[DataFrame, Callable, int]:
-    """Packed (document, start) of each window of n words that a smaller document holds too; a splitter of documents that may have some; the number of document buckets."""
+def repeated_places(docs: DataFrame, keep: Scratch, n: int = 13, shortest: int = SHORTEST) -> tuple[DataFrame | None, Callable | None, int]:
+    """Packed (document, start) of each window of n words that a smaller document holds too; a splitter of documents that may have some; the number of document buckets.
+
+    Where a level keeps nothing there is neither table nor splitter.
+    """
     spark = docs.sparkSession
-    half = (n + 1) // 2
-    known = docs.where("doc_id is not null").select("doc_id", "text")
+    levels = lengths(n, shortest)
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = text_bytes(known)
     count = buckets(spark, total / 24, 1e6)
     home = buckets(spark, total, GROUP)
-    sent = packed(known, _level(n, half, count), ENTRIES)
-    survivors = written(grouped(sent, "b", _repeated(home), ENTRIES), "windows")
-    ids = survivors.select("docs").mapInArrow(_ids, "id bigint")
-    split = slot_filter(ids, "id")
-    possible, _ = split(known, "doc_id")
-    texts = possible.withColumn("b", _home(home))
-    extended = cogrouped(texts, survivors, "b", _extended(n, half, count), BOTH)
-    places = grouped(extended, "b", _later(home), PLACES)
-    return places, split, home
+    survivors = keep(grouped(packed(known, _level(n, levels[0], count), ENTRIES), "b", _repeated(home), ENTRIES), "windows")
+    for last, length in zip(levels, levels[1:]):
+        split = slot_filter(survivors.select("docs").mapInArrow(_ids, "id bigint"), "id")
+        texts = split(known, "doc_id")[0].withColumn("b", _home(home))
+        extended = cogrouped(texts, survivors, "b", _extended(n, last, length, count if length < n else home), BOTH)
+        if length == n:
+            return grouped(extended, "b", _later(home), PLACES), split, home
+        survivors = keep(grouped(extended, "b", _repeated(home), ENTRIES), "windows")
+        if not survivors.take(1):
+            break
+    return None, None, home
 
 
 def _ids(batches):
@@ -226,10 +252,12 @@ def _home(count: int):
     return home("doc_id")
 
 
-def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, shortest: int = SHORTEST) -> DataFrame:
     """One row per document: its words, how many a repeated window covers, and the SHA-256 of the rest joined by one space."""
-    places, split, home = repeated_places(docs, n)
-    possible, others = split(docs.select("doc_id", "text"), "doc_id")
+    if len(lengths(n, shortest)) < 2:
+        raise ValueError("windows must have at least twice as many words as those of the first level")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    places, split, home = repeated_places(docs, Scratch(), n, shortest)
 
     def apart(t: pa.Table, found: pa.Table) -> dict[str, list]:
         at: dict[int, np.ndarray] = {}
@@ -252,6 +280,9 @@ def remove_repeats(docs: DataFrame, n: int = 13) -> DataFrame:
         for part in parts:
             yield _result((doc, _kept(text or b"", np.zeros(0, np.int64), n)) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()))
 
+    if split is None:
+        return packed(docs, whole, RESULT)
+    possible, others = split(docs, "doc_id")
     first = cogrouped(possible.withColumn("b", _home(home)), places, "b", apart, RESULT)
     return first.unionAll(packed(others, whole, RESULT))
 
