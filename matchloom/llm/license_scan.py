@@ -5,17 +5,24 @@ edits + 1 pieces of about equal length; by the pigeonhole principle one of them
 stands unchanged in any place that holds the notice with that many errors.  One
 Aho-Corasick automaton over all pieces finds these seeds in a single pass over
 the whole text; around each seed, and only there, the regular-expression
-library matches the notice with bounded errors and reports span and edits.
+library matches the notice with bounded errors and reports span and edits.  After
+the best match of such a window, the stretches before and behind it are searched in
+the same way, so notices that stand close together are all found.
 
-Next to this, exact base phrases are counted on word level.
+Notices are a table of (text, label, edits); NOTICES is the default, ``notices_of``
+reads one's own.  Next to this, exact base phrases are counted on word level, and
+SPDX tags and copyright lines, which have a form and no fixed text, are found by pattern.
 
 Bounds: one text at a time is scanned; overlapping windows of one notice are
 merged before they are matched, so a text that repeats a seed many times is
-matched once.  There is no shuffle.
+matched once.  There is no shuffle; notices reach the workers with the function, so
+their table must be small.
 
 Defined results: a null or empty text has no words and no places, empty labels
 and score 0; texts of any length are scanned whole; A-Z are lower-cased before
-all else; equal rows get equal results; extra columns are ignored.
+all else; equal rows get equal results, rows with a null id as well; of equally good matches in a
+window the first one counts; extra columns are ignored, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -46,8 +53,19 @@ NOTICES = (
     ("subject to the terms of the mozilla public license", "mpl", 4),
     ("this software is released into the public domain", "public-domain", 4),
     ("all rights reserved", "reserved", 1),
+    ("permission to use, copy, modify, and/or distribute this software for any purpose", "isc", 6),
+    ("licensed under the gnu affero general public license", "agpl", 4),
+    ("licensed under the eclipse public license", "epl", 4),
+    ("licensed under cc0", "cc0", 1),
+    ("licensed under cc by-nd", "cc-by-nd", 2),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 5),
+    ("do not distribute without permission", "no-distribution", 3),
 )
 
+# Forms without a fixed text, and their labels; of an SPDX tag its own name is the label.
+SPDX = re.compile(r"spdx-license-identifier:[ \t]{0,8}([a-z0-9][a-z0-9.+-]{0,63})")
+COPYRIGHT = re.compile(r"(?:copyright|\(c\)|©)[ \t]{1,4}(?:\(c\)[ \t]{1,4}|©[ \t]{0,4})?(?:19|20)[0-9]{2}\b")
+
 
 @functools.lru_cache(maxsize=4)
 def _prepared(notices: tuple):
@@ -84,16 +102,34 @@ def find_notices(text: str, notices: tuple = NOTICES) -> list[tuple[int, int, st
                 own.append([a, b])
     found = []
     for i, windows in spans.items():
-        compiled, pattern, label, _ = patterns[i]
-        for a, b in windows:
-            at = a
-            while match := compiled.search(text, at, b):
-                wrong = sum(match.fuzzy_counts)
-                found.append((match.start(), match.end(), label, wrong, 1 - wrong / len(pattern)))
-                at = match.end() if match.end() > match.start() else match.end() + 1
+        compiled, pattern, label, edits = patterns[i]
+        todo = windows[::-1]
+        while todo:
+            a, b = todo.pop()
+            if b - a < len(pattern) - edits or not (match := compiled.search(text, a, b)):
+                continue
+            wrong = sum(match.fuzzy_counts)
+            found.append((match.start(), match.end(), label, wrong, 1 - wrong / len(pattern)))
+            todo += [[match.end(), b], [a, match.start()]]
     return sorted(found)
 
 
+def find_forms(text: str) -> list[tuple[int, int, str, int, float]]:
+    """SPDX tags and copyright lines of a lower-cased text, in the shape of ``find_notices``."""
+    out = []
+    if "spdx-license-identifier:" in text:
+        out += [(*m.span(), m[1], 0, 1.0) for m in SPDX.finditer(text)]
+    if "copyright" in text or "(c)" in text or "©" in text:
+        out += [(*m.span(), "copyright", 0, 1.0) for m in COPYRIGHT.finditer(text)]
+    return out
+
+
+def notices_of(table: DataFrame) -> tuple:
+    """Notices from a table (text string, label string, edits int) with a few thousand rows at most; null texts and labels are left out."""
+    rows = table.where("text is not null and label is not null and edits is not null").select("text", "label", "edits").distinct().toLocalIterator()
+    return tuple(sorted((lowered(r.text), r.label, max(0, min(r.edits, len(r.text) // 2))) for r in rows if r.text))
+
+
 def base_places(words: list[str]) -> list[tuple[int, str]]:
     """Where the words of a base phrase stand one after another."""
     out = []
@@ -131,7 +167,7 @@ def scan_licenses(docs: DataFrame, notices: tuple = NOTICES) -> DataFrame:
             out: dict[str, list] = {k.split()[0]: [] for k in SCANNED.split(", ")}
             for doc, text, n in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), count.tolist()):
                 text = lowered(text or "")
-                found = find_notices(text, notices)
+                found = sorted(find_notices(text, notices) + find_forms(text))
                 # a phrase's last word is looked for first: few texts hold one
                 base = base_places(words_of(text)) if any(phrase.rpartition(" ")[2] in text and phrase.partition(" ")[0] in text for phrase, _ in BASE) else []
                 base_labels = {label for _, label in base}

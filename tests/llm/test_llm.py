@@ -276,6 +276,36 @@ def test_license_scan(spark, empty):
     text = license_scan.lowered(rows[0][1])
     brute = regex.search("(?b)(?:licensed under the apache license, version 2.0){e<=4}", text)
     assert license_scan.find_notices(text)[0][:2] == brute.span()
+    for a, b in (("relesed under the mit license.", "released under the mit license"), ("released under the mit license.", "relesed under the mit license")):
+        assert [f[2:4] for f in license_scan.find_notices(f"{a} {b}")] == [("mit", int("relesed" in a)), ("mit", int("relesed" in b))]
+    assert [f[2] for f in license_scan.find_forms("spdx-license-identifier: gpl-2.0+ and copyright (c) 1999 someone, copyright law")] == ["gpl-2.0+", "copyright"]
+    own = license_scan.notices_of(spark.createDataFrame([("Keep This Notice", "own", 1), (None, "x", 1)], "text string, label string, edits int"))
+    assert license_scan.find_notices("please kep this notice", own)[0][2:4] == ("own", 1)
+
+
+def test_license_finds_against_brute_force():
+    """Every place where a notice stands with at most its edits overlaps a find of its label, and every find is within its edits."""
+    import regex
+
+    rng = random.Random(12)
+    notices = license_scan.NOTICES[:6]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            text, _, edits = rng.choice(notices)
+            t = list(text)
+            for _ in range(rng.randrange(edits + 2)):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[], [rng.choice("xyz")], [t[at], rng.choice("xyz")]])
+            parts.append("".join(t))
+        whole = rng.choice([" ", ". ", " words between "]).join(parts)
+        found = license_scan.find_notices(whole, notices)
+        for text, label, edits in notices:
+            pattern = regex.compile(f"(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}")
+            for m in pattern.finditer(whole):
+                assert any(f[2] == label and f[0] < m.end() and m.start() < f[1] for f in found)
+        for a, b, label, wrong, _ in found:
+            assert any(label == l and regex.fullmatch(f"(?:{regex.escape(t, literal_spaces=True)}){{e<={wrong}}}", whole[a:b]) for t, l, _ in notices)
 
 
 def test_sentencepiece(docs, empty):
