@@ -3,8 +3,9 @@
 Evidence of a document, or a page:
 
 * text: hashed character trigrams of the whole text under one multinomial model
-  per language, trained from about TRAIN declared texts of each language, twice as
-  many at most on average, chosen by hash - the only bounded sample here;
+  per language, trained from about TRAIN different declared texts of each language, read whole, twice as
+  many at most on average, chosen by hash - the only bounded sample here; each
+  text counts as much as its length, up to TRAIN_BYTES, so that no long one decides alone;
 * declared markup language (``<html lang>``, or the lang column), believed as far
   as the text model agrees with such declarations over the whole corpus; only its
   primary subtag counts, and one that is none of the LANGUAGES most declared ones
@@ -17,14 +18,17 @@ Corpus counts come from grouped aggregations with map-side combining over all
 rows: first the text's verdict for each row, then counts by declaration, suffix,
 domain and host.  A host that holds a third of all rows is one row after that.
 Joining counts back is left to adaptive execution, which splits hot hosts and
-broadcasts only what it has measured.
+broadcasts only what it has measured; rows without a host or suffix are dealt out by a
+hash of their id.  Of the text model one row a language reaches the driver, of at most
+BINS counts, for at most LANGUAGES languages.
 
 Text evidence is tempered: a likelihood is an average per trigram times at most
 EVIDENCE trigrams, since neighbouring trigrams are not independent.
 
 Defined results: a null or empty text gives no text evidence, so declaration,
 suffix and host decide; with no evidence at all the corpus prior decides; equal
-rows get equal results; an empty table gives an empty result; columns of the
+rows get equal results; of equally likely languages the first in code-point order is the
+verdict; texts of any length are read whole, a null id is kept; an empty table gives an empty result; columns of the
 input that are not named here are ignored.
 """
 
@@ -34,9 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import flat, packed, written
+from .shared import flat, grouped, packed, written
 
-#: Texts of each language that the text model is trained from, and bytes used of each.
+#: Texts of each language that the text model is trained from, and the bytes that one of them counts for at most.
 TRAIN, TRAIN_BYTES = 400, 20_000
 BINS = 1 << 15
 #: Most languages of the text model, those with most declared texts; others only count as declarations.
@@ -77,20 +81,29 @@ def trained(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     names = {x: i for i, x in enumerate(languages)}
 
     def count(parts):
-        total = np.zeros((len(languages), BINS), np.int64)
         for part in parts:
             data, offsets = flat(part.column("text"))
+            out: dict[str, list] = {"lang": [], "bin": [], "n": []}
             for i, x in enumerate(part.column("declared").to_pylist()):
-                own = data[offsets[i] : min(offsets[i + 1], offsets[i] + TRAIN_BYTES)]
+                own = data[offsets[i] : offsets[i + 1]]
                 if len(own) > 2:
-                    total[names[x]] += np.bincount(_bins(own), minlength=BINS)
-        yield {"lang": languages, "counts": [t.tobytes() for t in total]}
+                    bins, n = np.unique(_bins(own), return_counts=True)
+                    out["lang"] += [names[x]] * len(bins)
+                    out["bin"] += bins.tolist()
+                    out["n"] += (n * min(1.0, TRAIN_BYTES / len(own))).tolist()
+            yield out
+
+    def dense(t):
+        n = np.zeros(BINS)
+        np.add.at(n, t["bin"].to_numpy(), t["n"].to_numpy())
+        return {"lang": t["lang"][:1], "counts": [np.round(n, 6).tobytes()]}
 
     total = np.zeros((len(languages), BINS))
-    rows = packed(sample.where(unit).select("declared", "text"), count, "lang string, counts binary")
-    # one row for each language and task of a bounded sample
-    for r in rows.toLocalIterator():
-        total[names[r["lang"]]] += np.frombuffer(r["counts"], np.int64)
+    # copies of a text count once, under each declaration
+    rows = packed(sample.where(unit).dropDuplicates(["r", "declared"]).select("declared", "text"), count, "lang int, bin int, n double")
+    rows = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    for r in grouped(rows, "lang", dense, "lang int, counts binary").toLocalIterator():
+        total[r["lang"]] = np.frombuffer(r["counts"])
     p = (total + 0.2) / (total + 0.2).sum(1, keepdims=True)
     return languages, np.log(p).T.copy()
 
@@ -150,7 +163,10 @@ def identified(inputs: DataFrame) -> DataFrame:
 
     out = scored
     for key in ("tag", "suffix", "domain", "host"):
-        out = out.join(_summed(scored, key, n), key, "left").withColumn(f"{key}_n", F.coalesce(F.col(f"{key}_n"), zeros))
+        # a null has no counts, and nulls must not meet in one task
+        named = F.coalesce(F.concat(F.lit("="), F.col(key)), F.concat(F.lit("-"), F.pmod(F.xxhash64("id"), F.lit(1 << 16)).cast("string")))
+        counts = _summed(scored, key, n).select(F.concat(F.lit("="), F.col(key)).alias("name"), f"{key}_n")
+        out = out.withColumn("name", named).join(counts, "name", "left").drop("name").withColumn(f"{key}_n", F.coalesce(F.col(f"{key}_n"), zeros))
     by_domain = smoothed(F.col("domain_n"), base, HOST)
     by_host = smoothed(F.col("host_n"), by_domain, HOST)
     ratio = lambda key: F.zip_with(smoothed(F.col(f"{key}_n"), base, DECLARED), base, lambda p, q: F.log(p / q))
@@ -178,7 +194,7 @@ def _address(url):
 def from_pages(pages: DataFrame) -> DataFrame:
     """Markup, address and host evidence of pages (page_id, url, html)."""
     host, suffix, domain = _address(F.col("url"))
-    declared = F.lower(F.regexp_extract("html", r"""(?i)<html[^>]{0,200}?\slang\s*=\s*["']?([a-z]{2,3})""", 1))
+    declared = F.lower(F.regexp_extract("html", r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})""", 1))
     text = F.trim(F.regexp_replace("html", _TAGS, " "))
     return pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("bigint").alias("id"), text.alias("text"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(suffix, F.lit("")).alias("suffix"), host.alias("host"), F.nullif(domain, F.lit("")).alias("domain"))
 
@@ -203,10 +219,10 @@ def accepted(docs: DataFrame) -> DataFrame:
     A document without a letter in its text, or whose best language stays below
     CONFIDENT, is rejected.  Rows with one doc_id are told apart by their text.
     """
-    key = "__row"
-    named = docs.withColumn(key, F.xxhash64("doc_id", "text", *(c for c in ("lang", "source") if c in docs.columns)))
-    inputs = from_documents(named.withColumn("doc_id", F.col(key)))
-    found = identified(inputs).where(F.col("confidence") >= CONFIDENT).groupBy(F.col("id").alias(key)).agg(F.min("language").alias("__language"))
-    letters = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
-    kept = named.where(letters).join(found, key)
-    return kept.select(*[F.col("__language").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    row, own = F.struct(*[F.col(c) for c in docs.columns]).alias("row"), [F.col(c) for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
+    named = docs.select(row, F.xxhash64(*own).alias("key"))
+    inputs = from_documents(docs.withColumn("doc_id", F.xxhash64(*own)))
+    found = identified(inputs).where(F.col("confidence") >= CONFIDENT).groupBy(F.col("id").alias("key")).agg(F.min("language").alias("found"))
+    letters = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"\p{L}")
+    kept = named.where(letters).join(found, "key")
+    return kept.select(*[(F.col("found") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])

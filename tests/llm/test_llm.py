@@ -435,3 +435,39 @@ def test_sentencepiece_takes_the_best_path():
             top[at] = max([top[at - 1] + c.low] + [top[k] + cost[pieces[raw[k:at]]] for k in range(max(0, at - 64), at) if pieces.get(raw[k:at]) in cost])
         ids = c.encode(text).tolist()
         assert math.isclose(sum(cost.get(i, c.low) for i in ids), top[-1], rel_tol=1e-12)
+
+
+def test_language_fusion_against_brute_force(spark):
+    """All evidence recomputed in numpy from the model of the text, with nulls, ties, a hot host and clashing columns."""
+    rng = random.Random(4)
+    words = {"en": "the and with that there other thing quick".split(), "de": "der und nicht auch katze hund schnelle".split(), "fr": "le et avec pour chien vite autre".split()}
+    rows = []
+    for i in range(150):
+        k = rng.choice(list(words))
+        text = rng.choice([None, "", "x", " ".join(rng.choices(words[k], k=rng.randrange(1, 60)))])
+        rows.append((rng.choice(["document", "page"]), rng.choice([i, None]), text, rng.choice([k, k, "en-us", "xx", None]), rng.choice(["de", "fr", None, None]), rng.choice(["hot"] * 5 + [f"h{i % 9}", None]), rng.choice(["d1", "d2", None])))
+    inputs = spark.createDataFrame(rows, language_id.INPUT).repartition(4)
+    languages, model = language_id.trained(inputs.select("declared", "text"))
+    n = len(languages)
+    evidence = np.zeros((len(rows), n))
+    for i, r in enumerate(rows):
+        raw = np.frombuffer((r[2] or "").encode(), np.uint8)
+        if len(raw) > 2:
+            x = model.astype(np.float32)[language_id._bins(raw)].astype(float)
+            evidence[i] = x.mean(0) * min(len(x), language_id.EVIDENCE)
+    softmax = lambda x: np.exp(x - x.max(-1, keepdims=True)) / np.exp(x - x.max(-1, keepdims=True)).sum(-1, keepdims=True)
+    post = softmax(evidence)
+    base = (post.sum(0) + 1) / (len(rows) + n)
+    tag = [r[3] and r[3].split("-")[0] for r in rows]
+
+    def counts(keys):
+        return np.array([sum((post[j] for j, x in enumerate(keys) if x == k), np.zeros(n)) if k is not None else np.zeros(n) for k in keys])
+
+    def smooth(c, below, w):
+        return (c + below * w) / (c.sum(1, keepdims=True) + w)
+
+    by_host = smooth(counts([r[5] for r in rows]), smooth(counts([r[6] for r in rows]), base, language_id.HOST), language_id.HOST)
+    fused = softmax(evidence + np.log(by_host) + sum(np.log(smooth(counts(k), base, language_id.DECLARED) / base) for k in (tag, [r[4] for r in rows])))
+    want = Counter((r[0], r[1], r[3], r[4], r[5], languages[f.argmax()], f"{f.max():.6f}") for r, f in zip(rows, fused))
+    got = Counter((r.kind, r.id, r.declared, r.suffix, r.host, r.language, f"{r.confidence:.6f}") for r in language_id.identified(inputs).collect())
+    assert got == want
