@@ -1,28 +1,40 @@
-"""Perplexity from an interpolated modified Kneser-Ney model of word pairs.
-
-Counting is one Spark job.  A scan task hashes its words and counts its pairs;
-pairs travel once, packed, to the bucket of their first word.  There a worker
-merges them, writes the pairs and the statistics of first words as sorted hash
-arrays into the shared folder, and sends on, for each second word, its count and
-the number of different words before it.  Those meet in the word's own bucket
-and become the array of words.  Only a few sums and the first words that are
-spread over all buckets (at most HOT of them for each bucket) reach the driver.
+"""Perplexity from an interpolated modified Kneser-Ney model of words, of any order from two on; three by default.
+
+Counting is one Spark job with two exchanges, whatever the order.  A scan task
+hashes its words and counts its n-grams; these travel once, packed with a dictionary of
+the words in each row, to the bucket of the word v before their last word w.  All
+contexts that end in v and all shorter n-grams that end in v w are complete
+there, so a worker derives every order below from the one above: an n-gram's
+shorter form counts the different words before it (at the beginning of a text,
+where nothing stands before, its occurrences).  For each order the worker writes n-grams and
+contexts as sorted hash arrays into the shared folder, and sends on, for each word w, how
+many different words precede it.  Those meet in the word's own bucket and become
+the array of words.
+
+Skew: a word v that precedes a large part of all words has its n-grams dealt over all
+buckets by w, and a pair v w that is as frequent by the word before it.  The
+statistics of their contexts, and counts of such pairs, are then partial and are
+summed in the second exchange, spread by context or word.  Which words and pairs these
+are is taken from a sample of documents, which decides placement only.  The driver gets
+sums, and the statistics of frequent words, at most one for each bucket.
 
 Scoring maps the arrays into memory, so workers of a machine share their pages;
-a part of the documents looks its pairs up in hash order, bucket by bucket.
-Where the shared folder is not mounted as a file system the arrays are read
-through its own file system instead.
-
-A word that precedes a large part of all words (found from a sample of
-documents, which decides placement only) has its pairs dealt over all buckets by
-their second word and its statistics summed afterwards.
+a part of the documents looks its n-grams up in hash order, bucket by bucket, and
+longer ones only where shorter ones were found.  Where the shared folder is not
+mounted as a file system the arrays are read through its own file system instead.
+A missing array is an error.
 
 Retries: each array is written under a temporary name and renamed, with the same
-content each time.
+content each time.  The arrays stay in the shared folder until ``Model.drop``, since
+scores are computed when they are asked for.
+
+Words and n-grams are 64-bit hashes, of which the arrays keep 48 bits beside the bucket.
 
 Defined results: a null or empty text is the single end token; a null doc_id
 counts as the empty string, so its text is learnt from; a word never seen gets
-the uniform share; without training texts all tokens share the uniform 1/(V+1).
+the uniform share; without training texts all tokens share the uniform 1/(V+1); an empty table gives an
+empty result; texts of any length are counted and scored whole, one text is the
+most that a worker holds beside FLUSH tokens.
 Extra columns are ignored; equal rows are counted as often as they occur.
 """
 
@@ -38,16 +50,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import GOLD, POLY, U, Words, buckets, by_bucket, flat, grouped, joined, mix, packed, runs, shared_dir, text_bytes
 
+#: Words of the longest n-gram.
+ORDER = 3
 END, BEGIN = U(0x0123456789ABCDEF), U(0xFEDCBA9876543210)
 #: Tokens that a scan task gathers before it counts or scores them.
-FLUSH = 2_000_000
-#: First words dealt over all buckets: those with over 1 / (HOT * buckets) of the sampled words.
-HOT = 4
-#: One document in so many is sampled to find them.
+FLUSH, SCORED = 2_000_000, 1_000_000
+#: One document in so many is sampled to find frequent words and pairs.
 SAMPLE = 64
-PAIRS = "b int, v binary, n binary, w binary, c binary, over binary"
-WORDS = "b int, w binary, types binary, c binary, facts binary"
-FACTS = "kind string, v bigint, a double, b double, c double, d double"
+#: level n >= 2: n-grams (words: a dictionary, x: n columns of places in it, c: counts, over: those above 254); 1: words and how many different ones precede them (words, c, over); -1: words and their occurrences; 0: facts (x: five numbers each); -2: contexts (words, x: four numbers each); -3: frequent pairs (words: first and last word of each, c, over)
+SENT = "b int, level int, words binary, x binary, c binary, over binary"
+FACTS = "kind int, v bigint, a double, b double, c double, d double"
 
 # ---------------------------------------------------------------- arrays in the shared folder
 
@@ -81,18 +93,56 @@ def _load(folder: str, name: str, k: str, kind: type) -> np.ndarray:
     local = _local(folder)
     if local:
         path = f"{local}/{name}.{k}"
-        return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(f"{folder}/{name}.{k}")
-    return np.frombuffer(system.open_input_file(path).read(), kind) if system.get_file_info(path).is_file else np.zeros(0, kind)
+    with system.open_input_file(path) as f:
+        return np.frombuffer(f.read(), kind)
+
+
+def _small(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in a byte each, 255 for more, and those counts."""
+    return np.minimum(c, 255).astype(np.uint8), c[c >= 255].astype(np.int64)
+
+
+def _save_map(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
+    """A hash array: sorted 64-bit keys, of which 48 bits stay, and a few counts for each."""
+    key = keys >> U(16)
+    high = np.searchsorted(key, np.arange(65537, dtype=np.uint64) << U(32)).astype(np.uint32)
+    flat_values = values.reshape(-1)
+    c, over = _small(flat_values)
+    _save(folder, name, high=high, low=(key & U(0xFFFFFFFF)).astype(np.uint32), c=c, at=np.flatnonzero(flat_values >= 255).astype(np.int64), over=over)
+
+
+def _look(folder: str, name: str, keys: np.ndarray, width: int = 1) -> np.ndarray:
+    """The counts of keys, 0 for those that are not there: the upper bits give a short range, in which a binary search goes on."""
+    high, low = _load(folder, name, "high", np.uint32), _load(folder, name, "low", np.uint32)
+    out = np.zeros((len(keys), width), np.int64)
+    if not len(low) or not len(keys):
+        return out
+    key = keys >> U(16)
+    top, want = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
+    a, z = high[top].astype(np.int64), high[top + 1].astype(np.int64)
+    end = z.copy()
+    for _ in range(int((z - a).max(initial=0)).bit_length()):
+        mid = (a + z) >> 1
+        less = (a < z) & (low[np.minimum(mid, len(low) - 1)] < want)
+        a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
+    ok = (a < end) & (low[np.minimum(a, len(low) - 1)] == want)
+    at = (a[ok][:, None] * width + np.arange(width)).reshape(-1)
+    c = _load(folder, name, "c", np.uint8)[at].astype(np.int64)
+    if (c == 255).any():
+        c[c == 255] = _load(folder, name, "over", np.int64)[np.searchsorted(_load(folder, name, "at", np.int64), at[c == 255])]
+    out[ok] = c.reshape(-1, width)
+    return out
 
 
 # ---------------------------------------------------------------- tokens
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's hash, the one before it, and its row: the words of each text, then one end."""
+    """Each token's hash, its place in its text, and its row: the words of each text, then one end."""
     words = Words(*flat(part.column("text")), lower=True)
     rows, n = len(words.count), len(words.start)
     w = np.full(n + rows, END, np.uint64)
@@ -100,62 +150,127 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(n + rows, bool)
     inside[ends] = False
     w[inside] = words.hashes()
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[ends - words.count] = BEGIN
-    return v, w, np.repeat(np.arange(rows), words.count + 1)
+    place = np.arange(n + rows) - np.repeat(ends - words.count, words.count + 1)
+    return w, place, np.repeat(np.arange(rows), words.count + 1)
+
+
+def _before(w: np.ndarray, place: np.ndarray, back: int, begin) -> np.ndarray:
+    """The token ``back`` places before each; at the beginning of a text ``begin``."""
+    out = np.empty_like(w)
+    out[back:] = w[:-back] if back < len(w) else w[:0]
+    out[:back] = begin
+    out[place < back] = begin
+    return out
+
+
+def _first(words: np.ndarray) -> np.ndarray:
+    return mix(words ^ GOLD)
+
+
+def _longer(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hash of a sequence with one more word."""
+    return mix(key * U(POLY) + words)
 
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * U(POLY) + w)
+def _sequence(words: list[np.ndarray]) -> np.ndarray:
+    key = _first(words[0])
+    for w in words[1:]:
+        key = _longer(key, w)
+    return key
 
 
-def _bucket(v: np.ndarray, w: np.ndarray, hot: np.ndarray, count: int) -> np.ndarray:
-    """The bucket of a pair: by its first word, or of a hot one by its second."""
-    by = np.where(np.isin(v, hot), w, v)
-    return (mix(by) >> U(8)) % U(count)
+class Layout:
+    """Where n-grams are: the number of buckets, frequent words, and frequent pairs by their hash, both sorted."""
 
+    def __init__(self, count: int, hot: np.ndarray, pairs: np.ndarray):
+        self.count, self.hot, self.pairs = count, hot, pairs
 
-def _word_bucket(w: np.ndarray, count: int) -> np.ndarray:
-    return (mix(w ^ GOLD) >> U(8)) % U(count)
+    def bucket(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Of n-grams, by the word before the last one; the last one where that is frequent; the one before both where the pair is."""
+        v, w = columns[-2:]
+        by = np.where(np.isin(v, self.hot), w, v)
+        if len(columns) > 2 and len(self.pairs):
+            by = np.where(self.frequent(v, w), columns[-3], by)
+        return (mix(by) >> U(8)) % U(self.count)
 
+    def frequent(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.isin(_sequence([v, w]), self.pairs) if len(self.pairs) else np.zeros(len(v), bool)
 
-def _counted(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs in the order of first and second word, with their counts."""
-    order = np.lexsort((w, v))
-    v, w, c = v[order], w[order], c[order]
-    if not len(v):
-        return v, w, c
-    first = np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
-    return v[first], w[first], np.add.reduceat(c, np.flatnonzero(first))
+    def word_bucket(self, w: np.ndarray) -> np.ndarray:
+        return (mix(w ^ GOLD) >> U(8)) % U(self.count)
+
+    def context_bucket(self, key: np.ndarray) -> np.ndarray:
+        return (key >> U(8)) % U(self.count)
+
+
+def _summed(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each key, in the order of keys, and the sum of its counts."""
+    order = np.argsort(key)
+    begin, _ = runs(key[order])
+    return order[begin[:-1]], np.add.reduceat(c[order], begin[:-1]) if len(key) else c
 
 
 # ---------------------------------------------------------------- counting
 
 
-def _count_pairs(hot: np.ndarray, count: int):
+def _new() -> dict[str, list]:
+    return {k: [] for k in ("b", "level", "words", "x", "c", "over")}
+
+
+def _put(out: dict[str, list], b: int, level: int, words: np.ndarray, x: bytes = b"", c: np.ndarray | None = None) -> None:
+    small, over = _small(c) if c is not None else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    for k, value in zip(out, (int(b), level, words.tobytes(), x, small.tobytes(), over.tobytes())):
+        out[k].append(value)
+
+
+def _counts(c: bytes, over: bytes) -> np.ndarray:
+    out = np.frombuffer(c, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(over, np.int64)
+    return out
+
+
+def _put_words(out: dict[str, list], at: Layout, level: int, w: np.ndarray, c: np.ndarray) -> None:
+    order, begin = by_bucket(at.word_bucket(w).astype(np.int64), at.count)
+    for b in np.flatnonzero(np.diff(begin)):
+        own = order[begin[b] : begin[b + 1]]
+        _put(out, b, level, w[own], c=c[own])
+
+
+def _count(at: Layout, n: int):
     def flush(kept):
-        v, w = (np.concatenate(x) for x in zip(*kept))
+        w, place = (np.concatenate(x) for x in zip(*kept))
         kept.clear()
-        v, w, c = _counted(v, w, np.ones(len(v), np.int64))
-        order, at = by_bucket(_bucket(v, w, hot, count).astype(np.int64), count)
-        out: dict[str, list] = {k: [] for k in ("b", "v", "n", "w", "c", "over")}
-        for b in np.flatnonzero(np.diff(at)):
-            own = order[at[b] : at[b + 1]]  # still in the order of first and second word
-            begin, _ = runs(v[own])
-            out["b"].append(int(b))
-            out["v"].append(v[own][begin[:-1]].tobytes())
-            out["n"].append(np.diff(begin).astype(np.uint32).tobytes())
-            out["w"].append(w[own].tobytes())
-            out["c"].append(np.minimum(c[own], 255).astype(np.uint8).tobytes())
-            out["over"].append(c[own][c[own] >= 255].astype(np.int64).tobytes())
+        words, ids = np.unique(w, return_inverse=True)
+        out = _new()
+        _put_words(out, at, -1, words, np.bincount(ids))
+        words = np.append(words, BEGIN)
+        columns = [_before(ids, place, k, len(words) - 1) for k in range(n - 1, 0, -1)] + [ids]
+        for k in range(2, n + 1):  # shorter ones at the beginning of a text only
+            chosen = np.flatnonzero(place >= n - 2 if k == n else place == k - 2)
+            if not len(chosen):
+                continue
+            own = [x[chosen] for x in columns[n - k :]]
+            one, c = _summed(_sequence([words[x] for x in own]), np.ones(len(chosen), np.int64))
+            own = [x[one] for x in own]
+            order, begin = by_bucket(at.bucket([words[x] for x in own]).astype(np.int64), at.count)
+            own, c = [x[order] for x in own], c[order]
+            local, used = np.zeros(len(words), np.uint32), np.zeros(len(words), bool)
+            for b in np.flatnonzero(np.diff(begin)):
+                part = slice(begin[b], begin[b + 1])
+                used[:] = False
+                for x in own:
+                    used[x[part]] = True
+                some = np.flatnonzero(used)
+                local[some] = np.arange(len(some))
+                kind = np.uint16 if len(some) < 65536 else np.uint32
+                _put(out, b, k, words[some], b"".join(local[x[part]].astype(kind).tobytes() for x in own), c[part])
         return out
 
     def run(parts):
         kept, size = [], 0
         for part in parts:
-            v, w, _ = _tokens(part)
-            kept.append((v, w))
+            w, place, _ = _tokens(part)
+            kept.append((w, place))
             size += len(w)
             if size > FLUSH:
                 yield flush(kept)
@@ -166,95 +281,149 @@ def _count_pairs(hot: np.ndarray, count: int):
     return run
 
 
-def _merge_pairs(folder: str, hot: np.ndarray, count: int):
+def _classes(c: np.ndarray) -> list[np.ndarray]:
+    return [c == 1, c == 2, c >= 3]
+
+
+def _merge(folder: str, at: Layout, n: int):
+    """All orders of the n-grams of one bucket."""
+
     def run(t: pa.Table) -> dict[str, list]:
-        b = t["b"][0].as_py()
-        v = np.repeat(joined(t["v"], np.uint64), joined(t["n"], np.uint32))
-        w = joined(t["w"], np.uint64)
-        c = joined(t["c"], np.uint8).astype(np.int64)
-        c[c == 255] = joined(t["over"], np.int64)
-        v, w, c = _counted(v, w, c)
-        begin, r = runs(v)
-        n = len(begin) - 1
-        each = [np.bincount(r, weights=x, minlength=n) for x in (c, c == 1, c == 2, c >= 3)]
-        own = v[begin[:-1]]
-        shared = np.isin(own, hot)
-        _save(folder, f"first-{b}", v=own[~shared], c=each[0][~shared].astype(np.int64), n=np.stack([x[~shared] for x in each[1:]], 1).astype(np.uint32).reshape(-1))
-        key = pair_key(v, w) >> U(16)
-        order = np.argsort(key)
-        key = key[order]
-        high = np.searchsorted(key, np.arange(65537, dtype=np.uint64) << U(32)).astype(np.uint32)
-        c_ = c[order]
-        _save(folder, f"pair-{b}", high=high, low=(key & U(0xFFFFFFFF)).astype(np.uint32), c=np.minimum(c_, 255).astype(np.uint8), at=np.flatnonzero(c_ >= 255).astype(np.int64), over=c_[c_ >= 255].astype(np.int64))
-        # for each second word: how many different words precede it here, and its count
-        order = np.argsort(w, kind="stable")
-        begin, _ = runs(w[order])
-        words, types = w[order][begin[:-1]], np.diff(begin)
-        counts = np.add.reduceat(c[order], begin[:-1])
-        facts = [[0, *(int((c == k).sum()) for k in (1, 2, 3, 4))]] + [[1, int(x.view(np.int64)), *(float(y[i]) for y in each)] for i, x in zip(np.flatnonzero(shared), own[shared])]
-        out: dict[str, list] = {"b": [count], "w": [b""], "types": [b""], "c": [b""], "facts": [repr(facts).encode()]}
-        order, at = by_bucket(_word_bucket(words, count).astype(np.int64), count)
-        for k in np.flatnonzero(np.diff(at)):
-            part = order[at[k] : at[k + 1]]
-            for name, x in (("b", int(k)), ("w", words[part].tobytes()), ("types", types[part].astype(np.uint32).tobytes()), ("c", counts[part].astype(np.int64 if counts[part].max() >= 2**32 else np.uint32).tobytes()), ("facts", b"")):
-                out[name].append(x)
+        b, out = t["b"][0].as_py(), _new()
+        given: dict[int, list] = {k: [] for k in range(2, n + 1)}
+        for level, words, x, c, over in zip(*(t[k].to_pylist() for k in ("level", "words", "x", "c", "over"))):
+            if level < 2:  # on its way to the second exchange
+                for k, value in zip(out, (b, level, words, x, c, over)):
+                    out[k].append(value)
+                continue
+            words, c = np.frombuffer(words, np.uint64), _counts(c, over)
+            places = np.frombuffer(x, np.uint16 if len(words) < 65536 else np.uint32).reshape(level, -1)
+            given[level].append(([words[p] for p in places], c))
+        above, facts = None, [[-1.0, b, 0, 0, 0, 0]]
+        for k in range(n, 1, -1):
+            parts = given.pop(k) + ([above] if above else [])
+            columns = [np.concatenate([p[0][i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(k)]
+            c = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+            one, c = _summed(_sequence(columns), c)
+            columns = [x[one] for x in columns]
+            if k == 2:
+                often = at.frequent(*columns)
+                if often.any():
+                    both, some = np.stack([x[often] for x in columns], 1), c[often]
+                    order, begin = by_bucket(at.word_bucket(both[:, 1]).astype(np.int64), at.count)
+                    for to in np.flatnonzero(np.diff(begin)):
+                        own = order[begin[to] : begin[to + 1]]
+                        _put(out, to, -3, both[own], c=some[own])
+                    columns, c = [x[~often] for x in columns], c[~often]
+            key = _sequence(columns)
+            _save_map(folder, f"gram-{k}-{b}", key, c)
+            facts.append([float(k), 0.0, *(int((c == i).sum()) for i in (1, 2, 3, 4))])
+            context = _sequence(columns[:-1])
+            order = np.argsort(context)
+            begin, r = runs(context[order])
+            first = order[begin[:-1]]
+            each = np.stack([np.bincount(r, weights=x[order], minlength=len(first)) for x in (c, *_classes(c))], 1).astype(np.int64).reshape(-1, 4)
+            hot = np.isin(columns[-2][first], at.hot)
+            _save_map(folder, f"context-{k}-{b}", context[first][~hot], each[~hot])
+            if k == 2:
+                facts += [[-2.0, int(v.view(np.int64)), *map(float, x)] for v, x in zip(columns[0][first[hot]], each[hot])]
+                words, types = np.unique(columns[1], return_counts=True)
+                _put_words(out, at, 1, words, types)
+            elif hot.any():
+                keys, stats = context[first][hot], each[hot]
+                order, begin = by_bucket(at.context_bucket(keys).astype(np.int64), at.count)
+                for to in np.flatnonzero(np.diff(begin)):
+                    own = order[begin[to] : begin[to + 1]]
+                    _put(out, to, -2, keys[own], stats[own].astype(np.int64).tobytes())
+            above = (columns[1:], np.ones(len(c), np.int64))
+        _put_facts(out, at, b, facts)
         return out
 
     return run
 
 
-def _merge_words(folder: str, count: int):
-    def run(t: pa.Table) -> dict[str, list]:
-        import ast
+def _put_facts(out: dict[str, list], at: Layout, b: int, facts: list) -> None:
+    """Facts, a kind, a name and four numbers each; those of a word go to its bucket."""
+    by: dict[int, list] = {}
+    for kind, name, *x in facts:
+        to = int(at.context_bucket(mix(np.array([name], np.int64).view(np.uint64)))[0]) if kind == -2 else b
+        by.setdefault(to, []).append((int(name), [kind, *x]))
+    for to, own in by.items():
+        _put(out, to, 0, np.array([x[0] for x in own], np.int64).view(np.uint64), np.array([x[1] for x in own], np.float64).tobytes())
 
+
+def _merge_words(folder: str, at: Layout):
+    def run(t: pa.Table) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("kind", "v", "a", "b", "c", "d")}
 
         def tell(kind, v, *x):
-            for k, y in zip("abcd", x):
-                out[k].append(float(y))
-            out["kind"].append(kind)
-            out["v"].append(v)
+            for k, y in zip(out, (int(kind), int(v), *map(float, x))):
+                out[k].append(y)
 
         b = t["b"][0].as_py()
-        if b == count:
-            pairs, hot = np.zeros(4), {}
-            for kind, *x in (f for row in t["facts"].to_pylist() for f in ast.literal_eval(row.decode())):
-                if kind == 0:
-                    pairs += x
-                else:
-                    hot[x[0]] = hot.get(x[0], np.zeros(4)) + x[1:]
-            tell("pairs", 0, *pairs)
-            for v, x in hot.items():
-                tell("hot", v, *x)
-            return out
-        w, types = joined(t["w"], np.uint64), joined(t["types"], np.uint32).astype(np.int64)
-        c = [np.frombuffer(x, np.uint32 if len(x) * 2 == len(y) else np.int64).astype(np.int64) for x, y in zip(t["c"].to_pylist(), t["w"].to_pylist())]
+        words = {k: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for k in (1, -1, -3)}
+        keys, stats, told = [np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int64)], []
+        for level, w, x, c, over in zip(*(t[k].to_pylist() for k in ("level", "words", "x", "c", "over"))):
+            w = np.frombuffer(w, np.uint64)
+            if level == 0:
+                told += zip(w.view(np.int64).tolist(), np.frombuffer(x, np.float64).reshape(-1, 5).tolist())
+            elif level == -2:
+                keys.append(w)
+                stats.append(np.frombuffer(x, np.int64).reshape(-1, 4))
+            else:
+                words[level][0].append(w)
+                words[level][1].append(_counts(c, over))
+        for name, (kind, *x) in told:
+            tell(kind, name, *x)
+        tell(-4, b, 0, 0, 0, 0)
+        # contexts of frequent words
+        keys, stats = np.concatenate(keys), np.concatenate(stats)
+        order = np.argsort(keys)
+        begin, _ = runs(keys[order])
+        stats = np.add.reduceat(stats[order], begin[:-1]) if len(keys) else stats
+        _save_map(folder, f"contexts-{b}", keys[order][begin[:-1]], stats)
+        # frequent pairs
+        both, c = np.concatenate(words[-3][0]).reshape(-1, 2), np.concatenate(words[-3][1])
+        pair = _sequence([both[:, 0], both[:, 1]])
+        one, c = _summed(pair, c)
+        both, pair = both[one], pair[one]
+        _save_map(folder, f"pairs-{b}", pair, c)
+        for v, x in zip(both[:, 0].view(np.int64).tolist(), c.tolist()):
+            tell(-2, v, x, x == 1, x == 2, x >= 3)
+        tell(2, 0, *(int((c == i).sum()) for i in (1, 2, 3, 4)))
+        # words: how many different ones precede each, and how often it occurs
+        w = np.concatenate([*words[1][0], both[:, 1], *words[-1][0]])
+        n_types = sum(map(len, words[1][0])) + len(both)
+        types = np.concatenate([*words[1][1], np.ones(len(both), np.int64), np.zeros(len(w) - n_types, np.int64)])
+        c = np.concatenate([np.zeros(n_types, np.int64), *words[-1][1]])
         order = np.argsort(w, kind="stable")
         begin, _ = runs(w[order])
-        w = w[order][begin[:-1]]
-        types = np.add.reduceat(types[order], begin[:-1])
-        c = np.add.reduceat(np.concatenate(c)[order], begin[:-1])
-        _save(folder, f"word-{b}", w=w, c=c.astype(np.int64), types=types.astype(np.uint32))
-        tell("words", 0, len(w), c.sum(), types.sum(), 0)
-        tell("types", 0, *(int((types == k).sum()) for k in (1, 2, 3, 4)))
-        tell("types3", 0, int((types >= 3).sum()), 0, 0, 0)
+        if len(w):
+            w, types, c = w[order][begin[:-1]], np.add.reduceat(types[order], begin[:-1]), np.add.reduceat(c[order], begin[:-1])
+        _save_map(folder, f"word-{b}", w, np.stack([c, types], 1))
+        tell(-3, 0, len(w), c.sum(), types.sum(), int((types >= 3).sum()))
+        tell(1, 0, *(int((types == i).sum()) for i in (1, 2, 3, 4)))
         return out
 
     return run
 
 
-def _hot(count: int):
+def _frequent(count: int):
+    """Words, kind 0, and pairs, kind 1, that a share of at least 1 / count of a sampled part's tokens follow or are."""
+
     def run(parts):
-        kept = []
         for part in parts:
-            v, _, _ = _tokens(part)
-            x, n = np.unique(v, return_counts=True)
-            keep = n * HOT * count * 2 >= len(v)
-            kept.append((x[keep], n[keep], len(v)))
-        if kept:
-            x, n = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-            x, at = np.unique(x, return_inverse=True)
-            yield {"v": [*x.view(np.int64).tolist(), 0], "n": [*np.bincount(at, weights=n).astype(np.int64).tolist(), 0], "total": [*[0] * len(x), sum(k[2] for k in kept)]}
+            w, place, _ = _tokens(part)
+            v = _before(w, place, 1, BEGIN)
+            out: dict[str, list] = {"kind": [2], "v": [0], "n": [len(w)]}
+            pair = _sequence([v, w])[v != BEGIN]
+            for kind, x in ((0, v), (1, pair)):
+                x, n = np.unique(x, return_counts=True)
+                keep = n * count * 2 >= len(w)
+                out["kind"] += [kind] * int(keep.sum())
+                out["v"] += x[keep].view(np.int64).tolist()
+                out["n"] += n[keep].tolist()
+            yield out
 
     return run
 
@@ -262,15 +431,30 @@ def _hot(count: int):
 class Model:
     """Where the arrays are, and the few numbers that every score needs."""
 
-    def __init__(self, folder: str, count: int, facts: list, hot: np.ndarray):
-        self.folder, self.count, self.hot = folder, count, hot
-        total = {k: np.sum([[r.a, r.b, r.c, r.d] for r in facts if r.kind == k] or [[0.0] * 4], axis=0) for k in ("pairs", "words", "types", "types3")}
-        self.v, self.n, self.types = (int(x) for x in total["words"][:3])
-        self.discount, self.word_discount = _discounts(total["pairs"]), _discounts(total["types"])
-        self.left = float(self.word_discount[1] * total["types"][0] + self.word_discount[2] * total["types"][1] + self.word_discount[3] * total["types3"][0])
-        found = sorted((int(np.int64(r.v).view(np.uint64)), r.a, r.b, r.c, r.d) for r in facts if r.kind == "hot")
-        self.hot_v = np.array([x[0] for x in found], np.uint64)
-        self.hot_n = np.array([x[1:] for x in found], np.float64).reshape(-1, 4)
+    def __init__(self, folder: str, at: Layout, order: int, facts: list):
+        self.folder, self.at, self.order = folder, at, order
+        total: dict[int, np.ndarray] = {}
+        hot, self.first, self.second = {}, set(), set()
+        for r in facts:
+            x = np.array([r.a, r.b, r.c, r.d])
+            if r.kind == -2:
+                hot[int(np.int64(r.v).view(np.uint64))] = x
+            elif r.kind in (-1, -4):
+                (self.first if r.kind == -1 else self.second).add(r.v)
+            else:
+                total[r.kind] = total.get(r.kind, np.zeros(4)) + x
+        none = np.zeros(4)
+        self.v, self.n, self.types = (int(x) for x in total.get(-3, none)[:3])
+        self.discount = {k: _discounts(total.get(k, none)) for k in range(1, order + 1)}
+        d, types = self.discount[1], total.get(1, none)
+        self.left = float(d[1] * types[0] + d[2] * types[1] + d[3] * total.get(-3, none)[3])
+        self.hot_v = np.array(sorted(hot), np.uint64)
+        self.hot_n = np.array([hot[v] for v in sorted(hot)], np.float64).reshape(-1, 4)
+
+    def drop(self, spark) -> None:
+        """Deletes the arrays; all scores must have been written."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -281,96 +465,85 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0] + [x if 0 < x < k else 0.5 for k, x in enumerate(raw[1:], 1)])
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = ORDER) -> Model:
     """Counts the texts of ``docs``."""
+    if order < 2:
+        raise ValueError("an n-gram has two words at least")
     spark = docs.sparkSession
     texts = docs.select("text")
-    count = buckets(spark, text_bytes(texts) / 12, 1.5e6)
-    rows = packed(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), _hot(count), "v bigint, n bigint, total bigint")
-    rows = rows.groupBy("v").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    found = rows.where(F.col("n") * HOT * count >= rows.select(F.sum("total")).scalar()).select("v").where("n > 0").collect()
-    hot = np.array(sorted({int(BEGIN), *(int(np.int64(r.v).view(np.uint64)) for r in found)}), np.uint64)
+    count = buckets(spark, text_bytes(texts) / 8, 1.2e6)
+    rows = packed(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), _frequent(count), "kind int, v bigint, n bigint")
+    rows = rows.groupBy("kind", "v").agg(F.sum("n").alias("n"))
+    total = rows.where("kind = 2").select("n").first()
+    found = rows.where((F.col("kind") < 2) & (F.col("n") * count >= (total.n if total else 0))).collect()  # at most 2 * count
+    chosen = lambda kind, *more: np.array(sorted({*more, *(int(np.int64(r.v).view(np.uint64)) for r in found if r.kind == kind)}), np.uint64)
+    at = Layout(count, chosen(0, int(BEGIN)), chosen(1))
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    pairs = packed(texts, _count_pairs(hot, count), PAIRS)
-    words = grouped(pairs, "b", _merge_pairs(folder, hot, count), WORDS)
-    facts = grouped(words, "b", _merge_words(folder, count), FACTS).collect()
-    return Model(folder, count, facts, hot)
+    words = grouped(packed(texts, _count(at, order), SENT), "b", _merge(folder, at, order), SENT)
+    facts = grouped(words, "b", _merge_words(folder, at), FACTS).groupBy("kind", "v").agg(*(F.sum(k).alias(k) for k in "abcd")).collect()
+    return Model(folder, at, order, facts)
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which wanted keys are there, and where."""
-    if not len(sorted_keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return sorted_keys[at] == wanted, at
-
-
-def _find_pairs(folder: str, b: int, key: np.ndarray) -> np.ndarray:
-    """Counts of pairs by their key: the upper bits give a short range, in which a binary search goes on."""
-    high, low = _load(folder, f"pair-{b}", "high", np.uint32), _load(folder, f"pair-{b}", "low", np.uint32)
-    out = np.zeros(len(key), np.int64)
-    if not len(low):
-        return out
-    key = key >> U(16)
-    top, want = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
-    a, z = high[top].astype(np.int64), high[top + 1].astype(np.int64)
-    end = z.copy()
-    for _ in range(int(z.max(initial=0) and (z - a).max()).bit_length()):
-        mid = (a + z) >> 1
-        less = (a < z) & (low[np.minimum(mid, len(low) - 1)] < want)
-        a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
-    ok = (a < end) & (low[np.minimum(a, len(low) - 1)] == want)
-    at = a[ok]
-    c = _load(folder, f"pair-{b}", "c", np.uint8)[at].astype(np.int64)
-    if (c == 255).any():
-        c[c == 255] = _load(folder, f"pair-{b}", "over", np.int64)[np.searchsorted(_load(folder, f"pair-{b}", "at", np.int64), at[c == 255])]
-    out[ok] = c
-    return out
-
-
 def _each_bucket(bucket: np.ndarray, count: int):
     order, at = by_bucket(bucket.astype(np.int64), count)
     for b in np.flatnonzero(np.diff(at)):
         yield int(b), order[at[b] : at[b + 1]]
 
 
-def _look_up(m: Model, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token its count in training and its probability after the word before it."""
+def _gather(m: Model, bucket: np.ndarray, there: set, name: str, keys: np.ndarray, width: int = 1) -> np.ndarray:
+    """Counts of keys from the arrays of their buckets; a bucket that got nothing has none."""
+    out = np.zeros((len(keys), width), np.int64)
+    for b, own in _each_bucket(bucket, m.at.count):
+        if b in there:
+            out[own] = _look(m.folder, f"{name}-{b}", keys[own], width)
+    return out
+
+
+def _look_up(m: Model, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token its count in training and its probability after the words before it."""
     words, word_of = np.unique(w, return_inverse=True)
-    c, types = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    for b, own in _each_bucket(_word_bucket(words, m.count), m.count):
-        ok, at = _find(_load(m.folder, f"word-{b}", "w", np.uint64), words[own])
-        c[own[ok]] = _load(m.folder, f"word-{b}", "c", np.int64)[at[ok]]
-        types[own[ok]] = _load(m.folder, f"word-{b}", "types", np.uint32)[at[ok]]
+    facts = _gather(m, m.at.word_bucket(words), m.second, "word", words, 2)
+    types, d = facts[:, 1], m.discount[1]
     if m.types:
-        low = (types - m.word_discount[np.minimum(types, 3)]) / m.types + m.left / m.types / (m.v + 1)
+        low = (types - d[np.minimum(types, 3)]) / m.types + m.left / m.types / (m.v + 1)
     else:
         low = np.full(len(words), 1.0 / (m.v + 1))
-    firsts, first_of = np.unique(v, return_inverse=True)
-    total, back = np.zeros(len(firsts)), np.ones(len(firsts))
-    stats = np.zeros((len(firsts), 4))
-    for b, own in _each_bucket(_bucket(firsts, firsts, m.hot[:0], m.count), m.count):
-        ok, at = _find(_load(m.folder, f"first-{b}", "v", np.uint64), firsts[own])
-        stats[own[ok], 0] = _load(m.folder, f"first-{b}", "c", np.int64)[at[ok]]
-        n = _load(m.folder, f"first-{b}", "n", np.uint32)
-        for k in range(3):
-            stats[own[ok], k + 1] = n[at[ok] * 3 + k]
-    ok, at = _find(m.hot_v, firsts)
-    stats[ok] = m.hot_n[at[ok]]
-    total = stats[:, 0]
-    seen = total > 0
-    back[seen] = (stats[seen, 1:] @ m.discount[1:]) / total[seen]
-    key = pair_key(v, w)
-    keys, some, key_of = np.unique(key, return_index=True, return_inverse=True)
-    pairs = np.zeros(len(keys), np.int64)
-    for b, own in _each_bucket(_bucket(v[some], w[some], m.hot, m.count), m.count):
-        pairs[own] = _find_pairs(m.folder, b, keys[own])
-    pairs = pairs[key_of]
-    high = (pairs - m.discount[np.minimum(pairs, 3)]) / np.maximum(total[first_of], 1)
-    return c[word_of], high + back[first_of] * low[word_of]
+    p, found = low[word_of], (types > 0)[word_of]
+    columns = [_before(w, place, k, BEGIN) for k in range(m.order - 1, 0, -1)] + [w]
+    for k in range(2, m.order + 1):
+        who = np.flatnonzero(place >= k - 2)
+        own = [x[who] for x in columns[m.order - k :]]
+        context = _sequence(own[:-1])
+        keys, one, of = np.unique(context, return_index=True, return_inverse=True)
+        v = own[-2][one]
+        stats, hot = np.zeros((len(keys), 4)), np.isin(v, m.at.hot)
+        cool = np.flatnonzero(~hot)
+        stats[cool] = _gather(m, (mix(v[cool]) >> U(8)) % U(m.at.count), m.first, f"context-{k}", keys[cool], 4)
+        warm = np.flatnonzero(hot)
+        if k == 2 and len(m.hot_v):
+            place_of = np.minimum(np.searchsorted(m.hot_v, v[warm]), len(m.hot_v) - 1)
+            known = m.hot_v[place_of] == v[warm]
+            stats[warm[known]] = m.hot_n[place_of[known]]
+        elif k > 2:
+            stats[warm] = _gather(m, m.at.context_bucket(keys[warm]), m.second, "contexts", keys[warm], 4)
+        total, d = stats[:, 0], m.discount[k]
+        back = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
+        c = np.zeros(len(who), np.int64)
+        ask = np.flatnonzero((total[of] > 0) & found[who])
+        grams, one, gram_of = np.unique(_longer(context[ask], own[-1][ask]), return_index=True, return_inverse=True)
+        some = [x[ask][one] for x in own]
+        made = np.zeros(len(grams), np.int64)
+        often = m.at.frequent(*some[-2:]) if k == 2 else np.zeros(len(grams), bool)
+        usual, rare = np.flatnonzero(~often), np.flatnonzero(often)
+        made[usual] = _gather(m, m.at.bucket([x[usual] for x in some]), m.first, f"gram-{k}", grams[usual])[:, 0]
+        made[rare] = _gather(m, m.at.word_bucket(some[-1][rare]), m.second, "pairs", grams[rare])[:, 0]
+        c[ask] = made[gram_of]
+        p[who] = (c - d[np.minimum(c, 3)]) / np.maximum(total[of], 1) * (total[of] > 0) + back[of] * p[who]
+        found[who] = c > 0
+    return facts[word_of, 0], p
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
@@ -382,9 +555,9 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
 
     def flush(kept):
         m = sent.value
-        v, w, row = (np.concatenate(x) for x in (zip(*[k[:3] for k in kept])))
+        w, place, row = (np.concatenate(x) for x in (zip(*[k[:3] for k in kept])))
         rows = sum(k[3] for k in kept)
-        c, p = _look_up(m, v, w)
+        c, p = _look_up(m, w, place)
         n = np.bincount(row, minlength=rows)
         s = np.bincount(row, weights=np.log10(p), minlength=rows)
         base = np.bincount(row, weights=np.log10((c + 1) / (m.n + m.v + 1)), minlength=rows)
@@ -402,10 +575,10 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     def run(parts):
         kept, size, rows = [], 0, 0
         for part in parts:
-            v, w, row = _tokens(part)
-            kept.append((v, w, row + rows, part.num_rows, part.column("doc_id").cast(pa.int64()), part.column("held_out")))
+            w, place, row = _tokens(part)
+            kept.append((w, place, row + rows, part.num_rows, part.column("doc_id").cast(pa.int64()), part.column("held_out")))
             size, rows = size + len(w), rows + part.num_rows
-            if size > FLUSH:
+            if size > SCORED:
                 yield flush(kept)
                 kept, size, rows = [], 0, 0
         if kept:
@@ -414,7 +587,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
     return packed(docs.select("doc_id", "text", "held_out"), run, SCORES)
 
 
-def lm_query(docs: DataFrame) -> DataFrame:
+def lm_query(docs: DataFrame, order: int = ORDER) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
-    return score(docs, train(docs.where("not held_out")))
+    return score(docs, train(docs.where("not held_out"), order))

@@ -169,36 +169,46 @@ def test_mixing(docs, empty):
     assert mixing.repeated(empty).count() == 0
 
 
-def test_lm_scoring(docs, empty):
-    rows = [(i, (t or "").encode().lower().split() + [None]) for i, t in collected(docs)]
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scoring(docs, empty, spark, order, monkeypatch):
+    """Against plain dictionaries; one word and one pair are so frequent that they are dealt over all buckets."""
+    monkeypatch.setattr(lm_scoring, "SAMPLE", 1)
+    more = spark.createDataFrame([(1000 + i, f"w{i % 40} " + f"very common w{i % 7} " * 40, None, None, 1, 1, 1, 1.0) for i in range(300)], DOCS)
+    docs = docs.unionAll(more)
+    if order == 3:
+        layout = lm_scoring.train(docs).at
+        assert len(layout.hot) >= 3 and len(layout.pairs) >= 1
+    rows = [(i, ["^", *(t or "").encode().lower().split(), None]) for i, t in collected(docs)]
     train = [w for i, w in rows if zlib.crc32(str(i if i is not None else "").encode()) % 7 != 2]
-    one, two = Counter(x for w in train for x in w), Counter(p for w in train for p in zip(["^", *w], w))
+    one = Counter(x for w in train for x in w[1:])
     n, v = sum(one.values()), len(one)
-    ctx, before = {}, Counter()
-    for (a, b), c in two.items():
-        s = ctx.setdefault(a, [0, 0, 0, 0])
-        s[0] += c
-        s[min(c, 3)] += 1
-        before[b] += 1
-    d = lm_scoring._discounts(np.array([sum(c == k for c in two.values()) for k in (1, 2, 3, 4)]))
-    e = lm_scoring._discounts(np.array([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)]))
-    left = sum(e[min(c, 3)] for c in before.values()) / len(two) / (v + 1)
-
-    def p(a, b):
-        low = (before[b] - e[min(before[b], 3)]) / len(two) + left
-        if a not in ctx:
-            return low
-        s, c = ctx[a], two[a, b]
-        return (c - d[min(c, 3)] + (d[1] * s[1] + d[2] * s[2] + d[3] * s[3]) * low) / s[0]
+    counts = {order: Counter(tuple(w[i - order + 1 : i + 1]) for w in train for i in range(order - 1, len(w)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+        if k > 1:
+            counts[k] += Counter(tuple(w[:k]) for w in train if len(w) >= k)
+    d = {k: lm_scoring._discounts(np.array([sum(c == i for c in own.values()) for i in (1, 2, 3, 4)])) for k, own in counts.items()}
+    context = {}
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            s = context.setdefault((k, g[:-1]), [0, 0.0])
+            s[0] += c
+            s[1] += d[k][min(c, 3)]
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        s = context.get((len(g), g[:-1]))
+        c = counts[len(g)][g]
+        return below if s is None else (c - d[len(g)][min(c, 3)] + s[1] * below) / s[0]
 
     want = Counter()
     for i, w in rows:
-        score = sum(math.log10(p(a, b)) for a, b in zip(["^", *w], w))
-        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        want[i, len(w), sum(x in one for x in w), n, f"{base:.5g}", f"{score:.5g}"] += 1
-    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.5g}", f"{r.score:.5g}") for r in lm_scoring.lm_query(docs).collect())
+        score = sum(math.log10(p(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(1, len(w)))
+        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w[1:])
+        want[i, len(w) - 1, sum(x in one for x in w[1:]), n, f"{base:.5g}", f"{score:.5g}"] += 1
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.5g}", f"{r.score:.5g}") for r in lm_scoring.lm_query(docs, order).collect())
     assert got == want
-    assert lm_scoring.lm_query(empty).count() == 0
+    assert lm_scoring.lm_query(empty, order).count() == 0
 
 
 def vectors(spark, n=300, width=24):
