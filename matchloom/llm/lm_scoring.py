@@ -28,7 +28,8 @@ Retries: each array is written under a temporary name and renamed, with the same
 content each time.  The arrays stay in the shared folder until ``Model.drop``, since
 scores are computed when they are asked for.
 
-Words and n-grams are 64-bit hashes, of which the arrays keep 48 bits beside the bucket.
+Words are 48-bit hashes; n-grams are 64-bit ones, of which the arrays keep 48 bits beside the
+bucket.  Keys with the usual counts, most of all, are kept apart without them.
 
 Defined results: a null or empty text is the single end token; a null doc_id
 counts as the empty string, so its text is learnt from; a word never seen gets
@@ -52,12 +53,12 @@ from .shared import GOLD, POLY, U, Words, buckets, by_bucket, flat, grouped, joi
 
 #: Words of the longest n-gram.
 ORDER = 3
-END, BEGIN = U(0x0123456789ABCDEF), U(0xFEDCBA9876543210)
+END, BEGIN, WORD = U(0x0123456789AB), U(0xFEDCBA987654), U((1 << 48) - 1)
 #: Tokens that a scan task gathers before it counts or scores them.
-FLUSH, SCORED = 2_000_000, 1_000_000
+FLUSH = 1_000_000
 #: One document in so many is sampled to find frequent words and pairs.
 SAMPLE = 64
-#: level n >= 2: n-grams (words: a dictionary, x: n columns of places in it, c: counts, over: those above 254); 1: words and how many different ones precede them (words, c, over); -1: words and their occurrences; 0: facts (x: five numbers each); -2: contexts (words, x: four numbers each); -3: frequent pairs (words: first and last word of each, c, over)
+#: level n >= 2: n-grams (words: a dictionary, x: n columns of places in it, c: counts, over: those above 254); 1: words (words, c: how many different ones precede each, then how often each occurs, over); 0: facts (words: names, x: five numbers each); -2: contexts (words, c: four numbers each, over); -3: frequent pairs (words: first and last word of each, c, over)
 SENT = "b int, level int, words binary, x binary, c binary, over binary"
 FACTS = "kind int, v bigint, a double, b double, c double, d double"
 
@@ -106,22 +107,37 @@ def _small(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(c, 255).astype(np.uint8), c[c >= 255].astype(np.int64)
 
 
+#: Up to this many keys are kept whole.
+FEW = 1 << 16
+
+
 def _save_map(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """A hash array: sorted 64-bit keys, of which 48 bits stay, and a few counts for each."""
-    key = keys >> U(16)
-    high = np.searchsorted(key, np.arange(65537, dtype=np.uint64) << U(32)).astype(np.uint32)
-    flat_values = values.reshape(-1)
-    c, over = _small(flat_values)
-    _save(folder, name, high=high, low=(key & U(0xFFFFFFFF)).astype(np.uint32), c=c, at=np.flatnonzero(flat_values >= 255).astype(np.int64), over=over)
+    """A hash array: sorted 64-bit keys, of which 48 bits stay, and a few counts for each; where the first two are 1 and others 0, the key alone."""
+    values = values.reshape(len(keys), -1) if len(keys) else np.zeros((0, 1), np.int64)
+    usual = (values[:, :2] == 1).all(1) & (values[:, 2:] == 0).all(1)
+    _save_keys(folder, f"{name}-usual", keys[usual])
+    keys, values = keys[~usual], values[~usual].reshape(-1)
+    _save_keys(folder, name, keys)
+    c, over = _small(values)
+    _save(folder, name, c=c, at=np.flatnonzero(values >= 255).astype(np.int64), over=over)
 
 
-def _look(folder: str, name: str, keys: np.ndarray, width: int = 1) -> np.ndarray:
-    """The counts of keys, 0 for those that are not there: the upper bits give a short range, in which a binary search goes on."""
-    high, low = _load(folder, name, "high", np.uint32), _load(folder, name, "low", np.uint32)
-    out = np.zeros((len(keys), width), np.int64)
-    if not len(low) or not len(keys):
-        return out
+def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
     key = keys >> U(16)
+    if len(key) < FEW:
+        _save(folder, name, low=np.zeros(0, np.uint32), whole=key)
+    else:
+        _save(folder, name, low=(key & U(0xFFFFFFFF)).astype(np.uint32), high=np.searchsorted(key, np.arange(65537, dtype=np.uint64) << U(32)).astype(np.uint32))
+
+
+def _place(folder: str, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are there, and where: the upper bits give a short range, in which a binary search goes on."""
+    key, low = keys >> U(16), _load(folder, name, "low", np.uint32)
+    if not len(low):
+        whole = _load(folder, name, "whole", np.uint64)
+        at = np.minimum(np.searchsorted(whole, key), max(len(whole) - 1, 0))
+        return (whole[at] == key if len(whole) else np.zeros(len(key), bool)), at
+    high = _load(folder, name, "high", np.uint32)
     top, want = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.uint32)
     a, z = high[top].astype(np.int64), high[top + 1].astype(np.int64)
     end = z.copy()
@@ -129,12 +145,21 @@ def _look(folder: str, name: str, keys: np.ndarray, width: int = 1) -> np.ndarra
         mid = (a + z) >> 1
         less = (a < z) & (low[np.minimum(mid, len(low) - 1)] < want)
         a, z = np.where(less, mid + 1, a), np.where(less, z, mid)
-    ok = (a < end) & (low[np.minimum(a, len(low) - 1)] == want)
-    at = (a[ok][:, None] * width + np.arange(width)).reshape(-1)
+    return (a < end) & (low[np.minimum(a, len(low) - 1)] == want), a
+
+
+def _look(folder: str, name: str, keys: np.ndarray, width: int = 1) -> np.ndarray:
+    """The counts of keys, 0 for those that are not there."""
+    out = np.zeros((len(keys), width), np.int64)
+    ok, _ = _place(folder, f"{name}-usual", keys)
+    out[ok, :2] = 1
+    rest = np.flatnonzero(~ok)
+    ok, at = _place(folder, name, keys[rest])
+    at = (at[ok][:, None] * width + np.arange(width)).reshape(-1)
     c = _load(folder, name, "c", np.uint8)[at].astype(np.int64)
     if (c == 255).any():
         c[c == 255] = _load(folder, name, "over", np.int64)[np.searchsorted(_load(folder, name, "at", np.int64), at[c == 255])]
-    out[ok] = c.reshape(-1, width)
+    out[rest[ok]] = c.reshape(-1, width)
     return out
 
 
@@ -149,7 +174,7 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(words.count + 1) - 1
     inside = np.ones(n + rows, bool)
     inside[ends] = False
-    w[inside] = words.hashes()
+    w[inside] = words.hashes() & WORD
     place = np.arange(n + rows) - np.repeat(ends - words.count, words.count + 1)
     return w, place, np.repeat(np.arange(rows), words.count + 1)
 
@@ -223,17 +248,28 @@ def _put(out: dict[str, list], b: int, level: int, words: np.ndarray, x: bytes =
         out[k].append(value)
 
 
+def _six(words: np.ndarray) -> np.ndarray:
+    """Hashes of words in six bytes each."""
+    return np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _eight(words: bytes) -> np.ndarray:
+    out = np.zeros((len(words) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(words, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _counts(c: bytes, over: bytes) -> np.ndarray:
     out = np.frombuffer(c, np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(over, np.int64)
     return out
 
 
-def _put_words(out: dict[str, list], at: Layout, level: int, w: np.ndarray, c: np.ndarray) -> None:
+def _put_words(out: dict[str, list], at: Layout, w: np.ndarray, types: np.ndarray, c: np.ndarray) -> None:
     order, begin = by_bucket(at.word_bucket(w).astype(np.int64), at.count)
     for b in np.flatnonzero(np.diff(begin)):
         own = order[begin[b] : begin[b + 1]]
-        _put(out, b, level, w[own], c=c[own])
+        _put(out, b, 1, _six(w[own]), c=np.concatenate((types[own], c[own])))
 
 
 def _count(at: Layout, n: int):
@@ -241,9 +277,7 @@ def _count(at: Layout, n: int):
         w, place = (np.concatenate(x) for x in zip(*kept))
         kept.clear()
         words, ids = np.unique(w, return_inverse=True)
-        out = _new()
-        _put_words(out, at, -1, words, np.bincount(ids))
-        words = np.append(words, BEGIN)
+        out, words = _new(), np.append(words, BEGIN)
         columns = [_before(ids, place, k, len(words) - 1) for k in range(n - 1, 0, -1)] + [ids]
         for k in range(2, n + 1):  # shorter ones at the beginning of a text only
             chosen = np.flatnonzero(place >= n - 2 if k == n else place == k - 2)
@@ -252,8 +286,9 @@ def _count(at: Layout, n: int):
             own = [x[chosen] for x in columns[n - k :]]
             one, c = _summed(_sequence([words[x] for x in own]), np.ones(len(chosen), np.int64))
             own = [x[one] for x in own]
-            order, begin = by_bucket(at.bucket([words[x] for x in own]).astype(np.int64), at.count)
-            own, c = [x[order] for x in own], c[order]
+            bucket = at.bucket([words[x] for x in own]).astype(np.int64)
+            order = np.argsort(bucket * len(words) + own[-2], kind="stable")  # equal words together compress well
+            begin, own, c = np.searchsorted(bucket[order], np.arange(at.count + 1)), [x[order] for x in own], c[order]
             local, used = np.zeros(len(words), np.uint32), np.zeros(len(words), bool)
             for b in np.flatnonzero(np.diff(begin)):
                 part = slice(begin[b], begin[b + 1])
@@ -263,7 +298,7 @@ def _count(at: Layout, n: int):
                 some = np.flatnonzero(used)
                 local[some] = np.arange(len(some))
                 kind = np.uint16 if len(some) < 65536 else np.uint32
-                _put(out, b, k, words[some], b"".join(local[x[part]].astype(kind).tobytes() for x in own), c[part])
+                _put(out, b, k, _six(words[some]), b"".join(local[x[part]].astype(kind).tobytes() for x in own), c[part])
         return out
 
     def run(parts):
@@ -296,10 +331,14 @@ def _merge(folder: str, at: Layout, n: int):
                 for k, value in zip(out, (b, level, words, x, c, over)):
                     out[k].append(value)
                 continue
-            words, c = np.frombuffer(words, np.uint64), _counts(c, over)
+            words, c = _eight(words), _counts(c, over)
             places = np.frombuffer(x, np.uint16 if len(words) < 65536 else np.uint32).reshape(level, -1)
             given[level].append(([words[p] for p in places], c))
         above, facts = None, [[-1.0, b, 0, 0, 0, 0]]
+        # every token ends one of the n-grams that were sent
+        last = np.concatenate([p[0][-1] for parts in given.values() for p in parts] or [np.zeros(0, np.uint64)])
+        one, occurs = _summed(last, np.concatenate([p[1] for parts in given.values() for p in parts] or [np.zeros(0, np.int64)]))
+        last = last[one]
         for k in range(n, 1, -1):
             parts = given.pop(k) + ([above] if above else [])
             columns = [np.concatenate([p[0][i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(k)]
@@ -327,14 +366,14 @@ def _merge(folder: str, at: Layout, n: int):
             _save_map(folder, f"context-{k}-{b}", context[first][~hot], each[~hot])
             if k == 2:
                 facts += [[-2.0, int(v.view(np.int64)), *map(float, x)] for v, x in zip(columns[0][first[hot]], each[hot])]
-                words, types = np.unique(columns[1], return_counts=True)
-                _put_words(out, at, 1, words, types)
+                types = np.bincount(np.searchsorted(last, columns[1]), minlength=len(last))
+                _put_words(out, at, last, types, occurs)
             elif hot.any():
                 keys, stats = context[first][hot], each[hot]
                 order, begin = by_bucket(at.context_bucket(keys).astype(np.int64), at.count)
                 for to in np.flatnonzero(np.diff(begin)):
                     own = order[begin[to] : begin[to + 1]]
-                    _put(out, to, -2, keys[own], stats[own].astype(np.int64).tobytes())
+                    _put(out, to, -2, keys[own], c=stats[own].reshape(-1))
             above = (columns[1:], np.ones(len(c), np.int64))
         _put_facts(out, at, b, facts)
         return out
@@ -361,18 +400,25 @@ def _merge_words(folder: str, at: Layout):
                 out[k].append(y)
 
         b = t["b"][0].as_py()
-        words = {k: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for k in (1, -1, -3)}
+        words, types, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pairs, pair_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         keys, stats, told = [np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int64)], []
         for level, w, x, c, over in zip(*(t[k].to_pylist() for k in ("level", "words", "x", "c", "over"))):
+            if level == 1:
+                w, c = _eight(w), _counts(c, over)
+                words.append(w)
+                types.append(c[: len(w)])
+                often.append(c[len(w) :])
+                continue
             w = np.frombuffer(w, np.uint64)
             if level == 0:
                 told += zip(w.view(np.int64).tolist(), np.frombuffer(x, np.float64).reshape(-1, 5).tolist())
             elif level == -2:
                 keys.append(w)
-                stats.append(np.frombuffer(x, np.int64).reshape(-1, 4))
+                stats.append(_counts(c, over).reshape(-1, 4))
             else:
-                words[level][0].append(w)
-                words[level][1].append(_counts(c, over))
+                pairs.append(w)
+                pair_counts.append(_counts(c, over))
         for name, (kind, *x) in told:
             tell(kind, name, *x)
         tell(-4, b, 0, 0, 0, 0)
@@ -383,7 +429,7 @@ def _merge_words(folder: str, at: Layout):
         stats = np.add.reduceat(stats[order], begin[:-1]) if len(keys) else stats
         _save_map(folder, f"contexts-{b}", keys[order][begin[:-1]], stats)
         # frequent pairs
-        both, c = np.concatenate(words[-3][0]).reshape(-1, 2), np.concatenate(words[-3][1])
+        both, c = np.concatenate(pairs).reshape(-1, 2), np.concatenate(pair_counts)
         pair = _sequence([both[:, 0], both[:, 1]])
         one, c = _summed(pair, c)
         both, pair = both[one], pair[one]
@@ -392,15 +438,13 @@ def _merge_words(folder: str, at: Layout):
             tell(-2, v, x, x == 1, x == 2, x >= 3)
         tell(2, 0, *(int((c == i).sum()) for i in (1, 2, 3, 4)))
         # words: how many different ones precede each, and how often it occurs
-        w = np.concatenate([*words[1][0], both[:, 1], *words[-1][0]])
-        n_types = sum(map(len, words[1][0])) + len(both)
-        types = np.concatenate([*words[1][1], np.ones(len(both), np.int64), np.zeros(len(w) - n_types, np.int64)])
-        c = np.concatenate([np.zeros(n_types, np.int64), *words[-1][1]])
+        w = np.concatenate([*words, both[:, 1]])
+        types, c = np.concatenate([*types, np.ones(len(both), np.int64)]), np.concatenate([*often, np.zeros(len(both), np.int64)])
         order = np.argsort(w, kind="stable")
         begin, _ = runs(w[order])
         if len(w):
             w, types, c = w[order][begin[:-1]], np.add.reduceat(types[order], begin[:-1]), np.add.reduceat(c[order], begin[:-1])
-        _save_map(folder, f"word-{b}", w, np.stack([c, types], 1))
+        _save_map(folder, f"word-{b}", _first(w[np.argsort(_first(w))]), np.stack([c, types], 1)[np.argsort(_first(w))])
         tell(-3, 0, len(w), c.sum(), types.sum(), int((types >= 3).sum()))
         tell(1, 0, *(int((types == i).sum()) for i in (1, 2, 3, 4)))
         return out
@@ -471,7 +515,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         raise ValueError("an n-gram has two words at least")
     spark = docs.sparkSession
     texts = docs.select("text")
-    count = buckets(spark, text_bytes(texts) / 8, 1.2e6)
+    count = buckets(spark, text_bytes(texts) / 7, 1.5e6)
     rows = packed(texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), _frequent(count), "kind int, v bigint, n bigint")
     rows = rows.groupBy("kind", "v").agg(F.sum("n").alias("n"))
     total = rows.where("kind = 2").select("n").first()
@@ -505,7 +549,7 @@ def _gather(m: Model, bucket: np.ndarray, there: set, name: str, keys: np.ndarra
 def _look_up(m: Model, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each token its count in training and its probability after the words before it."""
     words, word_of = np.unique(w, return_inverse=True)
-    facts = _gather(m, m.at.word_bucket(words), m.second, "word", words, 2)
+    facts = _gather(m, m.at.word_bucket(words), m.second, "word", _first(words), 2)
     types, d = facts[:, 1], m.discount[1]
     if m.types:
         low = (types - d[np.minimum(types, 3)]) / m.types + m.left / m.types / (m.v + 1)
@@ -578,7 +622,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
             w, place, row = _tokens(part)
             kept.append((w, place, row + rows, part.num_rows, part.column("doc_id").cast(pa.int64()), part.column("held_out")))
             size, rows = size + len(w), rows + part.num_rows
-            if size > SCORED:
+            if size > FLUSH:
                 yield flush(kept)
                 kept, size, rows = [], 0, 0
         if kept:
