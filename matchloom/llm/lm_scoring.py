@@ -242,21 +242,24 @@ def _new() -> dict[str, list]:
     return {k: [] for k in ("b", "level", "words", "x", "c", "over")}
 
 
-def _put(out: dict[str, list], b: int, level: int, words: np.ndarray, x: bytes = b"", c: np.ndarray | None = None) -> None:
+def _put(out: dict[str, list], b: int, level: int, words: bytes, x: bytes = b"", c: np.ndarray | None = None) -> None:
     small, over = _small(c) if c is not None else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
-    for k, value in zip(out, (int(b), level, words.tobytes(), x, small.tobytes(), over.tobytes())):
+    for k, value in zip(out, (int(b), level, words, x, small.tobytes(), over.tobytes())):
         out[k].append(value)
 
 
-def _six(words: np.ndarray) -> np.ndarray:
-    """Hashes of words in six bytes each."""
-    return np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :6]
+def _squeezed(x: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each number, all first bytes before all second ones, compressed."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _eight(words: bytes) -> np.ndarray:
-    out = np.zeros((len(words) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(words, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+def _unsqueezed(raw: bytes, kind: type, width: int) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(raw[8:], n * width, "zstd"), np.uint8).reshape(width, n).T
+    return out.view(kind).reshape(-1)
 
 
 def _counts(c: bytes, over: bytes) -> np.ndarray:
@@ -269,7 +272,8 @@ def _put_words(out: dict[str, list], at: Layout, w: np.ndarray, types: np.ndarra
     order, begin = by_bucket(at.word_bucket(w).astype(np.int64), at.count)
     for b in np.flatnonzero(np.diff(begin)):
         own = order[begin[b] : begin[b + 1]]
-        _put(out, b, 1, _six(w[own]), c=np.concatenate((types[own], c[own])))
+        own = own[np.argsort(w[own])]
+        _put(out, b, 1, _squeezed(w[own], 6), c=np.concatenate((types[own], c[own])))
 
 
 def _count(at: Layout, n: int):
@@ -289,16 +293,15 @@ def _count(at: Layout, n: int):
             bucket = at.bucket([words[x] for x in own]).astype(np.int64)
             order = np.argsort(bucket * len(words) + own[-2], kind="stable")  # equal words together compress well
             begin, own, c = np.searchsorted(bucket[order], np.arange(at.count + 1)), [x[order] for x in own], c[order]
-            local, used = np.zeros(len(words), np.uint32), np.zeros(len(words), bool)
+            local = np.zeros(len(words), np.uint32)
             for b in np.flatnonzero(np.diff(begin)):
                 part = slice(begin[b], begin[b + 1])
-                used[:] = False
-                for x in own:
-                    used[x[part]] = True
-                some = np.flatnonzero(used)
+                times = np.bincount(np.concatenate([x[part] for x in own]), minlength=len(words))
+                some = np.flatnonzero(times)
+                some = some[np.argsort(-np.log2(times[some]).astype(np.int64), kind="stable")]  # frequent ones first, so that places are small numbers; each kind in the order of hashes
                 local[some] = np.arange(len(some))
                 kind = np.uint16 if len(some) < 65536 else np.uint32
-                _put(out, b, k, _six(words[some]), b"".join(local[x[part]].astype(kind).tobytes() for x in own), c[part])
+                _put(out, b, k, _squeezed(words[some], 6), _squeezed(np.concatenate([local[x[part]] for x in own]).astype(kind), kind().itemsize), c[part])
         return out
 
     def run(parts):
@@ -331,8 +334,9 @@ def _merge(folder: str, at: Layout, n: int):
                 for k, value in zip(out, (b, level, words, x, c, over)):
                     out[k].append(value)
                 continue
-            words, c = _eight(words), _counts(c, over)
-            places = np.frombuffer(x, np.uint16 if len(words) < 65536 else np.uint32).reshape(level, -1)
+            words, c = _unsqueezed(words, np.uint64, 6), _counts(c, over)
+            kind = np.uint16 if len(words) < 65536 else np.uint32
+            places = _unsqueezed(x, kind, kind().itemsize).reshape(level, -1)
             given[level].append(([words[p] for p in places], c))
         above, facts = None, [[-1.0, b, 0, 0, 0, 0]]
         # every token ends one of the n-grams that were sent
@@ -352,7 +356,7 @@ def _merge(folder: str, at: Layout, n: int):
                     order, begin = by_bucket(at.word_bucket(both[:, 1]).astype(np.int64), at.count)
                     for to in np.flatnonzero(np.diff(begin)):
                         own = order[begin[to] : begin[to + 1]]
-                        _put(out, to, -3, both[own], c=some[own])
+                        _put(out, to, -3, both[own].tobytes(), c=some[own])
                     columns, c = [x[~often] for x in columns], c[~often]
             key = _sequence(columns)
             _save_map(folder, f"gram-{k}-{b}", key, c)
@@ -373,7 +377,7 @@ def _merge(folder: str, at: Layout, n: int):
                 order, begin = by_bucket(at.context_bucket(keys).astype(np.int64), at.count)
                 for to in np.flatnonzero(np.diff(begin)):
                     own = order[begin[to] : begin[to + 1]]
-                    _put(out, to, -2, keys[own], c=stats[own].reshape(-1))
+                    _put(out, to, -2, keys[own].tobytes(), c=stats[own].reshape(-1))
             above = (columns[1:], np.ones(len(c), np.int64))
         _put_facts(out, at, b, facts)
         return out
@@ -388,7 +392,7 @@ def _put_facts(out: dict[str, list], at: Layout, b: int, facts: list) -> None:
         to = int(at.context_bucket(mix(np.array([name], np.int64).view(np.uint64)))[0]) if kind == -2 else b
         by.setdefault(to, []).append((int(name), [kind, *x]))
     for to, own in by.items():
-        _put(out, to, 0, np.array([x[0] for x in own], np.int64).view(np.uint64), np.array([x[1] for x in own], np.float64).tobytes())
+        _put(out, to, 0, np.array([x[0] for x in own], np.int64).tobytes(), np.array([x[1] for x in own], np.float64).tobytes())
 
 
 def _merge_words(folder: str, at: Layout):
@@ -405,7 +409,7 @@ def _merge_words(folder: str, at: Layout):
         keys, stats, told = [np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int64)], []
         for level, w, x, c, over in zip(*(t[k].to_pylist() for k in ("level", "words", "x", "c", "over"))):
             if level == 1:
-                w, c = _eight(w), _counts(c, over)
+                w, c = _unsqueezed(w, np.uint64, 6), _counts(c, over)
                 words.append(w)
                 types.append(c[: len(w)])
                 often.append(c[len(w) :])
