@@ -28,8 +28,8 @@ Retries: each array is written under a temporary name and renamed, with the same
 content each time.  The arrays stay in the shared folder until ``Model.drop``, since
 scores are computed when they are asked for.
 
-Words are 48-bit hashes; n-grams are 64-bit ones, of which the arrays keep 48 bits beside the
-bucket.  Keys with the usual counts, most of all, are kept apart without them.
+Words are 48-bit hashes; n-grams are 64-bit ones, of which the arrays keep 44 bits beside the
+bucket, so that of ten million lookups of what is not there less than one finds something.  Keys with the usual counts, most of all, are kept apart without them.
 
 Defined results: a null or empty text is the single end token; a null doc_id
 counts as the empty string, so its text is learnt from; a word never seen gets
@@ -89,12 +89,17 @@ def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
             system.move(path, fs.FileSystem.from_uri(f"{folder}/{name}.{k}")[1])
 
 
-@lru_cache(maxsize=512)
 def _load(folder: str, name: str, k: str, kind: type) -> np.ndarray:
+    """An array, mapped into memory as long as it is in use; its pages stay in the machine's cache."""
     local = _local(folder)
     if local:
         path = f"{local}/{name}.{k}"
         return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    return _fetched(folder, name, k, kind)
+
+
+@lru_cache(maxsize=64)
+def _fetched(folder: str, name: str, k: str, kind: type) -> np.ndarray:
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(f"{folder}/{name}.{k}")
@@ -107,12 +112,12 @@ def _small(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(c, 255).astype(np.uint8), c[c >= 255].astype(np.int64)
 
 
-#: Up to this many keys are kept whole.
-FEW = 1 << 16
+#: Fewer keys than this are kept whole; the upper bits of others, of BITS, are places in a table, the lower 32 are kept.
+FEW, BITS, UPPER = 1 << 12, 44, 12
 
 
 def _save_map(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """A hash array: sorted 64-bit keys, of which 48 bits stay, and a few counts for each; where the first two are 1 and others 0, the key alone."""
+    """A hash array: sorted 64-bit keys, of which BITS stay, and a few counts for each; where the first two are 1 and others 0, the key alone."""
     values = values.reshape(len(keys), -1) if len(keys) else np.zeros((0, 1), np.int64)
     usual = (values[:, :2] == 1).all(1) & (values[:, 2:] == 0).all(1)
     _save_keys(folder, f"{name}-usual", keys[usual])
@@ -123,16 +128,16 @@ def _save_map(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> N
 
 
 def _save_keys(folder: str, name: str, keys: np.ndarray) -> None:
-    key = keys >> U(16)
+    key = keys >> U(64 - BITS)
     if len(key) < FEW:
         _save(folder, name, low=np.zeros(0, np.uint32), whole=key)
     else:
-        _save(folder, name, low=(key & U(0xFFFFFFFF)).astype(np.uint32), high=np.searchsorted(key, np.arange(65537, dtype=np.uint64) << U(32)).astype(np.uint32))
+        _save(folder, name, low=(key & U(0xFFFFFFFF)).astype(np.uint32), high=np.searchsorted(key, np.arange((1 << UPPER) + 1, dtype=np.uint64) << U(32)).astype(np.uint32))
 
 
 def _place(folder: str, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys are there, and where: the upper bits give a short range, in which a binary search goes on."""
-    key, low = keys >> U(16), _load(folder, name, "low", np.uint32)
+    key, low = keys >> U(64 - BITS), _load(folder, name, "low", np.uint32)
     if not len(low):
         whole = _load(folder, name, "whole", np.uint64)
         at = np.minimum(np.searchsorted(whole, key), max(len(whole) - 1, 0))
