@@ -218,7 +218,7 @@ def vectors(spark, n=300, width=24):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string"), rows
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     df, rows = vectors(spark)
     x = {i: np.floor(256 * np.array(np.float32(e + [0.0] * (24 - len(e))), float)) for i, e, _ in rows if e and None not in e and np.isfinite(e).all()}
     got = {}
@@ -229,6 +229,22 @@ def test_topk(spark):
         best = sorted((-int(x[q] @ y), i) for i, y in x.items() if i != q)[:5]
         assert sorted(found) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert topk_search.top_k_query(df.where("vec_id < 0")).count() == 0
+    monkeypatch.setattr(topk_search, "BLOCK", 40)  # many blocks and groups of queries
+    monkeypatch.setattr(topk_search, "GROUP", 3)
+    again = {}
+    for r in topk_search.top_k_query(df).collect():
+        again.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(v) for q, v in again.items()} == {q: sorted(v) for q, v in got.items()}
+
+
+def test_topk_stops_early():
+    """On vectors with few large components the bound ends the search; random directions leave it idle."""
+    rng = np.random.default_rng(1)
+    ids = np.arange(4000)
+    sparse = np.round(256 * np.where(rng.random((4000, 64)) < 0.05, rng.exponential(size=(4000, 64)), 0))
+    dense = np.round(256 * rng.normal(size=(4000, 64)) / 8)
+    assert topk_search.accesses(sparse, ids, sparse[:40], ids[:40], 5) < 0.25
+    assert topk_search.accesses(dense, ids, dense[:10], ids[:10], 5) > 0.5
 
 
 def test_nearest(spark):
