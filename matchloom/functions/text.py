@@ -103,7 +103,7 @@ def postal(c: Column) -> Column:
 
 
 def zip5(c: Column) -> Column:
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{5})(?:[-\s]?\d{4})?$", 1)
+    return F.regexp_extract(F.trim(F.coalesce(c, F.lit(""))), r"^(\d{5})(?:[-\s]?\d{4})?$", 1)
 
 
 def pad_zip(c: Column) -> Column:
@@ -112,7 +112,9 @@ def pad_zip(c: Column) -> Column:
 
 # Street words and their short forms, and designators of units.
 STREET = {"street": "st", "avenue": "ave", "road": "rd", "drive": "dr", "lane": "ln", "court": "ct", "boulevard": "blvd", "place": "pl", "terrace": "ter", "circle": "cir", "highway": "hwy", "parkway": "pkwy", "square": "sq", "trail": "trl", "meadows": "mdws", "heights": "hts", "north": "n", "south": "s", "east": "e", "west": "w", "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw", "apartment": "apt", "suite": "ste", "building": "bldg", "floor": "fl", "room": "rm"}
-UNIT = r"(?:apt|apartment|unit|ste|suite|rm|room|fl|floor|bldg|building|lot|spc|space|trlr|trailer|dept|ph|bsmt)"
+# Words before a unit's number, in a line of its own and at the end of a street line.
+DESIGNATORS = ("apt", "apartment", "unit", "ste", "suite", "rm", "room", "fl", "floor", "bldg", "building", "lot", "spc", "space", "trlr", "trailer", "dept", "department", "ph", "bsmt", "frnt", "rear", "ofc", "lbby", "lowr", "uppr", "hngr", "pier", "slip", "stop", "key")
+TRAILING = ("suite", "ste", "unit", "apt", "apartment", "rm", "room", "floor", "fl", "bldg", "building", "lot")
 
 
 def standard_street(c: Column) -> Column:
@@ -121,9 +123,13 @@ def standard_street(c: Column) -> Column:
 
 
 def unit_only(c: Column) -> Column:
-    """A line that holds a unit and no street."""
-    c = F.lower(F.trim(c))
-    return c.rlike(rf"^{UNIT}\s+#?\s*(?=\S*\d|[a-z]\b)[a-z0-9]{{1,5}}(\s+[a-z0-9]{{1,2}})?$") | c.rlike(r"^#?\s*(?=\S*\d)[a-z0-9]{1,4}$") | c.rlike(r"^\d+(st|nd|rd|th) floor$")
+    """A line that holds a unit and no street: a designator and one or two numbers or letters, a short token with a digit, or a numbered floor."""
+    words = F.split(F.lower(F.trim(F.replace(c, F.lit("#"), F.lit(" ")))), r"\s+")
+    first, rest = F.element_at(words, 1), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+    numbered = F.size(rest).between(1, 2) & F.forall(rest, lambda w: w.rlike("^([0-9][a-z0-9-]*|[a-z])$"))
+    short = (F.size(words) == 1) & (F.length(first) <= 4) & first.rlike("^[a-z0-9-]*[0-9][a-z0-9-]*$")
+    floor = first.rlike("^[0-9]+(st|nd|rd|th)$") & F.coalesce(F.try_element_at(rest, F.lit(1)).rlike(r"^(floor|fl)\b"), F.lit(False))
+    return F.coalesce((first.isin(*DESIGNATORS) & numbered) | short | floor, F.lit(False))
 
 
 def line_one(lines: Column) -> Column:
@@ -132,8 +138,11 @@ def line_one(lines: Column) -> Column:
 
 
 def strip_unit(c: Column) -> Column:
-    x = F.regexp_replace(c, rf"(?i)^(.*\S)[\s,]+(?:{UNIT}\.?\s+#?\s*[A-Za-z0-9-]*\d[A-Za-z0-9-]*|{UNIT}\.?\s+#?\s*[A-Za-z]|#\s*[A-Za-z0-9-]+)\s*$", "$1")
-    return F.trim(F.regexp_replace(x, r"^[\s,-]+|[\s,-]+$", ""))
+    """A street without a unit at its end: a designator with one or two identifiers, or all from a # on that is not its beginning."""
+    one = r"(?:[0-9][\w-]*|[A-Z][0-9][\w-]*|[A-Z])"
+    named = rf"(?i)[\s,]+(?:{'|'.join(TRAILING)})(?:\s*#\s*|\s+){one}(?:\s+{one})?[\s-]*$"
+    x = F.regexp_replace(F.regexp_replace(c, named, ""), r"[\s,]+#\s*\w.*$", "")
+    return F.regexp_replace(x, r"^[ ,-]+|[ ,-]+$", "")
 
 
 def iso_date(c: Column) -> Column:
@@ -148,7 +157,7 @@ def clean_cell(c: Column) -> Column:
 
 
 def beds(c: Column) -> Column:
-    n = F.expr("try_cast(NULL as double)") if c is None else c.try_cast("double")
+    n = c.try_cast("double")
     return F.when(~F.isnan(n) & (n >= 0), n.try_cast("int"))
 
 

@@ -13,12 +13,9 @@ PATIENT = (
     "identifier array<struct<system:string,value:string,type:struct<coding:array<struct<system:string,code:string>>>,assigner:struct<display:string>>>, "
     "extension array<struct<url:string,extension:array<struct<url:string,valueCode:string>>>>"
 )
-# Identifier systems.
-SSN, ITIN, MBI = "http://hl7.org/fhir/sid/us-ssn", "urn:oid:2.16.840.1.113883.4.2", "http://hl7.org/fhir/sid/us-mbi"
-
-
-def _list(c: Column, kind: str) -> Column:
-    return F.coalesce(c, F.lit(None).cast(kind), F.array().cast(kind))
+# Identifier systems and type codes.
+GUARDIAN, MOTHER, BIRTH, NAMESPACE = "CMS-GRDN", "CMS-MTHR", "CMS-BEID", ("RI", "MR", "AN", "PI")
+SSN, ITIN, MBI = "http://hl7.org/fhir/sid/us-ssn", "urn:oid:2.16.840.1.113883.4.4", "http://hl7.org/fhir/sid/us-mbi"
 
 
 def _set(c: Column) -> Column:
@@ -51,7 +48,7 @@ def normalized(patients: DataFrame, as_of: str) -> DataFrame:
         return F.when(~bad, F.struct(a["use"].alias("use"), a["type"].alias("type"), F.transform(lines, text.standard_street).alias("line"), F.lower(a["city"]).alias("city"), F.lower(a["state"]).alias("state"), zip_.alias("postalCode"), a["country"].alias("country")))
 
     def known(i):
-        last4 = F.substring(F.regexp_replace(i["value"], r"\D", ""), -4, 4)
+        last4 = _last4(i["value"])
         reason = F.when(i["system"] == SSN, F.coalesce(ph.reason_ssn(i["value"]), ph.reason_last4(last4))).when(i["system"] == ITIN, ph.reason_last4(last4)).otherwise(F.coalesce(ph.reason_subscriber(i["value"]), ph.reason_general(i["value"])))
         return reason.isNull()
 
@@ -61,25 +58,60 @@ def normalized(patients: DataFrame, as_of: str) -> DataFrame:
 
 
 def report(patients: DataFrame, as_of: str) -> DataFrame:
-    """``id, path, raw_value, reason`` of values that normalisation drops."""
-    rows = F.concat(
-        F.array(F.struct(F.lit("birthDate").alias("path"), F.col("birthDate").alias("raw_value"), ph.reason_date(F.col("birthDate"), as_of).alias("reason"))),
-        F.coalesce(F.transform("telecom", lambda t: F.struct(F.concat(F.lit("telecom."), t["system"]).alias("path"), t["value"].alias("raw_value"), F.when(t["system"] == "phone", ph.reason_phone(t["value"])).when(t["system"] == "email", ph.reason_email(t["value"])).alias("reason"))), F.array()),
-        F.coalesce(F.transform("name", lambda n: F.struct(F.lit("name.family").alias("path"), n["family"].alias("raw_value"), ph.reason_name(n["family"], True).alias("reason"))), F.array()),
-    )
+    """``id, path, raw_value, reason`` of all values that normalisation drops; places in lists count from 0."""
+    found = lambda path, raw, reason: F.struct(path.alias("path"), raw.alias("raw_value"), reason.alias("reason"))
+    at = lambda c, i, *more: F.concat(F.lit(c + "["), i.cast("string"), F.lit("]"), *more)
+    some = lambda c: F.coalesce(F.col(c), F.array())
+
+    def names(n, i):
+        family = found(at("name", i, F.lit(".family")), n["family"], F.when(n["family"].isNotNull(), ph.reason_name(n["family"], True)))
+        given = F.transform(_strings(n["given"]), lambda g, j: found(at("name", i, F.lit(".given["), j.cast("string"), F.lit("]")), g, ph.reason_name(g, True)))
+        return F.concat(F.array(family), given)
+
+    def places(a, i):
+        lines = _strings(a["line"])
+        street = found(at("address", i, F.lit(".line[0]")), F.try_element_at(lines, F.lit(1)), F.when(F.size(lines) > 0, ph.reason_address(F.try_element_at(lines, F.lit(1)), F.try_element_at(lines, F.lit(2)))))
+        return F.array(street, found(at("address", i, F.lit(".postalCode")), a["postalCode"], ph.reason_postal(a["postalCode"])))
+
+    def identifier(x, i):
+        last4 = _last4(x["value"])
+        reason = F.when(x["system"] == SSN, F.coalesce(ph.reason_ssn(x["value"]), ph.reason_last4(last4))).when(x["system"] == ITIN, ph.reason_last4(last4)).otherwise(F.coalesce(ph.reason_subscriber(x["value"]), ph.reason_general(x["value"])))
+        return found(at("identifier", i, F.lit(".value")), x["value"], reason)
+
+    contact = lambda t, i: found(at("telecom", i, F.lit(".value")), t["value"], F.when(t["system"] == "phone", ph.reason_phone(t["value"])).when(t["system"] == "email", ph.reason_email(t["value"])))
+    day = found(F.lit("birthDate"), F.col("birthDate"), F.when(F.col("birthDate").isNotNull() & ~F.col("birthDate").rlike(r"^\d{4}(-\d{2})?$"), ph.reason_date(F.col("birthDate"), as_of)))
+    rows = F.concat(F.array(day), F.flatten(F.transform(some("name"), names)), F.transform(some("telecom"), contact), F.flatten(F.transform(some("address"), places)), F.transform(some("identifier"), identifier))
     return patients.select("id", F.explode(F.filter(rows, lambda r: r["reason"].isNotNull())).alias("r")).select("id", "r.*")
 
 
+def _last4(c: Column) -> Column:
+    """The last four characters of a number without its hyphens and spaces; shorter ones as they are."""
+    bare = F.regexp_replace(c, "[- ]", "")
+    return F.when(F.length(bare) > 4, F.substring(bare, -4, 4)).otherwise(bare)
+
+
 def extracted(patients: DataFrame) -> DataFrame:
     """``patient_id`` and the 21 sets of match fields."""
     names, telecom, address, ids, ext = (F.coalesce(F.col(c), F.array()) for c in ("name", "telecom", "address", "identifier", "extension"))
     given = F.flatten(F.transform(names, lambda n: _strings(n["given"])))
     nick = F.flatten(F.transform(names, lambda n: text.nicknames(F.try_element_at(_strings(n["given"]), F.lit(1)))))
-    code = lambda i: F.try_element_at(i["type"]["coding"]["code"], F.lit(1))
-    full = lambda i: F.when(i["system"].isNotNull() & (i["system"] != ""), F.concat_ws("|", i["system"], i["value"]))
-    last4 = lambda i: F.substring(F.regexp_replace(i["value"], r"\D", ""), -4, 4)
-    kind = lambda i: F.when(i["system"] == SSN, "ssn_last4").when(i["system"] == ITIN, "itin_last4").when(i["system"] == MBI, "mbi").when(code(i) == "DL", "legal_ids").when(code(i) == "MB", "insurance_member_ids").when(code(i) == "SN", "insurance_subscriber_ids").when(code(i) == "GUARDIAN", "guardian_identities").when(code(i) == "MOTHER", "mother_identities").when(code(i) == "BIRTHENC", "birth_encounter_ids").otherwise("namespace_ids")
-    value = lambda i: F.when(kind(i).isin("ssn_last4", "itin_last4"), last4(i)).when(kind(i) == "mbi", i["value"]).when(kind(i) == "legal_ids", F.concat_ws("|", i["assigner"]["display"], i["value"])).when(kind(i) == "namespace_ids", F.coalesce(full(i), F.when(code(i).isin("RI", "MR", "AN", "PI"), i["value"]))).otherwise(full(i))
+    has = lambda i, *codes: F.exists(F.coalesce(i["type"]["coding"], F.array()), lambda c: c["code"].isin(*codes))
+    scoped = lambda i: F.coalesce(i["system"], F.lit("")) != ""
+    full = lambda i: F.when(scoped(i), F.concat_ws("|", i["system"], i["value"]))
+    coded = (("DL", "legal_ids"), ("MB", "insurance_member_ids"), ("SN", "insurance_subscriber_ids"), (GUARDIAN, "guardian_identities"), (MOTHER, "mother_identities"), (BIRTH, "birth_encounter_ids"))
+
+    def kind(i):
+        out = F.when(i["system"] == SSN, "ssn_last4").when(i["system"] == ITIN, "itin_last4").when(i["system"] == MBI, "mbi")
+        for code, name in coded:
+            out = out.when(has(i, code), name)
+        return out.otherwise("namespace_ids")
+
+    def value(i):
+        four, k = _last4(i["value"]), kind(i)
+        legal = F.when(F.coalesce(i["assigner"]["display"], F.lit("")) != "", F.concat_ws("|", i["assigner"]["display"], i["value"])).otherwise(i["value"])
+        made = F.when(k.isin("ssn_last4", "itin_last4"), F.when(F.length(four) == 4, four)).when(k == "mbi", i["value"]).when(k == "legal_ids", legal)
+        return F.when(F.coalesce(i["value"], F.lit("")) != "", made.when(k == "namespace_ids", F.coalesce(full(i), F.when(has(i, *NAMESPACE), i["value"]))).otherwise(full(i)))
+
     of = lambda f: F.transform(F.filter(ids, lambda i: kind(i) == f), value)
     part = lambda e, url: F.try_element_at(F.transform(F.filter(e["extension"], lambda x: x["url"] == url), lambda x: x["valueCode"]), F.lit(1))
     linked = F.filter(ext, lambda e: e["url"].endswith("relationship-linkage"))
@@ -88,7 +120,7 @@ def extracted(patients: DataFrame) -> DataFrame:
     made = {
         "first_names": F.concat(given, nick),
         "last_names": F.transform(names, lambda n: n["family"]),
-        "middle_names": F.flatten(F.transform(names, lambda n: F.slice(_strings(n["given"]), 2, 99))),
+        "middle_names": F.flatten(F.transform(names, lambda n: F.slice(_strings(n["given"]), 2, F.greatest(F.size(_strings(n["given"])), F.lit(1))))),
         "suffixes": F.flatten(F.transform(names, lambda n: text.generational(F.flatten(F.transform(_strings(n["suffix"]), text.suffix_tokens))))),
         "dob": F.array("birthDate"),
         "phones": F.transform(F.filter(telecom, lambda t: t["system"] == "phone"), lambda t: t["value"]),
@@ -114,3 +146,20 @@ def from_index(rows: DataFrame) -> DataFrame:
 
 def lookup(rows: DataFrame, field: str, value: str) -> DataFrame:
     return rows.where((F.col("field_name") == field) & (F.col("value") == value)).select("patient_id").distinct()
+
+
+#: Fields of which a patient must have one to be worth an index entry.
+MATCHABLE = ("first_names", "last_names", "dob", "phones", "emails", "ssn_last4", "itin_last4", "mbi", "legal_ids", "namespace_ids")
+
+
+def matchable(fields: DataFrame) -> DataFrame:
+    """Patients with a value in some matchable field."""
+    some = F.lit(False)
+    for f in MATCHABLE:
+        some = some | (F.size(f) > 0)
+    return fields.where(some)
+
+
+def index_counts(rows: DataFrame) -> DataFrame:
+    """How many patients and values each field of the index has."""
+    return rows.groupBy("field_name").agg(F.countDistinct("patient_id").alias("n_patients"), F.count("*").alias("n_values"))

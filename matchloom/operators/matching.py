@@ -1,22 +1,27 @@
-"""Batch matching: one shared candidate join for all rules, then verification as columns.
-
-Each rule has a field that must agree exactly, so candidates come from equi-joins
-on keys only; the one rule without (name, date, street) is blocked by ZIP and
-day, the days of the query being three keys.  A pair is verified once for all
-rules.  Every rule's verdict is a column of the pair, so the only
-further shuffles are the household window and the final grouping by query.
+"""Batch matching: one shared candidate join for all rules, then verification by bit masks.
+
+Every rule names fields that must agree exactly; candidates come from equi-joins on
+pairs of these (or on one and the days around a date of birth, where dates may
+differ by a day), so no single phone number or address that a million records
+share makes pairs of them all.  A pair is compared once, field by
+field, and becomes four integers with a bit for each field: asked for, there on both
+sides, the same, near.  A rule is a row of a small constant array of masks, and
+all rules are decided by a filter over that array.  The only further shuffles are the
+household window and the final grouping by query.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import similarity as sim, text
-from .rules import COLUMN, HOUSEHOLD_RULES, RULES, Rule, p_collision
+from .fields import extracted, normalized
+from .rules import COLUMN, HOUSEHOLD_RULES, RULES, Rule, U, p_collision
 
-#: Single fields that block, and pairs of fields where one alone would be too common.
-KEYS = ("namespace_ids", "mbi", "legal_ids", "phones", "emails", "insurance_member_ids", "insurance_subscriber_ids", "guardian_identities", "mother_identities")
-PAIRED = (("ssn_last4", "dob"), ("itin_last4", "dob"))
+#: The bit of each field that some rule uses.
+BITS = {name: i for i, name in enumerate(sorted({n for r in RULES + HOUSEHOLD_RULES for n in r.household + r.fields}))}
 
 
 def value(side: str, name: str) -> Column:
@@ -26,82 +31,138 @@ def value(side: str, name: str) -> Column:
     return F.col(f"{side}.{COLUMN.get(name, name)}")
 
 
-def keys(fields: DataFrame, near_days: bool) -> DataFrame:
+def blocking_keys(rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> list[tuple[str, ...]]:
+    """The fields that rules are blocked by: all household fields; else the two exact ones that fewest people share; else the only exact one, with the day where dates may differ; else ZIP and day."""
+    out = []
+    for r in rules:
+        strict = [f for f in r.fields if f not in r.loose]
+        if r.household:
+            key = tuple(sorted(r.household))
+        elif len(strict) > 1:
+            key = min((tuple(sorted(p)) for p in combinations(strict, 2)), key=lambda p: (U[p[0]][0] * U[p[1]][0], p))
+        elif strict:
+            key = (strict[0], "near_day") if "dob" in r.loose else (strict[0],)
+        else:
+            key = ("near_day", "street_zip")
+        if key not in out:
+            out.append(key)
+    return out
+
+
+def keys(fields: DataFrame, near_days: bool, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
     """``patient_id, key`` for blocking; with near_days the days next to a date of birth too."""
-    named = lambda c: F.transform(F.col(c), lambda v: F.concat(F.lit(c + ":"), v))
-    single = [named(c) for c in KEYS]
-    cross = lambda a, b, tag: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(F.lit(tag + ":"), x, F.lit("|"), y))))
-    paired = [cross(F.col(a), F.col(b), a) for a, b in PAIRED]
-    days = F.col("dob")
+    days = F.col("f.dob")
     if near_days:
         days = F.array_distinct(F.flatten(F.transform(days, lambda d: F.array_compact(F.array(d, *[F.date_format(F.date_add(sim.day(d), i), "yyyy-MM-dd") for i in (-1, 1)])))))
-    zips = F.transform(F.col("street_lines"), lambda s: F.substring_index(s, "|", -1))
-    all_keys = F.array_distinct(F.concat(*single, *paired, cross(zips, days, "street")))
-    return fields.select("patient_id", F.explode(all_keys).alias("key"))
-
-
-def candidates(queries: DataFrame, pool: DataFrame) -> DataFrame:
+    own = {"near_day": days, "street_zip": F.array_distinct(F.transform(F.col("f.street_lines"), lambda s: F.substring_index(s, "|", -1)))}
+    named = []
+    for i, key in enumerate(blocking_keys(rules)):
+        parts = F.array(F.lit(f"{i}"))
+        for name in key:
+            more = own[name] if name in own else value("f", name)
+            parts = F.flatten(F.transform(parts, lambda x: F.transform(more, lambda y: F.concat(x, F.lit("|"), y))))  # noqa: B023
+        named.append(parts)
+    both = fields.select("patient_id", F.struct(*[c for c in fields.columns if c != "patient_id"]).alias("f"))
+    return both.select("patient_id", F.explode(F.array_distinct(F.concat(*named))).alias("key"))
+
+
+def candidates(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
     """Pairs ``(query_id, patient_id)`` that share a key; a query is not its own candidate."""
-    q = keys(queries, True).withColumnRenamed("patient_id", "query_id")
-    return q.join(keys(pool, False), "key").where("query_id <> patient_id").select("query_id", "patient_id").distinct()
-
-
-def verdict(rule: Rule, exact_first: Column | None = None) -> Column:
-    """``struct(applicable, matched, fuzzy, outcomes)`` of a rule on a compared pair."""
-    outcomes, used, good = [], F.lit(0), F.lit(True)
-    any_loose = F.lit(False)
-    for name in rule.fields:
-        there, same = F.col(f"f.{name}.there"), F.col(f"f.{name}.same")
-        if name in rule.loose:
-            near = F.col(f"f.{name}.near")
-            if name == "first_name" and exact_first is not None:
-                near = near & ~exact_first
-            room = F.lit(True) if name == "dob" else used < rule.most
-            outcome = F.when(~there, "missing").when(same, "exact").when(near & room, "fuzzy").when(near, "fuzzy_exceeded").otherwise("no_match")
-            ok = same | (near & room)
-            any_loose = any_loose | (near & room)
-            if name != "dob":
-                used = used + near.cast("int")
-        else:
-            outcome = F.when(~there, "missing").when(same, "exact").otherwise("no_match")
-            ok = same
-        good = good & ok
-        outcomes += [F.lit(name), outcome]
-    have = F.lit(True)
-    for name in rule.household + rule.fields:
-        have = have & F.col(f"f.{name}.asked")
-    return F.struct(have.alias("applicable"), (have & good).alias("matched"), (good & any_loose).alias("fuzzy"), F.create_map(*outcomes).alias("outcomes"))
+    q = keys(queries, True, rules).withColumnRenamed("patient_id", "query_id")
+    return q.join(keys(pool, False, rules), "key").where("query_id <> patient_id").select("query_id", "patient_id").distinct()
 
 
 def _compared(name: str) -> Column:
-    """How the two sides agree on a field; each comparison is made once for all rules."""
+    """Bits of one field: 1 asked, 2 there, 4 the same, 8 near."""
     q, c = value("q", name), value("c", name)
-    there, same = (F.size(q) > 0) & (F.size(c) > 0), sim.exact(q, c)
+    asked, there, same = F.size(q) > 0, (F.size(q) > 0) & (F.size(c) > 0), sim.exact(q, c)
     near = {"dob": sim.dob_near, "street_line": sim.street_fuzzy}.get(name, sim.fuzzy)
+    made = asked.cast("int") + there.cast("int") * 2
     loose = any(name in r.loose for r in RULES + HOUSEHOLD_RULES)
-    return F.struct((F.size(q) > 0).alias("asked"), there.alias("there"), (there & same).alias("same"), ((there & ~same & near(q, c)) if loose else F.lit(False)).alias("near")).alias(name)
+    return made + F.when(there & same, 4).when(there & near(q, c), 8).otherwise(0) if loose else made + F.when(there & same, 4).otherwise(0)
 
 
-def veto() -> Column:
-    """Both sides have generational suffixes, and no common one."""
-    return F.col("vetoed")
+def pairs(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
+    """Candidate pairs as masks: ``query_id, patient_id, asked, there, same, near, vetoed, dob`` (the candidate's) and what decides between twins."""
+    return compared(candidates(queries, pool, rules), queries, pool)
 
 
-def pairs(queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Candidate pairs with both sides' fields as structs ``q`` and ``c``."""
-    found = candidates(queries, pool)
+def compared(found: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
+    """The pairs (query_id, patient_id) as masks."""
     q = queries.select(F.col("patient_id").alias("query_id"), F.struct(*[c for c in queries.columns if c != "patient_id"]).alias("q"))
     c = pool.select("patient_id", F.struct(*[c for c in pool.columns if c != "patient_id"]).alias("c"))
-    names = sorted({n for r in RULES + HOUSEHOLD_RULES for n in r.household + r.fields})
     both = found.join(q, "query_id").join(c, "patient_id")
-    return both.withColumns({"f": F.struct(*map(_compared, names)), "vetoed": text.suffixes_conflict(text.generational(F.col("q.suffixes")), text.generational(F.col("c.suffixes")))})
+    bits = F.array(*[_compared(name) for name in BITS])
+    vetoed = text.suffixes_conflict(text.generational(F.col("q.suffixes")), text.generational(F.col("c.suffixes")))
+    both = both.select("query_id", "patient_id", bits.alias("bits"), vetoed.alias("vetoed"), F.col("c.dob").alias("dob"), *_ties())
+    place = F.sequence(F.lit(0), F.lit(len(BITS) - 1))
+    mask = lambda bit: F.aggregate(F.zip_with("bits", place, lambda b, i: F.call_function("shiftleft", F.shiftright(b, bit).bitwiseAND(1).cast("bigint"), i)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return both.select("query_id", "patient_id", *[mask(i).alias(n) for i, n in enumerate(("asked", "there", "same", "near"))], "vetoed", "dob", *TIES)
+
+
+TIES = ("q_has_id", "same_id", "q_has_middle", "has_middle", "same_middle")
+
+
+def _ties() -> list[Column]:
+    some = lambda c: F.size(c) > 0
+    same = lambda a: F.coalesce(sim.exact(F.col(f"q.{a}"), F.col(f"c.{a}")), F.lit(False))
+    return [c.alias(n) for n, c in zip(TIES, (some("q.namespace_ids"), same("namespace_ids"), some("q.middle_names"), some("c.middle_names"), same("middle_names")))]
+
+
+def _mask(names) -> int:
+    return sum(1 << BITS[n] for n in names)
+
+
+def _table(rules: tuple[Rule, ...], first: int = 0) -> Column:
+    """Rules as a constant array of masks."""
+    rows = []
+    for i, r in enumerate(rules):
+        numbers = {"position": first + i, "most": r.most}
+        masks = {"house": _mask(r.household), "strict": _mask(f for f in r.fields if f not in r.loose), "loose": _mask(r.loose), "counted": _mask(f for f in r.loose if f != "dob"), "needed": _mask(r.household + r.fields)}
+        names = F.array(*[F.lit(f) for f in r.household + r.fields])
+        rows.append(F.struct(F.lit(r.rule_id).alias("rule_id"), *[F.lit(v).alias(k) for k, v in numbers.items()], *[F.lit(v).cast("bigint").alias(k) for k, v in masks.items()], names.alias("names"), F.array(*[F.lit(BITS[f]) for f in r.household + r.fields]).alias("bits")))
+    return F.array(*rows)
+
+
+def _near(exact_first: Column | None = None) -> Column:
+    """The mask of near fields; first names don't count where exact ones are asked for."""
+    near = F.col("near")
+    return near if exact_first is None else F.when(exact_first, near.bitwiseAND(~(1 << BITS["first_name"]))).otherwise(near)
+
+
+def holds(rule: Column, near: Column) -> Column:
+    """Whether a rule's individual fields agree, with no more tolerance than it allows."""
+    strict, loose = F.col("same").bitwiseAND(rule["strict"]) == rule["strict"], F.col("same").bitwiseOR(near).bitwiseAND(rule["loose"]) == rule["loose"]
+    return strict & loose & (F.bit_count(near.bitwiseAND(rule["counted"])) <= rule["most"])
+
+
+def in_house(rule: Column) -> Column:
+    """Whether the household fields agree and the individual ones are asked for."""
+    return (F.col("same").bitwiseAND(rule["house"]) == rule["house"]) & (F.col("asked").bitwiseAND(rule["needed"]) == rule["needed"])
+
+
+def _kind(rule: Column, near: Column) -> Column:
+    return F.when(near.bitwiseAND(rule["loose"]) != 0, "fuzzy").otherwise("exact")
+
+
+def outcomes(rule: Column, near: Column) -> Column:
+    """Of each field of a rule: missing, exact, fuzzy, fuzzy_exceeded or no_match."""
+    has = lambda mask, bit: F.call_function("shiftright", mask, bit).bitwiseAND(1) == 1
+    used = lambda bit: F.bit_count(near.bitwiseAND(rule["counted"]).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit) - 1))
+
+    def of(bit):
+        loose, counted = has(rule["loose"], bit), has(rule["counted"], bit)
+        close = loose & has(near, bit)
+        return F.when(~has(F.col("there"), bit), "missing").when(has(F.col("same"), bit), "exact").when(close & (~counted | (used(bit) < rule["most"])), "fuzzy").when(close, "fuzzy_exceeded").otherwise("no_match")
+
+    return F.map_from_arrays(rule["names"], F.transform(rule["bits"], of))
 
 
 def evaluate_flat(both: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row for each rule that a pair fulfils or a suffix vetoes: ``query_id, patient_id, rule_id, position, match_type, negated_by_suffix, outcomes``."""
-    made = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(i).alias("position"), verdict(r).alias("v")) for i, r in enumerate(rules)])
-    each = both.select("query_id", "patient_id", veto().alias("negated_by_suffix"), F.explode(F.filter(made, lambda x: x["v"]["matched"])).alias("m"))
-    return each.select("query_id", "patient_id", "m.rule_id", "m.position", F.when(F.col("m.v.fuzzy"), "fuzzy").otherwise("exact").alias("match_type"), "negated_by_suffix", F.col("m.v.outcomes").alias("outcomes"))
+    each = both.withColumn("rule", F.explode(F.filter(_table(rules), lambda r: holds(r, _near()))))
+    rule = F.col("rule")
+    return each.select("query_id", "patient_id", "rule.rule_id", "rule.position", _kind(rule, _near()).alias("match_type"), F.col("vetoed").alias("negated_by_suffix"), outcomes(rule, _near()).alias("outcomes"))
 
 
 def evaluate_households(both: DataFrame, rules: tuple[Rule, ...] = HOUSEHOLD_RULES) -> DataFrame:
@@ -109,23 +170,14 @@ def evaluate_households(both: DataFrame, rules: tuple[Rule, ...] = HOUSEHOLD_RUL
 
     ``query_id, patient_id, rule_id, position, match_type, negated_by_suffix, shared_dob, excluded``
     """
-    house = []
-    for i, r in enumerate(rules):
-        ok = F.lit(True)
-        for name in r.household:
-            ok = ok & F.col(f"f.{name}.same")
-        for name in r.fields:
-            ok = ok & F.col(f"f.{name}.asked")
-        loose, strict = verdict(r), verdict(r, F.lit(True))
-        house.append(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(len(RULES) + i).alias("position"), ok.alias("in_house"), loose.alias("loose"), strict.alias("strict")))
-    kept = both.select("query_id", "patient_id", "q", "c", veto().alias("negated_by_suffix"), F.explode(F.filter(F.array(*house), lambda x: x["in_house"])).alias("h"))
-    kept = kept.select("query_id", "patient_id", "negated_by_suffix", "h.rule_id", "h.position", "h.loose", "h.strict", F.col("c.dob").alias("dob"), *_ties())
-    dates = kept.select("query_id", "rule_id", "patient_id", F.explode_outer("dob").alias("d"))
-    shared = dates.where("d is not null").groupBy("query_id", "rule_id", "d").agg(F.countDistinct("patient_id").alias("n")).where("n > 1")
-    twins = dates.join(shared, ["query_id", "rule_id", "d"]).select("query_id", "rule_id", "patient_id").distinct().withColumn("shared_dob", F.lit(True))
-    kept = kept.join(twins, ["query_id", "rule_id", "patient_id"], "left").withColumn("shared_dob", F.coalesce("shared_dob", F.lit(False)))
-    v = F.when(F.col("shared_dob"), F.col("strict")).otherwise(F.col("loose"))
-    matched = kept.withColumn("v", v).where("v.matched")
+    kept = both.withColumn("rule", F.explode(F.filter(_table(rules, len(RULES)), in_house)))
+    dates = kept.withColumn("date", F.explode_outer("dob"))
+    others = F.count("*").over(Window.partitionBy("query_id", "rule.rule_id", "date"))
+    dates = dates.withColumn("shared", F.col("date").isNotNull() & (others > 1))
+    own = ["asked", "there", "same", "near", "vetoed", *TIES]
+    kept = dates.groupBy("query_id", F.col("rule.rule_id").alias("rule_id"), "patient_id").agg(F.max("shared").alias("shared_dob"), F.first("rule").alias("rule"), *[F.first(c).alias(c) for c in own])
+    near = _near(F.col("shared_dob"))
+    matched = kept.where(holds(F.col("rule"), near)).withColumn("match_type", _kind(F.col("rule"), near)).withColumnRenamed("vetoed", "negated_by_suffix")
     # exactly two are left and a date of birth is shared: an identifier decides, or without one the middle name
     live = Window.partitionBy("query_id", "rule_id")
     on = lambda c: F.sum((~F.col("negated_by_suffix") & c).cast("int")).over(live)
@@ -133,54 +185,70 @@ def evaluate_households(both: DataFrame, rules: tuple[Rule, ...] = HOUSEHOLD_RUL
     by_id = F.col("q_has_id") & (on(F.col("same_id")) == 1)
     by_middle = ~F.col("q_has_id") & F.col("q_has_middle") & (on(F.col("has_middle")) == 2) & (on(F.col("same_middle")) == 1)
     lost = tie & ~F.col("negated_by_suffix") & ((by_id & ~F.col("same_id")) | (by_middle & ~F.col("same_middle")))
-    return matched.withColumn("excluded", lost).select("query_id", "patient_id", "rule_id", "position", F.when(F.col("v.fuzzy"), "fuzzy").otherwise("exact").alias("match_type"), "negated_by_suffix", "shared_dob", "excluded")
+    return matched.withColumn("excluded", lost).select("query_id", "patient_id", "rule_id", F.col("rule.position").alias("position"), "match_type", "negated_by_suffix", "shared_dob", "excluded")
 
 
-def _ties() -> list[Column]:
-    some = lambda c: F.size(c) > 0
-    same = lambda a: F.coalesce(sim.exact(F.col(f"q.{a}"), F.col(f"c.{a}")), F.lit(False))
-    return [some("q.namespace_ids").alias("q_has_id"), same("namespace_ids").alias("same_id"), some("q.middle_names").alias("q_has_middle"), some("c.middle_names").alias("has_middle"), same("middle_names").alias("same_middle")]
+def any_rule(both: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
+    """Pairwise decision: some flat rule, or some two-step rule without twin logic, and no veto."""
+    ok = F.exists(_table(rules), lambda r: holds(r, _near()) & ((r["house"] == 0) | in_house(r)))
+    return both.select("query_id", "patient_id", (ok & ~F.col("vetoed")).alias("matched"))
 
 
-def any_rule(both: DataFrame) -> DataFrame:
-    """Pairwise decision: some flat rule, or some two-step rule without twin logic, and no veto."""
-    ok = F.lit(False)
-    for r in RULES:
-        ok = ok | verdict(r)["matched"]
-    for r in HOUSEHOLD_RULES:
-        house = F.lit(True)
-        for name in r.household:
-            house = house & F.col(f"f.{name}.same")
-        ok = ok | (house & verdict(r)["matched"])
-    return both.select("query_id", "patient_id", (ok & ~veto()).alias("matched"))
-
-
-def evaluable(queries: DataFrame) -> DataFrame:
+def audit(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
+    """Each rule that a query has the fields for, on each of its candidates; a query without candidates has one row with ``candidates_retrieved`` 0.
+
+    ``query_id, patient_id, rule_id, matched, match_type, negated_by_suffix, step, outcomes, fuzzy_fields, candidates_retrieved``
+    """
+    both = pairs(queries, pool, rules).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    each = both.withColumn("rule", F.explode(F.filter(_table(rules), lambda r: F.col("asked").bitwiseAND(r["needed"]) == r["needed"])))
+    rule = F.col("rule")
+    flat = rule["house"] == 0
+    ok = holds(rule, _near()) & (flat | in_house(rule))
+    made = outcomes(rule, _near())
+    rows = each.select("query_id", "patient_id", "rule.rule_id", (ok & ~F.col("vetoed")).alias("matched"), F.when(ok, _kind(rule, _near())).alias("match_type"), (ok & F.col("vetoed")).alias("negated_by_suffix"), F.when(flat, "flat").when(in_house(rule), "individual").otherwise("household").alias("step"), made.alias("outcomes"), F.map_keys(F.map_filter(made, lambda _, v: v == "fuzzy")).alias("fuzzy_fields"), F.col("n").cast("bigint").alias("candidates_retrieved"))
+    none = queries.select(F.col("patient_id").alias("query_id")).join(both.select("query_id").distinct(), "query_id", "left_anti")
+    empty = {"matched": F.lit(False), "negated_by_suffix": F.lit(False), "candidates_retrieved": F.lit(0).cast("bigint")}
+    return rows.unionByName(none.select("query_id", *[empty.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "query_id"]))
+
+
+def evaluable(queries: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
     """Whether a query has all fields of some rule."""
     q = queries.select(F.col("patient_id").alias("query_id"), F.struct(*[c for c in queries.columns if c != "patient_id"]).alias("q"))
-    some = F.lit(False)
-    for r in RULES + HOUSEHOLD_RULES:
-        have = F.lit(True)
-        for name in r.household + r.fields:
-            have = have & (F.size(value("q", name)) > 0)
-        some = some | have
-    return q.select("query_id", some.alias("evaluable"))
+    asked = sum(((F.size(value("q", n)) > 0).cast("bigint") * (1 << i) for n, i in BITS.items()), F.lit(0).cast("bigint"))
+    return q.select("query_id", F.exists(_table(rules), lambda r: asked.bitwiseAND(r["needed"]) == r["needed"]).alias("evaluable"))
 
 
-def match(queries: DataFrame, pool: DataFrame) -> DataFrame:
+def match(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES, household_rules: tuple[Rule, ...] = HOUSEHOLD_RULES) -> DataFrame:
     """One row for each query: ``query_id, outcome, n_matches, matches, confidence``; a match is (patient_id, rule_id, match_type) of the first rule that holds."""
-    both = pairs(queries, pool)
-    flat = evaluate_flat(both).withColumn("excluded", F.lit(False))
-    house = evaluate_households(both)
+    both = pairs(queries, pool, rules + household_rules)
+    flat = evaluate_flat(both, rules).withColumn("excluded", F.lit(False))
+    house = evaluate_households(both, household_rules)
     columns = ["query_id", "patient_id", "rule_id", "position", "match_type", "negated_by_suffix", "excluded"]
     found = flat.select(*columns).unionByName(house.select(*columns))
     lost = found.groupBy("query_id", "patient_id").agg(F.min_by(F.struct("rule_id", "match_type"), F.when(~F.col("negated_by_suffix"), F.col("position"))).alias("m"), F.max("excluded").alias("excluded"), F.max((~F.col("negated_by_suffix")).cast("int")).alias("ok"))
     own = lost.where("ok = 1 and not excluded").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("patient_id", "m.rule_id", "m.match_type"))).alias("matches"))
-    p = {r.rule_id: (p_collision(r.household + r.fields), p_collision(r.household + r.fields, r.loose)) for r in RULES + HOUSEHOLD_RULES}
+    p = {r.rule_id: (p_collision(r.household + r.fields), p_collision(r.household + r.fields, r.loose)) for r in rules + household_rules}
     chance = F.create_map(*[x for k, v in p.items() for x in (F.lit(k), F.array(F.lit(v[0]), F.lit(v[1])))])
     n = F.coalesce(F.size("matches"), F.lit(0))
     first = F.try_element_at("matches", F.lit(1))
-    out = evaluable(queries).join(own, "query_id", "left").withColumn("n_matches", n)
+    out = evaluable(queries, rules + household_rules).join(own, "query_id", "left").withColumn("n_matches", n)
     outcome = F.when(~F.col("evaluable"), "insufficient_fields").when(F.col("n_matches") == 0, "no_match").when(F.col("n_matches") == 1, "match").when(F.col("n_matches") == 2, "escalate").otherwise("ambiguous")
     risk = F.element_at(F.element_at(chance, first["rule_id"]), F.when(first["match_type"] == "fuzzy", 2).otherwise(1))
     return out.select("query_id", outcome.alias("outcome"), "n_matches", F.coalesce("matches", F.array().cast("array<struct<patient_id:string,rule_id:string,match_type:string>>")).alias("matches"), F.when(F.col("n_matches") == 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - risk))).alias("confidence"))
+
+
+def service(records: DataFrame, pool: DataFrame, as_of: str, skip_normalization: bool = False, rules: tuple[Rule, ...] = RULES, household_rules: tuple[Rule, ...] = HOUSEHOLD_RULES) -> tuple[DataFrame, DataFrame]:
+    """Nested patient records against a pool of records: responses, as of ``match``, and the audit."""
+    clean = (lambda df: df) if skip_normalization else (lambda df: normalized(df, as_of))
+    q, c = extracted(clean(records)), extracted(clean(pool))
+    return match(q, c, rules, household_rules), audit(q, c, rules + household_rules)
+
+
+def score_queries(queries: DataFrame, fields: DataFrame) -> DataFrame:
+    """``query_id, candidate_id, expected, predicted, error`` for queries (query_id, candidate_ids, expected_ids) against the fields of their listed candidates; an id without fields is an error row."""
+    asked = queries.select("query_id", F.explode("candidate_ids").alias("patient_id"), "expected_ids")
+    asked = asked.select("query_id", "patient_id", F.array_contains("expected_ids", F.col("patient_id")).alias("expected")).distinct()
+    known = asked.join(fields.select("patient_id"), "patient_id", "left_semi").join(fields.select(F.col("patient_id").alias("query_id")), "query_id", "left_semi")
+    said = any_rule(compared(known.select("query_id", "patient_id"), fields, fields))
+    out = asked.join(said, ["query_id", "patient_id"], "left")
+    return out.select("query_id", F.col("patient_id").alias("candidate_id"), "expected", F.coalesce("matched", F.lit(False)).alias("predicted"), F.when(F.col("matched").isNull(), "missing_fields").alias("error"))

@@ -385,3 +385,6 @@ def upsert_merge(spark, d):
     old = _read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit("customer").alias("origin"))
     new = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.lit("supplier").alias("origin"))
     return merged(old, new, "k")
+
+
+from . import records  # noqa: E402,F401  registers its queries

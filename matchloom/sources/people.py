@@ -50,3 +50,37 @@ def as_fields(flat: DataFrame) -> DataFrame:
     """``patient_id`` and the 21 sets."""
     sets = [F.array_compact(F.array(F.col(_ONE[f]) if f in _ONE else F.lit(None).cast("string"))).alias(f) for f in FIELDS]
     return flat.select(F.col("pid").cast("string").alias("patient_id"), *sets)
+
+
+#: Nested records: several names, codings and relationships, and values that stand for nothing, by remainders of the key.
+PATIENTS = """
+SELECT concat('p', k) AS id, 'Patient' AS resourceType,
+  CASE WHEN k % 11 = 0 THEN '1900-01-01' WHEN k % 23 = 1 THEN NULL ELSE CAST(DATE '1950-01-01' + CAST(k % 9000 AS INT) AS STRING) END AS birthDate,
+  filter(array(
+    named_struct('use', 'official', 'family', CASE WHEN k % 7 = 0 THEN 'O''Connor' WHEN k % 7 = 1 THEN 'de la Cruz' WHEN k % 7 = 2 THEN 'M\u00fcller' ELSE concat('Family', k % 50) END,
+      'given', CASE WHEN k % 3 = 0 THEN array('Robert', 'Lee') ELSE array(concat('Maria', k % 20)) END, 'prefix', CAST(array() AS ARRAY<STRING>), 'suffix', CASE WHEN k % 5 = 0 THEN array('Jr.') ELSE CAST(array() AS ARRAY<STRING>) END, 'text', CAST(NULL AS STRING)),
+    CASE WHEN k % 4 = 1 THEN named_struct('use', 'maiden', 'family', 'Jones', 'given', array('Anna'), 'prefix', CAST(array() AS ARRAY<STRING>), 'suffix', CAST(array() AS ARRAY<STRING>), 'text', CAST(NULL AS STRING)) END), x -> x IS NOT NULL) AS name,
+  array(named_struct('system', 'phone', 'value', CASE WHEN k % 6 = 0 THEN '555-555-5555' ELSE concat('(415) 867-', 1000 + k % 8000) END, 'use', 'home'),
+    named_struct('system', 'email', 'value', CASE WHEN k % 8 = 0 THEN 'noreply@acme.org' ELSE concat('P', k, '@Mail.ORG') END, 'use', 'home')) AS telecom,
+  array(named_struct('use', 'home', 'type', 'postal', 'line', CASE WHEN k % 10 = 0 THEN array('PO Box 0') WHEN k % 10 = 1 THEN array('Apt 4', concat(1 + k % 97, ' Maple Avenue')) ELSE array(concat(1 + k % 97, ' Belt Line Road'), 'Apt 4') END, 'city', 'Reno', 'state', 'NV', 'postalCode', concat(10000 + k % 700, CASE WHEN k % 2 = 0 THEN '-1234' ELSE '' END), 'country', 'US')) AS address,
+  filter(array(
+    CASE WHEN k % 3 < 2 THEN named_struct('system', 'http://hl7.org/fhir/sid/us-ssn', 'value', concat('123-45-', 6000 + k % 500), 'type', named_struct('coding', CAST(array() AS ARRAY<STRUCT<system: STRING, code: STRING>>)), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 9 = 2 THEN named_struct('system', 'urn:oid:2.16.840.1.113883.4.4', 'value', concat('900-70-', 7000 + k % 400), 'type', named_struct('coding', CAST(array() AS ARRAY<STRUCT<system: STRING, code: STRING>>)), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 4 = 0 THEN named_struct('system', 'http://hl7.org/fhir/sid/us-mbi', 'value', concat('1EG4', k), 'type', named_struct('coding', CAST(array() AS ARRAY<STRUCT<system: STRING, code: STRING>>)), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    named_struct('system', 'urn:dl', 'value', concat('D', k), 'type', named_struct('coding', array(named_struct('system', 'x', 'code', 'ZZ'), named_struct('system', 'x', 'code', 'DL'))), 'assigner', named_struct('display', CASE WHEN k % 2 = 0 THEN 'ca' END)),
+    CASE WHEN k % 5 = 1 THEN named_struct('system', 'urn:payer', 'value', concat('M', k), 'type', named_struct('coding', array(named_struct('system', 'x', 'code', 'MB'))), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 5 = 2 THEN named_struct('system', CASE WHEN k % 2 = 0 THEN 'urn:payer' END, 'value', concat('S', k), 'type', named_struct('coding', array(named_struct('system', 'x', 'code', 'SN'))), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 13 = 0 THEN named_struct('system', 'urn:own', 'value', concat('G', k), 'type', named_struct('coding', array(named_struct('system', 'x', 'code', 'CMS-GRDN'))), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 13 = 1 THEN named_struct('system', 'urn:own', 'value', concat('T', k), 'type', named_struct('coding', array(named_struct('system', 'x', 'code', 'CMS-MTHR'))), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 13 = 1 THEN named_struct('system', 'urn:own', 'value', concat('E', k), 'type', named_struct('coding', array(named_struct('system', 'x', 'code', 'CMS-BEID'))), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 6 = 1 THEN named_struct('system', CAST(NULL AS STRING), 'value', concat('R', k), 'type', named_struct('coding', array(named_struct('system', 'x', 'code', 'MR'))), 'assigner', named_struct('display', CAST(NULL AS STRING))) END,
+    CASE WHEN k % 6 = 2 THEN named_struct('system', 'urn:other', 'value', CASE WHEN k % 4 = 2 THEN 'pending' ELSE concat('X', k) END, 'type', named_struct('coding', CAST(array() AS ARRAY<STRUCT<system: STRING, code: STRING>>)), 'assigner', named_struct('display', CAST(NULL AS STRING))) END), x -> x IS NOT NULL) AS identifier,
+  CASE WHEN k % 13 < 2 THEN array(named_struct('url', 'https://example.org/StructureDefinition/relationship-linkage', 'extension', array(named_struct('url', 'type', 'valueCode', CASE WHEN k % 13 = 0 THEN 'child-of' ELSE 'newborn-of' END), named_struct('url', 'source', 'valueCode', CASE WHEN k % 2 = 0 THEN 'clinical' ELSE 'self-reported' END)))) ELSE CAST(array() AS ARRAY<STRUCT<url: STRING, extension: ARRAY<STRUCT<url: STRING, valueCode: STRING>>>>) END AS extension
+FROM (SELECT c_custkey AS k FROM customer) c
+"""
+
+
+def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records, one for each customer."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    return spark.sql(PATIENTS)

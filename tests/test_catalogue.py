@@ -58,10 +58,7 @@ def test_dob(spark):
     assert df.where(sim.dob_near(F.array("a"), F.array("b")) != F.col("want")).count() == 0
 
 
-SLOW = {"match_rules", "household_rules", "match_result", "evaluate_pair_flat_count"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW) + ["match_result"])
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
