@@ -32,6 +32,11 @@ def fuzzy(q: Column, c: Column, least: int = MIN_FUZZY) -> Column:
     return exact(q, c) | any_pair(q, c, lambda a, b: (F.length(a) >= least) & (F.length(b) >= least) & dl1(a, b))
 
 
+def fuzzy_only(q: Column, c: Column, least: int = MIN_FUZZY) -> Column:
+    """Near, and no value the same."""
+    return ~exact(q, c) & fuzzy(q, c, least)
+
+
 def day(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date"))
 

@@ -37,22 +37,5 @@ def category(rationale: Column, levels: int = 1) -> Column:
     return F.substring_index(F.substring_index(rationale, "/", 1), " ", 1) if levels == 1 else F.substring_index(rationale, "/", levels)
 
 
-#: Levers: the field each widens, and where it applies. Widened over plain chance, from published frequency tables.
-LEVERS = {"fuzzy_min4": ("first_name", "fuzzy_eligible", 2.58319e-3 / 2.25732e-3), "initial": ("first_name", "all", 6.71674e-2 / 1.79256e-3), "dob_pm1day": ("dob", "all", 9.67780e-5 / 3.22597e-5), "dob_swap": ("dob", "all", 1.08437e-4 / 3.22597e-5), "dob_dl1": ("dob", "fuzzy_eligible", 1.044396e-3 / 3.22597e-5)}
-
-
-def lever_feasibility(rules: DataFrame, threshold: float = 2e-12) -> DataFrame:
-    """For each rule and lever that applies: the chance with the field widened, and whether it stays approved."""
-    levers = F.array(*[F.struct(F.lit(k).alias("lever"), F.lit(f).alias("field"), F.lit(scope).alias("scope"), F.lit(x).alias("times")) for k, (f, scope, x) in LEVERS.items()])
-    each = rules.withColumn("l", F.explode(levers)).where(F.array_contains("fields", F.col("l.field")) & ((F.col("l.scope") == "all") | F.array_contains("loose", F.col("l.field"))))
-    p = F.col("p_loose") * F.col("l.times")
-    return each.select("rule_id", "l.lever", p.alias("p_widened"), (p <= threshold).alias("feasible"))
-
-
-def assigned(feasible: DataFrame) -> DataFrame:
-    """For each rule the first lever that fits, in name order, or none."""
-    return feasible.groupBy("rule_id").agg(F.min(F.when(F.col("feasible"), F.col("lever"))).alias("lever"))
-
-
 def redecide(df: DataFrame, score: str, threshold: float) -> DataFrame:
     return df.withColumn("matched", F.col(score) >= threshold)

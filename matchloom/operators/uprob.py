@@ -101,3 +101,37 @@ def street_given_zip(zips: DataFrame) -> DataFrame:
 def sanity(u: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Rows outside the range that a probability must keep."""
     return u.where(~F.col("u").between(low, high))
+
+
+def from_probabilities(df: DataFrame, p: str = "p") -> DataFrame:
+    """``u``: the sum of squares."""
+    return df.agg(F.sum(F.col(p) * F.col(p)).alias("u"))
+
+
+def dob_by_year(year_u: DataFrame, u: str = "u_unbiased") -> DataFrame:
+    """The chance of the same day from that of the same year, days of a year being alike."""
+    return year_u.select((F.col(u) / 365.25).alias("u"))
+
+
+def with_outside(counts: DataFrame, outside: float, n: str = "n") -> DataFrame:
+    """Bounds for places that cover a part of all people: the covered ones alone, and all others as one of a kind each."""
+    x, extra = F.col(n).cast("double"), float(round(max(outside, 0)))
+    a = counts.agg(F.sum(x * (x - 1)).alias("pairs"), F.sum(x).alias("t"))
+    t = F.col("t")
+    return a.select((F.col("pairs") / (t * (t - 1))).alias("u_covered"), (F.col("pairs") / ((t + extra) * (t + extra - 1))).alias("u_all"), (t / (t + extra)).alias("coverage"))
+
+
+def street_by_household(zips: DataFrame, size: str = "size", households: str = "households") -> DataFrame:
+    """Chance that two people of a ZIP share a household, from households (zip, population, size, households) by size."""
+    s = F.col(size).cast("double")
+    each = zips.where("population > 1").groupBy("zip").agg(F.sum(F.col(households) * s * (s - 1)).alias("pairs"), F.max("population").cast("double").alias("p"))
+    return each.agg((F.sum("pairs") / F.sum(F.col("p") * (F.col("p") - 1))).alias("u"))
+
+
+# How many values the last four digits take.
+LAST4 = 9999
+
+
+def scalars(street_with_zip: float, landline: float, enrolled: float) -> dict[str, float]:
+    """Chances that follow from one number each: a shared phone is a shared household's landline, the last four digits are alike, a beneficiary number is one of all."""
+    return {"phone": street_with_zip * landline, "ssn_last4": 1 / LAST4, "itin_last4": 1 / LAST4, "mbi": 1 / enrolled}

@@ -305,16 +305,6 @@ def fp_overlap(spark, d):
     return evaluation.overlap(labels.where("quality = 0"), labels.where("toxic = 1"), "doc_id")
 
 
-@query()
-def lever_feasibility(spark, d):
-    return evaluation.lever_feasibility(rule_table(spark))
-
-
-@query()
-def lever_assignment(spark, d):
-    return evaluation.assigned(evaluation.lever_feasibility(rule_table(spark)))
-
-
 # ---------------------------------------------------------------- registry
 
 _REC = "SELECT 'hospital' AS institution_type, concat('s', CAST(c_nationkey % 3 AS STRING)) AS source, CAST(c_custkey AS STRING) AS source_id, concat('Site ', CAST(c_custkey AS STRING)) AS name, concat(CAST(1 + c_custkey % 60 AS STRING), ' Maple Street', CASE WHEN c_custkey % 4 = 1 THEN ' Suite 12' WHEN c_custkey % 4 = 2 THEN ' #5' ELSE '' END) AS street, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE CAST(1000 + c_custkey % 9 AS STRING) END AS zip, concat('2025-01-', CAST(10 + c_custkey % 20 AS STRING)) AS collected FROM customer"
@@ -387,4 +377,4 @@ def upsert_merge(spark, d):
     return merged(old, new, "k")
 
 
-from . import records  # noqa: E402,F401  registers its queries
+from . import analytics, records  # noqa: E402,F401  register their queries
