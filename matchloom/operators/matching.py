@@ -221,10 +221,12 @@ def evaluable(queries: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RU
 def match(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES, household_rules: tuple[Rule, ...] = HOUSEHOLD_RULES) -> DataFrame:
     """One row for each query: ``query_id, outcome, n_matches, matches, confidence``; a match is (patient_id, rule_id, match_type) of the first rule that holds."""
     both = pairs(queries, pool, rules + household_rules)
-    flat = evaluate_flat(both, rules).withColumn("excluded", F.lit(False))
-    house = evaluate_households(both, household_rules)
     columns = ["query_id", "patient_id", "rule_id", "position", "match_type", "negated_by_suffix", "excluded"]
-    found = flat.select(*columns).unionByName(house.select(*columns))
+    parts = [evaluate_flat(both, rules).withColumn("excluded", F.lit(False)).select(*columns)] if rules else []
+    parts += [evaluate_households(both, household_rules).select(*columns)] if household_rules else []
+    if not parts:
+        raise ValueError("no rules to match by")
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     lost = found.groupBy("query_id", "patient_id").agg(F.min_by(F.struct("rule_id", "match_type"), F.when(~F.col("negated_by_suffix"), F.col("position"))).alias("m"), F.max("excluded").alias("excluded"), F.max((~F.col("negated_by_suffix")).cast("int")).alias("ok"))
     own = lost.where("ok = 1 and not excluded").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("patient_id", "m.rule_id", "m.match_type"))).alias("matches"))
     p = {r.rule_id: (p_collision(r.household + r.fields), p_collision(r.household + r.fields, r.loose)) for r in rules + household_rules}

@@ -148,13 +148,13 @@ def without_empty(value: Column) -> Column:
         return None if isinstance(x, str) and not x.strip() else x
 
     @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         def one(t):
             try:
                 return None if t is None else json.dumps(clean(json.loads(t)))
             except ValueError:
                 return None
 
-        return s.map(one)
+        return pd.Series([one(t) for t in s], dtype=object)
 
     return run(value)
