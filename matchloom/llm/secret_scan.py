@@ -45,6 +45,8 @@ TREES, DEPTH, LEAF, TRIED, SEED = 25, 8, 3, 5, 7
 NEAR = 48
 #: Words of the corpus that the cover is measured by, and how often each occurs at least.
 DICTIONARY, OFTEN = 20_000, 5
+#: Bytes of text that are counted or scanned at once.
+SMALL = 300_000
 
 # Names before a value that suggest a secret, and that suggest none.
 SUSPECT = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "private")
@@ -67,7 +69,7 @@ for _i, _part in enumerate(("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOUBCDFGHJKLMNP
     _CLASS[[ord(c) for c in _part]] = _i
 #: Symbols of transitions: letters in both cases, digits as one, characters of keys, bytes above ASCII, all else.
 SYMBOLS = 57
-_SYMBOL = np.full(256, 56)
+_SYMBOL = np.full(256, 56, np.uint16)
 _SYMBOL[65:91], _SYMBOL[97:123], _SYMBOL[48:58], _SYMBOL[128:] = np.arange(26), np.arange(26, 52), 52, 53
 _SYMBOL[[ord(c) for c in "_-./+="]] = 54
 _SYMBOL[[32, 9, 10, 13]] = 55
@@ -90,14 +92,14 @@ def corpus_of(docs: DataFrame) -> Corpus:
         for part in parts:
             data, offsets = flat(part.column("text"))
             at = _SYMBOL[data]
-            code = at[:-1] * SYMBOLS + at[1:]
+            code = at[:-1] * np.uint16(SYMBOLS) + at[1:]
             inside = np.ones(len(code), bool)
             cut = offsets[1:-1] - 1
             inside[cut[(cut >= 0) & (cut < len(code))]] = False  # from the end of a text to the next one
             total += np.bincount(code[inside], minlength=len(total))
             own = Words(data, offsets, ALNUM, lower=True)
             size = own.end - own.start
-            plain = np.concatenate(([0], np.cumsum((own.data >= 48) & (own.data <= 57))))
+            plain = np.concatenate((np.zeros(1, np.int32), np.cumsum((own.data >= 48) & (own.data <= 57), dtype=np.int32)))
             keep = (size >= 3) & (size <= 24) & (plain[own.end] == plain[own.start])
             _, first, n = np.unique(own.hashes()[keep], return_index=True, return_counts=True)
             raw = own.data.tobytes()
@@ -106,7 +108,7 @@ def corpus_of(docs: DataFrame) -> Corpus:
         some = np.flatnonzero(total)
         yield {"cell": some, "word": [None] * len(some), "n": total[some]}
 
-    found = packed(docs.select("text"), pairs, "cell int, word string, n bigint").groupBy("cell", "word").agg(F.sum("n").alias("n"))
+    found = packed(docs.select("text"), pairs, "cell int, word string, n bigint", limit=SMALL).groupBy("cell", "word").agg(F.sum("n").alias("n"))
     words = found.where(F.col("word").isNotNull() & (F.col("n") >= OFTEN)).select("word", "n", F.lit(None).cast("int").alias("cell")).orderBy(F.col("n").desc(), "word").limit(DICTIONARY)
     rows = found.where("cell is not null").select("word", "n", "cell").unionAll(words).collect()  # SYMBOLS squared and DICTIONARY at most
     count = np.full((SYMBOLS, SYMBOLS), 0.5)
@@ -320,7 +322,7 @@ def scan_secrets(docs: DataFrame, threshold: float = 0.5, own: Detector | None =
                         out[k].append(v)
             yield out
 
-    return packed(_sourced(docs), run, FOUND)
+    return packed(_sourced(docs), run, FOUND, limit=SMALL)
 
 
 def redacted(docs: DataFrame, threshold: float = 0.5, own: Detector | None = None, mark: str = "<SECRET>") -> DataFrame:
@@ -343,7 +345,7 @@ def redacted(docs: DataFrame, threshold: float = 0.5, own: Detector | None = Non
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, at):
+            for batch in slices(whole, at, SMALL):
                 sources = batch.column(source_at).to_pylist() if source_at >= 0 else [None] * batch.num_rows
                 texts = pa.array([clean(t, s) for t, s in zip(batch.column(at).to_pylist(), sources)], arrow.field(at).type)
                 cols = [texts if i == at else c for i, c in enumerate(batch.columns)]

@@ -238,7 +238,7 @@ def _state(edges: DataFrame) -> tuple:
 # ---------------------------------------------------------------- packed exchange
 
 
-def packed(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str, column: str = "text") -> DataFrame:
+def packed(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[str, list]]], schema: str, column: str = "text", limit: int = 1_000_000) -> DataFrame:
     """mapInArrow over small parts of ``df``; f sees all parts of a task one after another, may keep bounded state between them, and gives columns as dicts of lists."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -246,7 +246,7 @@ def packed(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[dict[
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        parts = (part for batch in batches for part in slices(batch, column))
+        parts = (part for batch in batches for part in slices(batch, column, limit))
         for made in f(parts):
             yield pa.RecordBatch.from_arrays([pa.array(made[k.name], k.type) for k in arrow], schema=arrow)
 
