@@ -126,7 +126,12 @@ def match_result(spark, d):
     return out.select("query_id", "outcome", "n_matches", F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["patient_id"], m["rule_id"], m["match_type"])), ",").alias("matches"))
 
 
-@query()
+def _chances() -> str:
+    product = lambda names, loose: " * ".join(["CAST(1 AS DOUBLE)"] + [f"CAST({(U[f][1] if f in loose and U[f][1] is not None else U[f][0])!r} AS DOUBLE)" for f in names])
+    return " UNION ALL ".join(f"SELECT '{r.rule_id}' AS rule_id, '{kind}' AS match_type, {product(r.household + r.fields, loose)} AS p" for r in RULES + HOUSEHOLD_RULES for kind, loose in (("exact", ()), ("fuzzy", r.loose)))
+
+
+@query(f"WITH {_FOUND}, p AS ({_chances()}), n AS (SELECT query_id, count(*) AS n, any_value(p.p) AS p FROM named JOIN p USING (rule_id, match_type) GROUP BY 1) SELECT CAST(pid AS VARCHAR) AS query_id, CASE WHEN n IS NULL THEN 'no_match' WHEN n = 1 THEN 'match' WHEN n = 2 THEN 'escalate' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN greatest(0, least(1, 1 - p)) END AS confidence FROM people LEFT JOIN n ON n.query_id = CAST(pid AS VARCHAR)")
 def match_confidence(spark, d):
     p = _people(spark, d)
     return matching.match(p, p).select("query_id", "outcome", "confidence")
@@ -138,7 +143,16 @@ def evaluate_pair_flat_count(spark, d):
     return matching.evaluate_flat(matching.pairs(p, p)).where("not negated_by_suffix").select("query_id", "patient_id").distinct().agg(F.count("*").alias("n_pairs"))
 
 
-@query()
+def _any_house_sql() -> str:
+    parts = []
+    for r in HOUSEHOLD_RULES:
+        if all(f in _FLAT for f in r.household + r.fields):
+            house = [f"q.{_FLAT[f]} = c.{_FLAT[f]}" for f in r.household]
+            parts.append(f"SELECT CAST(q.pid AS VARCHAR) AS query_id, CAST(c.pid AS VARCHAR) AS patient_id, {_VETO} AS negated_by_suffix FROM people q JOIN people c ON q.pid <> c.pid AND {' AND '.join(house + _conditions(r)[0])}")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"WITH people AS ({PEOPLE}), flat AS ({_flat_sql()}), house AS ({_any_house_sql()}) SELECT DISTINCT query_id, patient_id, TRUE AS matched FROM (SELECT query_id, patient_id, negated_by_suffix FROM flat UNION ALL SELECT * FROM house) u WHERE NOT negated_by_suffix")
 def evaluate_pair_any(spark, d):
     """Pairwise decision without twin logic."""
     p = _people(spark, d)
