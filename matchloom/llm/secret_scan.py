@@ -10,7 +10,8 @@ trained from labelled findings, decides which are secrets.
 
 Statistics of the corpus, counted over all texts by grouped aggregation with map-side
 combining: transitions between SYMBOLS, and words, of which the DICTIONARY most frequent ones
-(at least OFTEN times, ties by code point) are sent to the workers.
+(at least OFTEN times, ties by code point) are sent to the workers.  A histogram of counts
+first names the count that they reach, so that rarer words never meet in the task that ranks.
 
 Training reads a bounded sample: at most ``TRAIN`` labelled findings (the
 smallest by hash).  ``findings_of`` reads them from a table.  Without findings of one's own,
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import ALNUM, Words, flat, lean, packed, slices
+from .shared import ALNUM, Words, drop, flat, lean, packed, slices, written
 
 #: The most labelled findings that a forest is trained from.
 TRAIN = 6000
@@ -108,9 +109,19 @@ def corpus_of(docs: DataFrame) -> Corpus:
         some = np.flatnonzero(total)
         yield {"cell": some, "word": [None] * len(some), "n": total[some]}
 
-    found = packed(docs.select("text"), pairs, "cell int, word string, n bigint", limit=SMALL).groupBy("cell", "word").agg(F.sum("n").alias("n"))
-    words = found.where(F.col("word").isNotNull() & (F.col("n") >= OFTEN)).select("word", "n", F.lit(None).cast("int").alias("cell")).orderBy(F.col("n").desc(), "word").limit(DICTIONARY)
-    rows = found.where("cell is not null").select("word", "n", "cell").unionAll(words).collect()  # SYMBOLS squared and DICTIONARY at most
+    counted = packed(docs.select("text"), pairs, "cell int, word string, n bigint", limit=SMALL).groupBy("cell", "word").agg(F.sum("n").alias("n"))
+    found = written(counted.where(F.col("cell").isNotNull() | (F.col("n") >= OFTEN)), "words")
+    words = found.where(F.col("word").isNotNull())
+    # Words of each step of counts, 16 to a doubling: only words of the steps that reach the dictionary are ranked.
+    step = F.floor(16 * F.log2("n")).cast("int")
+    least, above = 0, 0
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):  # 1,024 rows at most
+        least, above = r.step, above + r["count"]
+        if above >= DICTIONARY:
+            break
+    top = words.where(step >= least).select("word", "n", "cell").orderBy(F.col("n").desc(), "word").limit(DICTIONARY)
+    rows = found.where(F.col("cell").isNotNull()).select("word", "n", "cell").unionAll(top).collect()  # SYMBOLS squared and DICTIONARY at most
+    drop(found)
     count = np.full((SYMBOLS, SYMBOLS), 0.5)
     for r in rows:
         if r.cell is not None:

@@ -526,3 +526,13 @@ def test_secret_statistics_against_brute_force(docs, spark):
     texts = {f"see {key} end": key, "AWS_SECRET=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"}
     for text, value in texts.items():
         assert [text[a:b] for a, b in secret_scan.candidates(text)] == [value]
+
+
+@pytest.mark.parametrize("size", [45, 50, 60])
+def test_dictionary_holds_the_most_frequent_words(spark, monkeypatch, size):
+    """Counts that tie at the edge of the dictionary, and steps of counts that hold more words than it takes."""
+    monkeypatch.setattr(secret_scan, "DICTIONARY", size)
+    often = {f"{a}{b}word": 5 + 3 * i if i < 4 else 7 for i, (a, b) in enumerate((a, b) for a in "zyxwvut" for b in "abcdefgh")}
+    rows = [(i, " ".join([w] * n)) for i, (w, n) in enumerate(often.items())] + [(None, "seldom " * 4), (None, None)]
+    corpus = secret_scan.corpus_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert corpus.words == frozenset(sorted(often, key=lambda w: (-often[w], w))[:size])
