@@ -115,6 +115,8 @@ STREET = {"street": "st", "avenue": "ave", "road": "rd", "drive": "dr", "lane":
 # Words before a unit's number, in a line of its own and at the end of a street line.
 DESIGNATORS = ("apt", "apartment", "unit", "ste", "suite", "rm", "room", "fl", "floor", "bldg", "building", "lot", "spc", "space", "trlr", "trailer", "dept", "department", "ph", "bsmt", "frnt", "rear", "ofc", "lbby", "lowr", "uppr", "hngr", "pier", "slip", "stop", "key")
 TRAILING = ("suite", "ste", "unit", "apt", "apartment", "rm", "room", "floor", "fl", "bldg", "building", "lot")
+# Fixed value: what may follow such a word at the end of a street line.
+UNIT_ID = r"(?:[0-9][\w-]*|[A-Z][0-9][\w-]*|[A-Z])"
 
 
 def standard_street(c: Column) -> Column:
@@ -139,8 +141,7 @@ def line_one(lines: Column) -> Column:
 
 def strip_unit(c: Column) -> Column:
     """A street without a unit at its end: a designator with one or two identifiers, or all from a # on that is not its beginning."""
-    one = r"(?:[0-9][\w-]*|[A-Z][0-9][\w-]*|[A-Z])"
-    named = rf"(?i)[\s,]+(?:{'|'.join(TRAILING)})(?:\s*#\s*|\s+){one}(?:\s+{one})?[\s-]*$"
+    named = rf"(?i)[\s,]+(?:{'|'.join(TRAILING)})(?:\s*#\s*|\s+){UNIT_ID}(?:\s+{UNIT_ID})?[\s-]*$"
     x = F.regexp_replace(F.regexp_replace(c, named, ""), r"[\s,]+#\s*\w.*$", "")
     return F.regexp_replace(x, r"^[ ,-]+|[ ,-]+$", "")
 

@@ -34,10 +34,10 @@ def quality(records: DataFrame) -> DataFrame:
     return keyed(records).groupBy("source").agg(F.count("*").alias("n_rows"), F.avg(ok.cast("double")).alias("usable_share"), F.count_distinct(F.when(ok, F.struct("match_street", "match_zip5"))).alias("n_keys"), F.avg(placeholders.unusable_street(F.col("street")).cast("double")).alias("unusable_share"))
 
 
-def robustness(records: DataFrame, sample: int = 3000) -> DataFrame:
-    """How often a key survives a change in writing, on the first ``sample`` records by hash (a report)."""
+def robustness(records: DataFrame, sample: int | None = 3000) -> DataFrame:
+    """How often a key survives a change in writing, on the first ``sample`` records by hash (a report), or on all of them where it is None."""
     keys = keyed(records).where(usable()).select("match_street", "match_zip5").distinct()
-    some = records.orderBy(F.xxhash64("source", "source_id"), "source_id").limit(sample)
+    some = records if sample is None else records.orderBy(F.xxhash64("source", "source_id"), "source_id").limit(sample)
     changes = {"upper": F.upper("street"), "unit": F.concat("street", F.lit(" apt 2")), "zip4": F.col("street"), "typo": F.concat(F.expr("substr(street, 1, 3)"), F.expr("substr(street, 5)"))}
     all_ = None
     for name, street in changes.items():

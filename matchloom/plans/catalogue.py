@@ -278,14 +278,20 @@ def u_dob_pm1day(spark, d):
     return uprob.dob_u(_years(spark, d), "pm1day").select(F.round("u", 12).alias("u"))
 
 
-@query()
+_SWAPPED = "SELECT d, d + 1 AS e FROM days UNION SELECT d, d - 1 FROM days UNION SELECT d, make_date(year(d), least(day(d), 12), month(d)) FROM days WHERE day(d) <= 12"
+_EDITED = """SELECT a.d, b.d AS e FROM masks a JOIN masks b ON a.mask = b.mask
+UNION SELECT d, CAST(try_strptime(substr(s, 1, i - 1) || substr(s, i + 1, 1) || substr(s, i, 1) || substr(s, i + 2), '%Y%m%d') AS DATE) FROM digits WHERE i < 8"""
+_BALL = "SELECT round((SELECT sum(p * p) FROM days) + sum(a.p * b.p), 12) AS u FROM near JOIN days a ON a.d = near.d JOIN days b ON b.d = near.e WHERE near.d <> near.e"
+
+
+@query(f"WITH {_DAYS}, near AS ({_SWAPPED}) {_BALL}")
 def u_dob_swap(spark, d):
-    return uprob.dob_u(_years(spark, d), "swap")
+    return uprob.dob_u(_years(spark, d), "swap").select(F.round("u", 12).alias("u"))
 
 
-@query()
+@query(f"WITH {_DAYS}, digits AS (SELECT d, strftime(d, '%Y%m%d') AS s, i FROM days, generate_series(1, 8) AS g(i)), masks AS (SELECT d, substr(s, 1, i - 1) || '*' || substr(s, i + 1) AS mask FROM digits), near AS ({_SWAPPED} UNION {_EDITED}) {_BALL}")
 def u_dob_dl1(spark, d):
-    return uprob.dob_u(_years(spark, d), "dl1")
+    return uprob.dob_u(_years(spark, d), "dl1").select(F.round("u", 12).alias("u"))
 
 
 @query("SELECT event_type AS value, count(*) AS n, count(*) / CAST((SELECT count(*) FROM events) AS DOUBLE) AS share FROM events GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
@@ -339,14 +345,20 @@ def registry_dropped(spark, d):
     return registry.dropped(_records(spark, d))
 
 
-@query()
+_KEYED = "lower(street) AS own, replace(regexp_replace(regexp_replace(lower(street), ' (suite|apt) [0-9]+$', ''), ' #.*$', ''), 'street', 'st') AS match_street, CASE WHEN regexp_matches(zip, '^[0-9]{1,5}$') THEN lpad(zip, 5, '0') WHEN regexp_matches(zip, '^[0-9]{5}-[0-9]{4}$') THEN substr(zip, 1, 5) ELSE '' END AS match_zip5"
+
+
+@query(f"""WITH r AS ({_REC}), k AS (SELECT source, {_KEYED} FROM r)
+SELECT source, count(*) AS n_rows, avg(CASE WHEN match_zip5 <> '' THEN 1 ELSE 0 END) AS usable_share, count(DISTINCT CASE WHEN match_zip5 <> '' THEN match_street || '|' || match_zip5 END) AS n_keys, avg(CASE WHEN regexp_matches(own, '\\bp\\.?\\s*o\\.?\\s*box\\b|^\\s*(rr|rural route|route|hc|hwy|highway)\\b') THEN 1 ELSE 0 END) AS unusable_share FROM k GROUP BY 1""")
 def registry_quality(spark, d):
     return registry.quality(_records(spark, d))
 
 
-@query()
+@query(f"""WITH r AS ({_REC}), v AS (SELECT 'upper' AS variant, upper(street) AS street, zip FROM r UNION ALL SELECT 'unit', street || ' apt 2', zip FROM r UNION ALL SELECT 'zip4', street, zip || '-1234' FROM r UNION ALL SELECT 'typo', substr(street, 1, 3) || substr(street, 5), zip FROM r),
+keys AS (SELECT DISTINCT match_street, match_zip5 FROM (SELECT {_KEYED} FROM r) x WHERE match_zip5 <> ''), k AS (SELECT variant, {_KEYED} FROM v)
+SELECT variant, avg(CASE WHEN keys.match_zip5 IS NULL THEN 0 ELSE 1 END) AS hit_rate FROM k LEFT JOIN keys USING (match_street, match_zip5) GROUP BY 1""")
 def registry_robustness(spark, d):
-    return registry.robustness(_records(spark, d))
+    return registry.robustness(_records(spark, d), sample=None)
 
 
 # ---------------------------------------------------------------- windows, series, index
