@@ -194,6 +194,74 @@ def any_rule(both: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES)
     return both.select("query_id", "patient_id", (ok & ~F.col("vetoed")).alias("matched"))
 
 
+def key_groups(rules: tuple[Rule, ...]) -> list[tuple[tuple[str, ...], tuple[Rule, ...]]]:
+    """Keys that hold all exact fields of their rules, and the rules that each decides; a first name is left to the comparison where two more fields are there, and a key whose fields are all in another one takes the other's rules."""
+    wanted = {}
+    for r in rules:
+        key = {f for f in r.household + r.fields if f not in r.loose} | ({"near_day"} if "dob" in r.loose else set())
+        key |= {"street_zip"} if key <= {"near_day"} and "street_line" in r.loose else set()
+        wanted[r] = frozenset(key - {"first_name"} if len(key - {"first_name"}) > 1 else key)
+    within = lambda a, b: all(x in b or (x == "near_day" and "dob" in b) for x in a)
+    least = [k for k in set(wanted.values()) if not any(o != k and within(o, k) for o in wanted.values())]
+    chance = lambda k: 1.0 if not k else U[{"near_day": "dob", "street_zip": "zip_code"}.get(min(k), min(k))][0] * chance(k - {min(k)})
+    least.sort(key=lambda k: (chance(k), sorted(k)))
+    own = {k: tuple(r for r in rules if next(o for o in least if within(o, wanted[r])) == k) for k in least}
+    return [(tuple(sorted(k)), rs) for k, rs in own.items() if rs]
+
+
+def _sent(key: tuple[str, ...], rules: tuple[Rule, ...]) -> list[str]:
+    """The fields that a pair with this key must still be compared by."""
+    return sorted({f for r in rules for f in r.household + r.fields} - set(key))
+
+
+def keyed(fields: DataFrame, near_days: bool, groups: list[tuple[tuple[str, ...], tuple[Rule, ...]]]) -> DataFrame:
+    """``patient_id, h, i, g, suffixes`` and the fields to compare, one row for each key: 96 bits name it, so that two different keys do not meet."""
+    days = F.col("f.dob")
+    if near_days:
+        days = F.array_distinct(F.flatten(F.transform(days, lambda d: F.array_compact(F.array(d, *[F.date_format(F.date_add(sim.day(d), i), "yyyy-MM-dd") for i in (-1, 1)])))))
+    own = {"near_day": days, "street_zip": F.array_distinct(F.transform(F.col("f.street_lines"), lambda s: F.substring_index(s, "|", -1)))}
+    sent = sorted({f for key, rules in groups for f in _sent(key, rules)})
+    entries = []
+    for g, (key, rules) in enumerate(groups):
+        parts = F.array(F.struct(F.lit(g).cast("bigint").alias("h"), F.lit(g).alias("i")))
+        for name in key:
+            more = own[name] if name in own else value("f", name)
+            parts = F.flatten(F.transform(parts, lambda x: F.transform(more, lambda y: F.struct(F.xxhash64(x["h"], y).alias("h"), F.hash(x["i"], y).alias("i")))))  # noqa: B023
+        carried = [(value("f", f) if f in _sent(key, rules) else F.lit(None).cast("array<string>")).alias(f) for f in sent]
+        entries.append(F.transform(F.array_distinct(parts), lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.lit(g).alias("g"), *carried)))  # noqa: B023
+    suffixes = text.generational(F.col("f.suffixes"))
+    both = fields.select("patient_id", F.struct(*[c for c in fields.columns if c != "patient_id"]).alias("f"))
+    return both.select("patient_id", F.when(F.size(suffixes) > 0, suffixes).alias("suffixes"), F.explode(F.concat(*entries)).alias("e")).select("patient_id", "suffixes", "e.*")
+
+
+def decided(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
+    """The pairs ``query_id, patient_id`` that ``any_rule`` decides for, among all: joined by all exact fields of a rule, so only what tolerance leaves open is compared, and nothing but the fields it takes is sent."""
+    groups = key_groups(rules)
+    # comparing costs more than reading: rows are dealt to all tasks first
+    q, c = (keyed(df.repartition("patient_id"), near, groups) for df, near in ((queries, True), (pool, False)))
+    q = q.select("h", "i", F.struct(*[x for x in q.columns if x not in ("h", "i")]).alias("q"))
+    c = c.select("h", "i", F.struct(*[x for x in c.columns if x not in ("h", "i", "g")]).alias("c"))
+    veto = F.coalesce(text.suffixes_conflict(F.col("q.suffixes"), F.col("c.suffixes")), F.lit(False))
+    both = q.join(c, ["h", "i"]).where((F.col("q.patient_id") != F.col("c.patient_id")) & ~veto)
+    same, near = [], []
+    for name in sorted({f for key, group in groups for f in _sent(key, group)}):
+        x, y, bit = F.col(f"q.{name}"), F.col(f"c.{name}"), F.lit(1 << BITS[name]).cast("bigint")
+        equal = F.coalesce(sim.exact(x, y), F.lit(False))
+        same.append(F.when(equal, bit).otherwise(0))
+        if any(name in r.loose for r in rules):
+            close = {"dob": sim.dob_near, "street_line": sim.street_fuzzy}.get(name, sim.fuzzy)
+            near.append(F.when(equal, 0).when(F.coalesce(close(x, y), F.lit(False)), bit).otherwise(0))
+    any_bit = lambda parts: sum(parts, F.lit(0).cast("bigint"))
+    of = lambda values: F.element_at(F.array(*values), F.col("g") + 1)
+    sure = of([F.lit(_mask(f for f in key if f in BITS)).cast("bigint") for key, _ in groups])
+    both = both.select("q.patient_id", "c.patient_id", "q.g", any_bit(same).alias("found"), any_bit(near).alias("near")).toDF("query_id", "patient_id", "g", "found", "near")
+    both = both.withColumn("same", F.col("found") + sure)
+    # exploded, as a filter would put the comparisons into each step of the loop over rules
+    agrees = lambda r: holds(r, _near()) & (F.col("same").bitwiseAND(r["house"]) == r["house"])
+    both = both.withColumn("rule", F.explode_outer(F.slice(F.filter(of([_table(group) for _, group in groups]), agrees), 1, 1)))
+    return both.where("rule is not null").select("query_id", "patient_id").distinct()
+
+
 def audit(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
     """Each rule that a query has the fields for, on each of its candidates; a query without candidates has one row with ``candidates_retrieved`` 0.
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import zipfile
 
 import pytest
@@ -108,6 +109,42 @@ def test_all_rules_can_hold(spark):
     assert not matching.evaluate_flat(matching.compared(spark.createDataFrame([("a", "b")], "query_id string, patient_id string"), df, twin)).where("array_contains(map_values(outcomes), 'no_match')").count()
 
 
+def _crowd(spark, n):
+    """People with several values a field, few different ones, and odd dates."""
+    rnd = random.Random(7)
+    pools = {f: [f"{f}{i}" for i in range(3)] for f in people.FIELDS}
+    pools |= {"first_names": ["robert", "robret", "maria", "ann"], "last_names": ["nguyen", "nguyne", "smith"], "dob": ["1990-01-01", "1989-12-31", "1990-01-03", "1990-01", "x"], "suffixes": ["jr", "sr"]}
+    pools |= {"street_lines": ["1 main st|10001", "2 main st|10001", "1 main st|10002"], "relationship_linkage_clinical": ["child-of", "newborn-of"]}
+    some = lambda f: sorted(rnd.sample(pools[f], rnd.choices((0, 1, 2), (2, 6, 1))[0] if f != "suffixes" else rnd.randint(0, 1)))
+    return spark.createDataFrame([tuple([f"{i}"] + [some(f) for f in people.FIELDS]) for i in range(n)], "patient_id string, " + ", ".join(f"{f} array<string>" for f in people.FIELDS))
+
+
+@pytest.mark.parametrize("rules", [RULES + HOUSEHOLD_RULES, RULES, RULES[:1], RULES[3:5], HOUSEHOLD_RULES])
+def test_decided_as_by_masks(spark, rules):
+    """Joins by all exact fields find what comparing the wider candidates finds, with several values and odd dates too."""
+    crowd = _crowd(spark, 120)
+    want = {(r[0], r[1]) for r in matching.any_rule(matching.pairs(crowd, crowd, rules), rules).where("matched").collect()}
+    got = [(r[0], r[1]) for r in matching.decided(crowd, crowd, rules).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_crowds_without_pairs(spark):
+    """People who share two fields of a rule, but not its date of birth, are not joined."""
+    empty = {f: F.array().cast("array<string>") for f in people.FIELDS}
+    day = F.date_format(F.date_add(F.lit("1950-01-01"), (F.col("id") * 5).cast("int")), "yyyy-MM-dd")
+    crowd = spark.range(300).select(F.col("id").cast("string").alias("patient_id"), *[c.alias(f) for f, c in (empty | {"first_names": F.array(F.lit("maria")), "last_names": F.array(F.lit("smith")), "phones": F.array(F.lit("+1")), "zip_codes": F.array(F.lit("10001")), "dob": F.array(day)}).items()])
+    groups = matching.key_groups(RULES + HOUSEHOLD_RULES)
+    met = matching.keyed(crowd, True, groups).join(matching.keyed(crowd, False, groups).withColumnRenamed("patient_id", "other"), ["h", "i"]).where("patient_id <> other")
+    assert met.count() == 0 and matching.decided(crowd, crowd).count() == 0
+
+
+@pytest.mark.parametrize("name", ["evaluate_pair_any"])
+def test_pairs_are_joined_by_all_exact_fields(spark, name):
+    """No pair is compared as a whole: the plan has one join of keys, and none of people."""
+    plan = __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_levers(spark):
     p = {(r.lever, r.rule_id, r.basis): r for r in levers.feasibility(spark).collect()}
     base = p["initial_all", "02", "scaled_conservative"].p
