@@ -134,7 +134,7 @@ def score_population(spark, d):
 def evaluate_pair_flat(spark, d):
     """Pairs that some flat rule decides."""
     p = _people(spark, d)
-    return matching.any_rule(matching.pairs(p, p), RULES).where("matched")
+    return matching.decided(p, p, RULES).withColumn("matched", F.lit(True))
 
 
 @query(f"WITH {_FOUND}, e AS (SELECT query_id, count(*) FILTER (position < {len(RULES)} AND NOT negated_by_suffix) AS rules FROM found GROUP BY 1) SELECT CAST(p.pid AS VARCHAR) AS query_id, coalesce(e.rules, 0) AS rules FROM people p LEFT JOIN e ON e.query_id = CAST(p.pid AS VARCHAR)")

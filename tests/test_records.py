@@ -138,7 +138,7 @@ def test_crowds_without_pairs(spark):
     assert met.count() == 0 and matching.decided(crowd, crowd).count() == 0
 
 
-@pytest.mark.parametrize("name", ["evaluate_pair_any"])
+@pytest.mark.parametrize("name", ["evaluate_pair_any", "evaluate_pair_flat"])
 def test_pairs_are_joined_by_all_exact_fields(spark, name):
     """No pair is compared as a whole: the plan has one join of keys, and none of people."""
     plan = __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
