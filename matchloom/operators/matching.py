@@ -1,13 +1,12 @@
-"""Batch matching: one shared candidate join for all rules, then verification by bit masks.
-
-Every rule names fields that must agree exactly; candidates come from equi-joins on
-pairs of these (or on one and the days around a date of birth, where dates may
-differ by a day), so no single phone number or address that a million records
-share makes pairs of them all.  A pair is compared once, field by
-field, and becomes four integers with a bit for each field: asked for, there on both
-sides, the same, near.  A rule is a row of a small constant array of masks, and
-all rules are decided by a filter over that array.  The only further shuffles are the
-household window and the final grouping by query.
+"""Batch matching: pairs are joined by the exact fields of a rule, or compared as a whole by bit masks.
+
+``match`` and ``decided`` join on keys that hold all exact fields of a rule (a date that
+may differ by a day as a block of days), and send beside a key only what its rules still
+compare; households of ``match`` are joined by their own fields, as twins are told apart
+among all of them.  ``pairs``, for the audit and single rules, takes wider candidates -
+equi-joins on two exact fields - and compares a pair field by field: four integers with a
+bit for each field, asked for, there on both sides, the same, near.  A rule is a row of a
+small constant array of masks, and all rules are decided by a filter over that array.
 """
 
 from __future__ import annotations
@@ -103,21 +102,21 @@ def compared(found: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame
 TIES = ("q_has_id", "same_id", "q_has_middle", "has_middle", "same_middle")
 
 
-def _ties() -> list[Column]:
+def _ties(own: str = "") -> list[Column]:
     some = lambda c: F.size(c) > 0
-    same = lambda a: F.coalesce(sim.exact(F.col(f"q.{a}"), F.col(f"c.{a}")), F.lit(False))
-    return [c.alias(n) for n, c in zip(TIES, (some("q.namespace_ids"), same("namespace_ids"), some("q.middle_names"), some("c.middle_names"), same("middle_names")))]
+    same = lambda a: F.coalesce(sim.exact(F.col(f"q.{own}{a}"), F.col(f"c.{own}{a}")), F.lit(False))
+    return [c.alias(n) for n, c in zip(TIES, (some(f"q.{own}namespace_ids"), same("namespace_ids"), some(f"q.{own}middle_names"), some(f"c.{own}middle_names"), same("middle_names")))]
 
 
 def _mask(names) -> int:
     return sum(1 << BITS[n] for n in names)
 
 
-def _table(rules: tuple[Rule, ...], first: int = 0) -> Column:
+def _table(rules: tuple[Rule, ...], first: int = 0, places: dict[Rule, int] | None = None) -> Column:
     """Rules as a constant array of masks."""
     rows = []
     for i, r in enumerate(rules):
-        numbers = {"position": first + i, "most": r.most}
+        numbers = {"position": places[r] if places else first + i, "most": r.most}
         masks = {"house": _mask(r.household), "strict": _mask(f for f in r.fields if f not in r.loose), "loose": _mask(r.loose), "counted": _mask(f for f in r.loose if f != "dob"), "needed": _mask(r.household + r.fields)}
         names = F.array(*[F.lit(f) for f in r.household + r.fields])
         rows.append(F.struct(F.lit(r.rule_id).alias("rule_id"), *[F.lit(v).alias(k) for k, v in numbers.items()], *[F.lit(v).cast("bigint").alias(k) for k, v in masks.items()], names.alias("names"), F.array(*[F.lit(BITS[f]) for f in r.household + r.fields]).alias("bits")))
@@ -170,11 +169,15 @@ def evaluate_households(both: DataFrame, rules: tuple[Rule, ...] = HOUSEHOLD_RUL
 
     ``query_id, patient_id, rule_id, position, match_type, negated_by_suffix, shared_dob, excluded``
     """
-    kept = both.withColumn("rule", F.explode(F.filter(_table(rules, len(RULES)), in_house)))
+    return _households(both.withColumn("rule", F.explode(F.filter(_table(rules, len(RULES)), in_house))))
+
+
+def _households(kept: DataFrame) -> DataFrame:
+    """``evaluate_households`` from one row for each pair and rule whose household fields agree."""
     dates = kept.withColumn("date", F.explode_outer("dob"))
     others = F.count("*").over(Window.partitionBy("query_id", "rule.rule_id", "date"))
     dates = dates.withColumn("shared", F.col("date").isNotNull() & (others > 1))
-    own = ["asked", "there", "same", "near", "vetoed", *TIES]
+    own = ["same", "near", "vetoed", *TIES]
     kept = dates.groupBy("query_id", F.col("rule.rule_id").alias("rule_id"), "patient_id").agg(F.max("shared").alias("shared_dob"), F.first("rule").alias("rule"), *[F.first(c).alias(c) for c in own])
     near = _near(F.col("shared_dob"))
     matched = kept.where(holds(F.col("rule"), near)).withColumn("match_type", _kind(F.col("rule"), near)).withColumnRenamed("vetoed", "negated_by_suffix")
@@ -194,10 +197,13 @@ def any_rule(both: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES)
     return both.select("query_id", "patient_id", (ok & ~F.col("vetoed")).alias("matched"))
 
 
-def key_groups(rules: tuple[Rule, ...]) -> list[tuple[tuple[str, ...], tuple[Rule, ...]]]:
-    """Keys that hold all exact fields of their rules, and the rules that each decides; a first name is left to the comparison where two more fields are there, and a key whose fields are all in another one takes the other's rules."""
+def key_groups(rules: tuple[Rule, ...], whole: bool = False) -> list[tuple[tuple[str, ...], tuple[Rule, ...]]]:
+    """Keys that hold all exact fields of their rules, and the rules that each decides; a first name is left to the comparison where two more fields are there, and a key whose fields are all in another one takes the other's rules.  With whole, households are joined by their own fields alone."""
     wanted = {}
     for r in rules:
+        if whole and r.household:
+            wanted[r] = frozenset(r.household)
+            continue
         key = {f for f in r.household + r.fields if f not in r.loose} | ({"near_day"} if "dob" in r.loose else set())
         key |= {"street_zip"} if key <= {"near_day"} and "street_line" in r.loose else set()
         wanted[r] = frozenset(key - {"first_name"} if len(key - {"first_name"}) > 1 else key)
@@ -214,52 +220,107 @@ def _sent(key: tuple[str, ...], rules: tuple[Rule, ...]) -> list[str]:
     return sorted({f for r in rules for f in r.household + r.fields} - set(key))
 
 
-def keyed(fields: DataFrame, near_days: bool, groups: list[tuple[tuple[str, ...], tuple[Rule, ...]]]) -> DataFrame:
-    """``patient_id, h, i, g, suffixes`` and the fields to compare, one row for each key: 96 bits name it, so that two different keys do not meet."""
-    days = F.col("f.dob")
-    if near_days:
-        days = F.array_distinct(F.flatten(F.transform(days, lambda d: F.array_compact(F.array(d, *[F.date_format(F.date_add(sim.day(d), i), "yyyy-MM-dd") for i in (-1, 1)])))))
+#: Days of a block; a date and those next to it lie in at most two.
+BLOCK = 4
+
+
+def keyed(fields: DataFrame, near_days: bool, groups: list[tuple[tuple[str, ...], tuple[Rule, ...]]], more: tuple[str, ...] = ()) -> DataFrame:
+    """``patient_id, h, i, g, several, suffixes`` and the fields to compare, one row for each key: 96 bits name it, so that two different keys do not meet; several: whether the person has more keys of the group."""
+    block = lambda d, i: F.floor(F.datediff(F.date_add(sim.day(d), i), F.lit("1970-01-01").cast("date")) / BLOCK).cast("string")
+    near = lambda d: F.array_compact(F.array(block(d, -1), block(d, 1), F.when(sim.day(d).isNull(), d)))
+    days = F.array_distinct(F.flatten(F.transform("f.dob", near)) if near_days else F.transform("f.dob", lambda d: F.coalesce(block(d, 0), d)))
     own = {"near_day": days, "street_zip": F.array_distinct(F.transform(F.col("f.street_lines"), lambda s: F.substring_index(s, "|", -1)))}
     sent = sorted({f for key, rules in groups for f in _sent(key, rules)})
     entries = []
     for g, (key, rules) in enumerate(groups):
         parts = F.array(F.struct(F.lit(g).cast("bigint").alias("h"), F.lit(g).alias("i")))
         for name in key:
-            more = own[name] if name in own else value("f", name)
-            parts = F.flatten(F.transform(parts, lambda x: F.transform(more, lambda y: F.struct(F.xxhash64(x["h"], y).alias("h"), F.hash(x["i"], y).alias("i")))))  # noqa: B023
+            values = own[name] if name in own else value("f", name)
+            parts = F.flatten(F.transform(parts, lambda x: F.transform(values, lambda y: F.struct(F.xxhash64(x["h"], y).alias("h"), F.hash(x["i"], y).alias("i")))))  # noqa: B023
         carried = [(value("f", f) if f in _sent(key, rules) else F.lit(None).cast("array<string>")).alias(f) for f in sent]
-        entries.append(F.transform(F.array_distinct(parts), lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.lit(g).alias("g"), *carried)))  # noqa: B023
+        parts = F.array_distinct(parts)
+        entries.append(F.transform(parts, lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.lit(g).alias("g"), (F.size(parts) > 1).alias("several"), *carried)))  # noqa: B023
     suffixes = text.generational(F.col("f.suffixes"))
     both = fields.select("patient_id", F.struct(*[c for c in fields.columns if c != "patient_id"]).alias("f"))
-    return both.select("patient_id", F.when(F.size(suffixes) > 0, suffixes).alias("suffixes"), F.explode(F.concat(*entries)).alias("e")).select("patient_id", "suffixes", "e.*")
+    return both.select("patient_id", F.when(F.size(suffixes) > 0, suffixes).alias("suffixes"), *[F.col(f"f.{c}").alias(f"own_{c}") for c in more], F.explode(F.concat(*entries)).alias("e")).select("patient_id", "suffixes", *[f"own_{c}" for c in more], "e.*")
 
 
-def decided(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
-    """The pairs ``query_id, patient_id`` that ``any_rule`` decides for, among all: joined by all exact fields of a rule, so only what tolerance leaves open is compared, and nothing but the fields it takes is sent."""
-    groups = key_groups(rules)
-    # comparing costs more than reading: rows are dealt to all tasks first
-    q, c = (keyed(df.repartition("patient_id"), near, groups) for df, near in ((queries, True), (pool, False)))
+def _met(q: DataFrame, c: DataFrame) -> DataFrame:
+    """Pairs that share a key, as structs q and c; a query is not its own candidate."""
     q = q.select("h", "i", F.struct(*[x for x in q.columns if x not in ("h", "i")]).alias("q"))
     c = c.select("h", "i", F.struct(*[x for x in c.columns if x not in ("h", "i", "g")]).alias("c"))
-    veto = F.coalesce(text.suffixes_conflict(F.col("q.suffixes"), F.col("c.suffixes")), F.lit(False))
-    both = q.join(c, ["h", "i"]).where((F.col("q.patient_id") != F.col("c.patient_id")) & ~veto)
+    return q.join(c, ["h", "i"]).where(F.col("q.patient_id") != F.col("c.patient_id"))
+
+
+def _vetoed() -> Column:
+    return F.coalesce(text.suffixes_conflict(F.col("q.suffixes"), F.col("c.suffixes")), F.lit(False))
+
+
+def _ruled(both: DataFrame, groups: list[tuple[tuple[str, ...], tuple[Rule, ...]]], agrees, places: dict[Rule, int], *more: Column) -> DataFrame:
+    """``query_id, patient_id, rules, same, near`` and more columns: of the rules of a pair's key those for which agrees, null without any."""
     same, near = [], []
-    for name in sorted({f for key, group in groups for f in _sent(key, group)}):
+    for name in sorted({f for key, rules in groups for f in _sent(key, rules)}):
         x, y, bit = F.col(f"q.{name}"), F.col(f"c.{name}"), F.lit(1 << BITS[name]).cast("bigint")
         equal = F.coalesce(sim.exact(x, y), F.lit(False))
         same.append(F.when(equal, bit).otherwise(0))
-        if any(name in r.loose for r in rules):
+        if any(name in r.loose for _, rules in groups for r in rules):
             close = {"dob": sim.dob_near, "street_line": sim.street_fuzzy}.get(name, sim.fuzzy)
             near.append(F.when(equal, 0).when(F.coalesce(close(x, y), F.lit(False)), bit).otherwise(0))
     any_bit = lambda parts: sum(parts, F.lit(0).cast("bigint"))
     of = lambda values: F.element_at(F.array(*values), F.col("g") + 1)
     sure = of([F.lit(_mask(f for f in key if f in BITS)).cast("bigint") for key, _ in groups])
-    both = both.select("q.patient_id", "c.patient_id", "q.g", any_bit(same).alias("found"), any_bit(near).alias("near")).toDF("query_id", "patient_id", "g", "found", "near")
+    both = both.select(F.col("q.patient_id").alias("query_id"), "c.patient_id", "q.g", any_bit(same).alias("found"), any_bit(near).alias("near"), *more)
     both = both.withColumn("same", F.col("found") + sure)
     # exploded, as a filter would put the comparisons into each step of the loop over rules
-    agrees = lambda r: holds(r, _near()) & (F.col("same").bitwiseAND(r["house"]) == r["house"])
-    both = both.withColumn("rule", F.explode_outer(F.slice(F.filter(of([_table(group) for _, group in groups]), agrees), 1, 1)))
-    return both.where("rule is not null").select("query_id", "patient_id").distinct()
+    rules = F.filter(of([_table(rules, 0, places) for _, rules in groups]), agrees)
+    return both.withColumn("rules", F.explode_outer(F.array(F.when(F.size(rules) > 0, F.transform(rules, lambda r: F.struct(r["position"].alias("position"), r["loose"].alias("loose"))))))).where("rules is not null")
+
+
+def _agrees(rule: Column) -> Column:
+    return holds(rule, _near()) & (F.col("same").bitwiseAND(rule["house"]) == rule["house"])
+
+
+def decided(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
+    """The pairs ``query_id, patient_id`` that ``any_rule`` decides for, among all: joined by all exact fields of a rule, so only what tolerance leaves open is compared, and nothing but the fields it takes is sent."""
+    groups = key_groups(rules)
+    # comparing costs more than reading: rows are dealt to all tasks first
+    q, c = (keyed(df.repartition("patient_id"), near, groups) for df, near in ((queries, True), (pool, False)))
+    both = _met(q, c).where(~_vetoed())
+    return _ruled(both, groups, _agrees, {r: i for i, r in enumerate(rules)}).select("query_id", "patient_id").distinct()
+
+
+def _packed(fields: DataFrame) -> DataFrame:
+    """The same rows, dealt to all tasks as one column, so that all who read them read the same shuffle and fields are extracted once."""
+    names = [c for c in fields.columns if c != "patient_id"]
+    rows = fields.select("patient_id", F.to_json(F.struct(*names)).alias("f")).repartition("patient_id")
+    return rows.select("patient_id", F.from_json("f", ", ".join(f"{c} array<string>" for c in names)).alias("f")).select("patient_id", "f.*")
+
+
+def _found(q: DataFrame, c: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``query_id, patient_id, code, excluded`` of pairs that a flat rule decides for; the code is twice the first rule's position, and one more if fuzzy."""
+    groups = key_groups(rules)
+    both = _met(keyed(q, True, groups), keyed(c, False, groups)).where(~_vetoed())
+    first = F.element_at("rules", 1)  # positions ascend
+    code = first["position"] * 2 + (F.col("near").bitwiseAND(first["loose"]) != 0).cast("int")
+    return _ruled(both, groups, _agrees, {r: i for i, r in enumerate(rules)}).select("query_id", "patient_id", code.alias("code"), F.lit(False).alias("excluded"))
+
+
+def _found_in_households(q: DataFrame, c: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The same of two-step rules.  Who shares no date of birth with a query counts only beside one who has several, so in most households only those of the query's date are kept."""
+    groups, places = key_groups(rules, True), {r: len(RULES) + i for i, r in enumerate(rules)}
+    own = ("dob", "middle_names", "namespace_ids")
+    keys_of = keyed(c, False, groups, own).withColumn("many", F.max(F.size("own_dob") > 1).over(Window.partitionBy("h", "i")))
+    both = _met(keyed(q, True, groups, own), keys_of)
+    if all("dob" in r.fields and "dob" not in r.loose for r in rules):
+        both = both.where(F.coalesce(sim.exact(F.col("q.own_dob"), F.col("c.own_dob")), F.lit(False)) | F.col("c.many") | F.col("q.several"))
+    in_same = lambda r: F.col("same").bitwiseAND(r["house"]) == r["house"]
+    rows = _ruled(both, groups, in_same, places, _vetoed().alias("vetoed"), F.col("c.own_dob").alias("dob"), *_ties("own_"))
+    rows = rows.withColumn("position", F.explode("rules.position")).select("query_id", "patient_id", "position", "same", "near", "vetoed", "dob", *TIES)
+    # a pair with several values meets more than once
+    rows = rows.repartition("query_id").dropDuplicates(["query_id", "patient_id", "position"])
+    decided_ = _households(rows.withColumn("rule", F.element_at(_table(rules, len(RULES)), F.col("position") - len(RULES) + 1)))
+    code = F.col("position") * 2 + (F.col("match_type") == "fuzzy").cast("int")
+    return decided_.where("not negated_by_suffix").select("query_id", "patient_id", code.alias("code"), "excluded")
 
 
 def audit(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RULES) -> DataFrame:
@@ -288,20 +349,23 @@ def evaluable(queries: DataFrame, rules: tuple[Rule, ...] = RULES + HOUSEHOLD_RU
 
 def match(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES, household_rules: tuple[Rule, ...] = HOUSEHOLD_RULES) -> DataFrame:
     """One row for each query: ``query_id, outcome, n_matches, matches, confidence``; a match is (patient_id, rule_id, match_type) of the first rule that holds."""
-    both = pairs(queries, pool, rules + household_rules)
-    columns = ["query_id", "patient_id", "rule_id", "position", "match_type", "negated_by_suffix", "excluded"]
-    parts = [evaluate_flat(both, rules).withColumn("excluded", F.lit(False)).select(*columns)] if rules else []
-    parts += [evaluate_households(both, household_rules).select(*columns)] if household_rules else []
+    q = _packed(queries)
+    c = q if pool is queries else _packed(pool)
+    parts = [_found(q, c, rules)] if rules else []
+    parts += [_found_in_households(q, c, household_rules)] if household_rules else []
     if not parts:
         raise ValueError("no rules to match by")
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    lost = found.groupBy("query_id", "patient_id").agg(F.min_by(F.struct("rule_id", "match_type"), F.when(~F.col("negated_by_suffix"), F.col("position"))).alias("m"), F.max("excluded").alias("excluded"), F.max((~F.col("negated_by_suffix")).cast("int")).alias("ok"))
-    own = lost.where("ok = 1 and not excluded").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("patient_id", "m.rule_id", "m.match_type"))).alias("matches"))
+    # all of a query in one task, for both groupings
+    each = found.repartition("query_id").groupBy("query_id", "patient_id").agg(F.min("code").alias("code"), F.max("excluded").alias("excluded")).where("not excluded")
+    at = {i: r.rule_id for i, r in enumerate(rules)} | {len(RULES) + i: r.rule_id for i, r in enumerate(household_rules)}
+    rule_ids = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])
+    m = F.struct("patient_id", F.element_at(rule_ids, F.shiftright("code", 1)).alias("rule_id"), F.when(F.col("code") % 2 == 1, "fuzzy").otherwise("exact").alias("match_type"))
+    own = each.groupBy("query_id").agg(F.count("*").cast("int").alias("n"), F.min(m).alias("first"), F.array_sort(F.collect_list(m)).alias("matches"))
     p = {r.rule_id: (p_collision(r.household + r.fields), p_collision(r.household + r.fields, r.loose)) for r in rules + household_rules}
     chance = F.create_map(*[x for k, v in p.items() for x in (F.lit(k), F.array(F.lit(v[0]), F.lit(v[1])))])
-    n = F.coalesce(F.size("matches"), F.lit(0))
-    first = F.try_element_at("matches", F.lit(1))
-    out = evaluable(queries, rules + household_rules).join(own, "query_id", "left").withColumn("n_matches", n)
+    first = F.col("first")
+    out = evaluable(q, rules + household_rules).join(own, "query_id", "left").withColumn("n_matches", F.coalesce("n", F.lit(0)))
     outcome = F.when(~F.col("evaluable"), "insufficient_fields").when(F.col("n_matches") == 0, "no_match").when(F.col("n_matches") == 1, "match").when(F.col("n_matches") == 2, "escalate").otherwise("ambiguous")
     risk = F.element_at(F.element_at(chance, first["rule_id"]), F.when(first["match_type"] == "fuzzy", 2).otherwise(1))
     return out.select("query_id", outcome.alias("outcome"), "n_matches", F.coalesce("matches", F.array().cast("array<struct<patient_id:string,rule_id:string,match_type:string>>")).alias("matches"), F.when(F.col("n_matches") == 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - risk))).alias("confidence"))
@@ -310,7 +374,8 @@ def match(queries: DataFrame, pool: DataFrame, rules: tuple[Rule, ...] = RULES,
 def service(records: DataFrame, pool: DataFrame, as_of: str, skip_normalization: bool = False, rules: tuple[Rule, ...] = RULES, household_rules: tuple[Rule, ...] = HOUSEHOLD_RULES) -> tuple[DataFrame, DataFrame]:
     """Nested patient records against a pool of records: responses, as of ``match``, and the audit."""
     clean = (lambda df: df) if skip_normalization else (lambda df: normalized(df, as_of))
-    q, c = extracted(clean(records)), extracted(clean(pool))
+    q = extracted(clean(records))
+    c = q if pool is records else extracted(clean(pool))
     return match(q, c, rules, household_rules), audit(q, c, rules + household_rules)
 
 

@@ -82,5 +82,7 @@ FROM (SELECT c_custkey AS k FROM customer) c
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records, one for each customer."""
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    # a record is made of a few bytes, but takes long: keys are dealt to all tasks first
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").repartition(spread, "c_custkey").createOrReplaceTempView("customer")
     return spark.sql(PATIENTS)

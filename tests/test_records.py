@@ -128,6 +128,23 @@ def test_decided_as_by_masks(spark, rules):
     assert want and len(got) == len(set(got)) and set(got) == want
 
 
+def test_match_as_by_masks(spark):
+    """Matches by keys are those by comparing all of the wider candidates, twins and several dates of birth included; people are never joined as a whole."""
+    crowd = _crowd(spark, 90)
+    both = matching.pairs(crowd, crowd)
+    found, lost = {}, set()
+    for r in [*matching.evaluate_flat(both).collect(), *matching.evaluate_households(both).collect()]:
+        if not r.negated_by_suffix:
+            found.setdefault((r.query_id, r.patient_id), []).append((r.position, r.rule_id, r.match_type))
+            lost |= {(r.query_id, r.patient_id)} if "excluded" in r and r.excluded else set()
+    want = {(*pair, *min(rows)[1:]) for pair, rows in found.items() if pair not in lost}
+    out = matching.match(crowd, crowd)
+    rows = out.collect()
+    assert {(r.query_id, m.patient_id, m.rule_id, m.match_type) for r in rows for m in r.matches} == want and any(r.n_matches > 2 for r in rows)
+    assert len(rows) == 90 and all(r.n_matches == len(r.matches) for r in rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3  # flat rules, households, all queries
+
+
 def test_crowds_without_pairs(spark):
     """People who share two fields of a rule, but not its date of birth, are not joined."""
     empty = {f: F.array().cast("array<string>") for f in people.FIELDS}
