@@ -8,9 +8,10 @@ meets all of their vectors.  A table hashes a vector by POLYTOPES fast pseudo-ro
 sequence of these axes is its bucket, so a table has (2 * width) ** POLYTOPES.  A query probes, in each of
 TABLES tables, the buckets nearest to it - those whose axes are least behind the
 nearest ones, in squares - and all vectors found are reranked by their exact
-inner product.  The fewer vectors a band has, the farther its neighbours are and the more
-buckets are probed (``probes``): so set, recall of the 20 nearest of random directions stays
-above 0.9 from FEW vectors on, while the share of candidates falls.
+inner product.  A query probes PROBES buckets of a table, however many vectors there are: what
+it finds in a table it finds in any larger one too.  The fewer vectors a band has, the farther its
+neighbours are, so PROBES is set by the smallest bands that have tables: recall of the 20 nearest
+of random directions is above 0.9 from FEW vectors on, and higher in larger bands.
 
 Layout: buckets are dealt by a hash of all their axes but the last into groups sized to the data; a
 vector goes once to each group that holds one of its buckets, a query to each that holds a bucket it
@@ -41,8 +42,8 @@ from .vectors import QUERIES, best, matrix, usable
 
 TABLES, POLYTOPES, PART, SLICE = 24, 2, 8192, 16_384
 STEP, FEW = 1.1, 256
-#: Buckets probed in a table of SIZE vectors, and the power by which they become fewer in larger ones.
-PROBES, SIZE, POWER = 62, 51_200, 0.33
+#: Buckets probed in a table, at any size.
+PROBES = 362
 #: The bucket of all bands with fewer than FEW vectors.
 SCANNED = -1
 #: Pairs scored at once, and bucket entries of a group.
@@ -52,11 +53,6 @@ HASHED = "vec_id bigint, e array<double>, buckets array<bigint>"
 SENT = "b bigint, vec_id bigint, e binary, buckets binary"
 
 
-def probes(n: int) -> int:
-    """How many buckets of each table a query probes in a band of n vectors."""
-    return max(1, round(PROBES * (SIZE / max(n, 1)) ** POWER))
-
-
 def rotated(x: np.ndarray, table: int) -> np.ndarray:
     """Pseudo-rotation of rows whose width is a power of two."""
     n, width = x.shape
@@ -249,7 +245,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     hot_parts = np.array([many[c] for c in hot.tolist()], np.int64)
     n, asks = sum(counts.values()), queries.count()
     groups, slices, scanned_parts = max(TABLES, -(-n * TABLES // ENTRIES)), -(-max(asks, 1) // SLICE), many.get(SCANNED, 1)
-    scans, tries = len(large) < len(counts), [(first[b], probes(counts[b])) for b in large]
+    scans, tries = len(large) < len(counts), [(first[b], PROBES) for b in large]
 
     def parts_of(coarse: np.ndarray) -> np.ndarray:
         if not len(hot):

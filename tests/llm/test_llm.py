@@ -289,6 +289,22 @@ def test_nearest_of_unequal_lengths(spark):
     assert sum(len(set(b) & got[20 * i]) for i, b in enumerate(best)) / (20 * len(best)) >= 0.9
 
 
+def test_ann_finds_the_same_in_larger_tables(spark):
+    """A pair found in a table is found in a larger one, if it is still among the nearest."""
+    x = np.random.default_rng(5).normal(size=(4000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    found = []
+    for n in (1000, 4000):
+        rows = ann_search.nearest_query(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "vec_id bigint, embedding array<double>")).where("query_id < 1000").collect()
+        found.append({(r.query_id, r.vec_id): r.score for r in rows})
+    last = {}
+    for (q, _), score in found[1].items():
+        last[q] = min(score, last.get(q, score))
+    still = {pair for pair, score in found[0].items() if score > last[pair[0]]}
+    assert len(still) > 100 and still <= set(found[1])
+
+
+
 def test_license_scan(spark, empty):
     rows = [(1, "Licensed under the Apache Licence, Version 2.0."), (2, "ALL RIGHTS RESERVED. CC-BY, cc by"), (3, None), (4, ""), (5, "x" * 90_000 + " all rights reserved"), (6, "a General  Public, LICENSE and the general public licensee")]
     got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
