@@ -24,6 +24,10 @@ longer ones only where shorter ones were found.  Where the shared folder is not
 mounted as a file system the arrays are read through its own file system instead.
 A missing array is an error.
 
+Memory: a scan task puts the tokens it has gathered in the order of their buckets, as
+32-bit places in its words; hashes, sums and lookups are then made for a few buckets,
+about PIECE n-grams, at a time.
+
 Retries: each array is written under a temporary name and renamed, with the same
 content each time.  The arrays stay in the shared folder until ``Model.drop``, since
 scores are computed when they are asked for.
@@ -56,6 +60,8 @@ ORDER = 3
 END, BEGIN, WORD = U(0x0123456789AB), U(0xFEDCBA987654), U((1 << 48) - 1)
 #: Tokens that a scan task gathers before it counts or scores them.
 FLUSH = 1_000_000
+#: N-grams of those tokens that are hashed, summed or looked up at once.
+PIECE = 1 << 17
 #: One document in so many is sampled to find frequent words and pairs.
 SAMPLE = 64
 #: level n >= 2: n-grams (words: a dictionary, x: n columns of places in it, c: counts, over: those above 254); 1: words (words, c: how many different ones precede each, then how often each occurs, over); 0: facts (words: names, x: five numbers each); -2: contexts (words, c: four numbers each, over); -3: frequent pairs (words: first and last word of each, c, over)
@@ -180,8 +186,8 @@ def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(n + rows, bool)
     inside[ends] = False
     w[inside] = words.hashes() & WORD
-    place = np.arange(n + rows) - np.repeat(ends - words.count, words.count + 1)
-    return w, place, np.repeat(np.arange(rows), words.count + 1)
+    place = np.arange(n + rows, dtype=np.int32) - np.repeat((ends - words.count).astype(np.int32), words.count + 1)
+    return w, place, np.repeat(np.arange(rows, dtype=np.int32), words.count + 1)
 
 
 def _before(w: np.ndarray, place: np.ndarray, back: int, begin) -> np.ndarray:
@@ -233,11 +239,37 @@ class Layout:
         return (key >> U(8)) % U(self.count)
 
 
+def _bucket_of(at: Layout, words: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """The buckets of n-grams whose columns are places in ``words``."""
+    out = np.empty(len(columns[0]), np.uint16 if at.count < 65536 else np.uint32)
+    for a in range(0, len(out), PIECE):
+        out[a : a + PIECE] = at.bucket([words[x[a : a + PIECE]] for x in columns])
+    return out
+
+
+def _pieces(bucket: np.ndarray, count: int):
+    """Places of entries by bucket, so many whole buckets at a time that they hold about PIECE of them."""
+    order, begin = by_bucket(bucket, count)
+    b = 0
+    while b < count:
+        to = max(b + 1, int(np.searchsorted(begin, begin[b] + PIECE, "right")) - 1)
+        if begin[to] > begin[b]:
+            yield order[begin[b] : begin[to]]
+        b = to
+
+
+def _begins(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.ones(len(sorted_keys), bool)
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _summed(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of one of each key, in the order of keys, and the sum of its counts."""
     order = np.argsort(key)
-    begin, _ = runs(key[order])
-    return order[begin[:-1]], np.add.reduceat(c[order], begin[:-1]) if len(key) else c
+    begin = _begins(key[order])
+    return order[begin], np.add.reduceat(c[order], begin) if len(key) else c
 
 
 # ---------------------------------------------------------------- counting
@@ -286,28 +318,32 @@ def _count(at: Layout, n: int):
         w, place = (np.concatenate(x) for x in zip(*kept))
         kept.clear()
         words, ids = np.unique(w, return_inverse=True)
-        out, words = _new(), np.append(words, BEGIN)
+        del w
+        ids, words = ids.astype(np.uint32), np.append(words, BEGIN)
         columns = [_before(ids, place, k, len(words) - 1) for k in range(n - 1, 0, -1)] + [ids]
+        local = np.zeros(len(words), np.uint32)
         for k in range(2, n + 1):  # shorter ones at the beginning of a text only
             chosen = np.flatnonzero(place >= n - 2 if k == n else place == k - 2)
             if not len(chosen):
                 continue
-            own = [x[chosen] for x in columns[n - k :]]
-            one, c = _summed(_sequence([words[x] for x in own]), np.ones(len(chosen), np.int64))
-            own = [x[one] for x in own]
-            bucket = at.bucket([words[x] for x in own]).astype(np.int64)
-            order = np.argsort(bucket * len(words) + own[-2], kind="stable")  # equal words together compress well
-            begin, own, c = np.searchsorted(bucket[order], np.arange(at.count + 1)), [x[order] for x in own], c[order]
-            local = np.zeros(len(words), np.uint32)
-            for b in np.flatnonzero(np.diff(begin)):
-                part = slice(begin[b], begin[b + 1])
-                times = np.bincount(np.concatenate([x[part] for x in own]), minlength=len(words))
-                some = np.flatnonzero(times)
-                some = some[np.argsort(-np.log2(times[some]).astype(np.int64), kind="stable")]  # frequent ones first, so that places are small numbers; each kind in the order of hashes
-                local[some] = np.arange(len(some))
-                kind = np.uint16 if len(some) < 65536 else np.uint32
-                _put(out, b, k, _squeezed(words[some], 6), _squeezed(np.concatenate([local[x[part]] for x in own]).astype(kind), kind().itemsize), c[part])
-        return out
+            some = [x[chosen] for x in columns[n - k :]]
+            del chosen
+            all_buckets = _bucket_of(at, words, some)
+            for piece in _pieces(all_buckets, at.count):
+                out, own = _new(), [x[piece] for x in some]
+                one, c = _summed(_sequence([words[x] for x in own]), np.ones(len(piece), np.int64))
+                own, bucket = [x[one] for x in own], all_buckets[piece[one]].astype(np.int64)
+                order = np.argsort(bucket * len(words) + own[-2], kind="stable")  # equal words together compress well
+                begin, own, c = np.searchsorted(bucket[order], np.arange(at.count + 1)), [x[order] for x in own], c[order]
+                for b in np.flatnonzero(np.diff(begin)):
+                    part = slice(begin[b], begin[b + 1])
+                    times = np.bincount(np.concatenate([x[part] for x in own]), minlength=len(words))
+                    used = np.flatnonzero(times)
+                    used = used[np.argsort(-np.log2(times[used]).astype(np.int64), kind="stable")]  # frequent ones first, so that places are small numbers; each kind in the order of hashes
+                    local[used] = np.arange(len(used))
+                    kind = np.uint16 if len(used) < 65536 else np.uint32
+                    _put(out, b, k, _squeezed(words[used], 6), _squeezed(np.concatenate([local[x[part]] for x in own]).astype(kind), kind().itemsize), c[part])
+                yield out
 
     def run(parts):
         kept, size = [], 0
@@ -316,10 +352,10 @@ def _count(at: Layout, n: int):
             kept.append((w, place))
             size += len(w)
             if size > FLUSH:
-                yield flush(kept)
+                yield from flush(kept)
                 size = 0
         if kept:
-            yield flush(kept)
+            yield from flush(kept)
 
     return run
 
@@ -349,11 +385,14 @@ def _merge(folder: str, at: Layout, n: int):
         one, occurs = _summed(last, np.concatenate([p[1] for parts in given.values() for p in parts] or [np.zeros(0, np.int64)]))
         last = last[one]
         for k in range(n, 1, -1):
-            parts = given.pop(k) + ([above] if above else [])
-            columns = [np.concatenate([p[0][i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(k)]
+            parts, above = given.pop(k) + ([above] if above else []), None
             c = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+            columns = [np.concatenate([p[0].pop(0) for p in parts]) if parts else np.zeros(0, np.uint64) for _ in range(k)]  # each part goes when it is copied
+            del parts
             one, c = _summed(_sequence(columns), c)
-            columns = [x[one] for x in columns]
+            for i in range(k):
+                columns[i] = columns[i][one]
+            del one
             if k == 2:
                 often = at.frequent(*columns)
                 if often.any():
@@ -363,22 +402,25 @@ def _merge(folder: str, at: Layout, n: int):
                         own = order[begin[to] : begin[to + 1]]
                         _put(out, to, -3, both[own].tobytes(), c=some[own])
                     columns, c = [x[~often] for x in columns], c[~often]
-            key = _sequence(columns)
-            _save_map(folder, f"gram-{k}-{b}", key, c)
+            _save_map(folder, f"gram-{k}-{b}", _sequence(columns), c)
             facts.append([float(k), 0.0, *(int((c == i).sum()) for i in (1, 2, 3, 4))])
             context = _sequence(columns[:-1])
             order = np.argsort(context)
-            begin, r = runs(context[order])
-            first = order[begin[:-1]]
-            each = np.stack([np.bincount(r, weights=x[order], minlength=len(first)) for x in (c, *_classes(c))], 1).astype(np.int64).reshape(-1, 4)
+            begin = _begins(context[order])
+            first, sorted_c = order[begin], c[order]
+            context = context[first]
+            del order
+            each = np.zeros((len(first), 4), np.int64)
+            for i, x in enumerate((sorted_c, *_classes(sorted_c)) if len(first) else ()):
+                each[:, i] = np.add.reduceat(x, begin, dtype=np.int64)
             hot = np.isin(columns[-2][first], at.hot)
-            _save_map(folder, f"context-{k}-{b}", context[first][~hot], each[~hot])
+            _save_map(folder, f"context-{k}-{b}", context[~hot], each[~hot])
             if k == 2:
                 facts += [[-2.0, int(v.view(np.int64)), *map(float, x)] for v, x in zip(columns[0][first[hot]], each[hot])]
                 types = np.bincount(np.searchsorted(last, columns[1]), minlength=len(last))
                 _put_words(out, at, last, types, occurs)
             elif hot.any():
-                keys, stats = context[first][hot], each[hot]
+                keys, stats = context[hot], each[hot]
                 order, begin = by_bucket(at.context_bucket(keys).astype(np.int64), at.count)
                 for to in np.flatnonzero(np.diff(begin)):
                     own = order[begin[to] : begin[to + 1]]
@@ -557,46 +599,53 @@ def _gather(m: Model, bucket: np.ndarray, there: set, name: str, keys: np.ndarra
 
 def _look_up(m: Model, w: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each token its count in training and its probability after the words before it."""
-    words, word_of = np.unique(w, return_inverse=True)
+    words, ids = np.unique(w, return_inverse=True)
+    ids = ids.astype(np.uint32)
     facts = _gather(m, m.at.word_bucket(words), m.second, "word", _first(words), 2)
     types, d = facts[:, 1], m.discount[1]
     if m.types:
         low = (types - d[np.minimum(types, 3)]) / m.types + m.left / m.types / (m.v + 1)
     else:
         low = np.full(len(words), 1.0 / (m.v + 1))
-    p, found = low[word_of], (types > 0)[word_of]
-    columns = [_before(w, place, k, BEGIN) for k in range(m.order - 1, 0, -1)] + [w]
+    p, found, words = low[ids], (types > 0)[ids], np.append(words, BEGIN)
     for k in range(2, m.order + 1):
         who = np.flatnonzero(place >= k - 2)
-        own = [x[who] for x in columns[m.order - k :]]
-        context = _sequence(own[:-1])
-        keys, one, of = np.unique(context, return_index=True, return_inverse=True)
-        v = own[-2][one]
-        stats, hot = np.zeros((len(keys), 4)), np.isin(v, m.at.hot)
-        cool = np.flatnonzero(~hot)
-        stats[cool] = _gather(m, (mix(v[cool]) >> U(8)) % U(m.at.count), m.first, f"context-{k}", keys[cool], 4)
-        warm = np.flatnonzero(hot)
-        if k == 2 and len(m.hot_v):
-            place_of = np.minimum(np.searchsorted(m.hot_v, v[warm]), len(m.hot_v) - 1)
-            known = m.hot_v[place_of] == v[warm]
-            stats[warm[known]] = m.hot_n[place_of[known]]
-        elif k > 2:
-            stats[warm] = _gather(m, m.at.context_bucket(keys[warm]), m.second, "contexts", keys[warm], 4)
-        total, d = stats[:, 0], m.discount[k]
-        back = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
-        c = np.zeros(len(who), np.int64)
-        ask = np.flatnonzero((total[of] > 0) & found[who])
-        grams, one, gram_of = np.unique(_longer(context[ask], own[-1][ask]), return_index=True, return_inverse=True)
-        some = [x[ask][one] for x in own]
-        made = np.zeros(len(grams), np.int64)
-        often = m.at.frequent(*some[-2:]) if k == 2 else np.zeros(len(grams), bool)
-        usual, rare = np.flatnonzero(~often), np.flatnonzero(often)
-        made[usual] = _gather(m, m.at.bucket([x[usual] for x in some]), m.first, f"gram-{k}", grams[usual])[:, 0]
-        made[rare] = _gather(m, m.at.word_bucket(some[-1][rare]), m.second, "pairs", grams[rare])[:, 0]
-        c[ask] = made[gram_of]
-        p[who] = (c - d[np.minimum(c, 3)]) / np.maximum(total[of], 1) * (total[of] > 0) + back[of] * p[who]
-        found[who] = c > 0
-    return facts[word_of, 0], p
+        columns = [_before(ids, place, i, len(words) - 1)[who] for i in range(k - 1, 0, -1)] + [ids[who]]
+        for piece in _pieces(_bucket_of(m.at, words, columns), m.at.count):
+            at = who[piece]
+            p[at], found[at] = _longer_by_one(m, [words[x[piece]] for x in columns], p[at], found[at])
+    return facts[ids, 0], p
+
+
+def _longer_by_one(m: Model, own: list[np.ndarray], p: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities with one more word before, from those without it; and whether the longer n-grams were found."""
+    k = len(own)
+    context = _sequence(own[:-1])
+    keys, one, of = np.unique(context, return_index=True, return_inverse=True)
+    v = own[-2][one]
+    stats, hot = np.zeros((len(keys), 4)), np.isin(v, m.at.hot)
+    cool = np.flatnonzero(~hot)
+    stats[cool] = _gather(m, (mix(v[cool]) >> U(8)) % U(m.at.count), m.first, f"context-{k}", keys[cool], 4)
+    warm = np.flatnonzero(hot)
+    if k == 2 and len(m.hot_v):
+        place_of = np.minimum(np.searchsorted(m.hot_v, v[warm]), len(m.hot_v) - 1)
+        known = m.hot_v[place_of] == v[warm]
+        stats[warm[known]] = m.hot_n[place_of[known]]
+    elif k > 2:
+        stats[warm] = _gather(m, m.at.context_bucket(keys[warm]), m.second, "contexts", keys[warm], 4)
+    total, d = stats[:, 0], m.discount[k]
+    back = np.where(total > 0, (stats[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)
+    c = np.zeros(len(p), np.int64)
+    ask = np.flatnonzero((total[of] > 0) & found)
+    grams, one, gram_of = np.unique(_longer(context[ask], own[-1][ask]), return_index=True, return_inverse=True)
+    some = [x[ask][one] for x in own]
+    made = np.zeros(len(grams), np.int64)
+    often = m.at.frequent(*some[-2:]) if k == 2 else np.zeros(len(grams), bool)
+    usual, rare = np.flatnonzero(~often), np.flatnonzero(often)
+    made[usual] = _gather(m, m.at.bucket([x[usual] for x in some]), m.first, f"gram-{k}", grams[usual])[:, 0]
+    made[rare] = _gather(m, m.at.word_bucket(some[-1][rare]), m.second, "pairs", grams[rare])[:, 0]
+    c[ask] = made[gram_of]
+    return (c - d[np.minimum(c, 3)]) / np.maximum(total[of], 1) * (total[of] > 0) + back[of] * p, c > 0
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
@@ -608,15 +657,17 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
 
     def flush(kept):
         m = sent.value
-        w, place, row = (np.concatenate(x) for x in (zip(*[k[:3] for k in kept])))
-        rows = sum(k[3] for k in kept)
+        *tokens, rows, doc_id, held_out = zip(*kept)
+        kept.clear()
+        rows = sum(rows)
+        w, place, row = (np.concatenate(tokens.pop(0)) for _ in range(3))
         c, p = _look_up(m, w, place)
         n = np.bincount(row, minlength=rows)
         s = np.bincount(row, weights=np.log10(p), minlength=rows)
         base = np.bincount(row, weights=np.log10((c + 1) / (m.n + m.v + 1)), minlength=rows)
         return {
-            "doc_id": pa.concat_arrays([k[4] for k in kept]),
-            "held_out": pa.concat_arrays([k[5] for k in kept]),
+            "doc_id": pa.concat_arrays(doc_id),
+            "held_out": pa.concat_arrays(held_out),
             "n_tokens": n,
             "n_known": np.bincount(row, weights=c > 0, minlength=rows).astype(np.int64),
             "train_tokens": np.full(rows, m.n, np.int64),
@@ -633,7 +684,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
             size, rows = size + len(w), rows + part.num_rows
             if size > FLUSH:
                 yield flush(kept)
-                kept, size, rows = [], 0, 0
+                size, rows = 0, 0
         if kept:
             yield flush(kept)
 

@@ -3,11 +3,14 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from matchloom.llm import ann_search, language_id, license_scan, lm_scoring, mixing, ngram_join, secret_scan, sentencepiece_codec, substring_dedup, topk_search
 from matchloom.llm.shared import components
@@ -211,6 +214,50 @@ def test_lm_scoring(docs, empty, spark, order, monkeypatch):
     assert lm_scoring.lm_query(empty, order).count() == 0
 
 
+def test_lm_scoring_memory(tmp_path, monkeypatch):
+    """Of the arrays that counting, merging and scoring hold at once, only a few are as long as all tokens gathered."""
+    monkeypatch.setattr(lm_scoring, "FLUSH", 200_000)
+    monkeypatch.setattr(lm_scoring, "PIECE", 1 << 14, raising=False)
+    rng = random.Random(5)
+    lines = [" ".join(f"w{int(20_000 * rng.random() ** 3)}" for _ in range(500)) for _ in range(800)]
+    part = pa.RecordBatch.from_pydict({"text": lines})
+    schema = pa.schema([("b", pa.int32()), ("level", pa.int32()), *((k, pa.binary()) for k in ("words", "x", "c", "over"))])
+    at = lm_scoring.Layout(16, np.array([lm_scoring.BEGIN], np.uint64), np.zeros(0, np.uint64))
+    peaks, sent = {}, []
+
+    def measured(name, f):
+        tracemalloc.start()
+        kept = f()
+        peaks[name] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return kept
+
+    def table(made, b):
+        rows = [i for i, x in enumerate(made["b"]) if x == b]
+        return pa.table({k.name: pa.array([made[k.name][i] for i in rows], k.type) for k in schema})
+
+    def count():
+        for made in lm_scoring._count(at, 3)(part.slice(i, 80) for i in range(0, 800, 80)):
+            sent.append([table(made, b) for b in range(16)])
+
+    measured("count", count)
+    count_rows = [pa.concat_tables([x[b] for x in sent]) for b in range(16)]
+    words = lm_scoring._new()
+    for b, t in enumerate(count_rows):
+        made = measured(f"merge {b}", lambda t=t: lm_scoring._merge(str(tmp_path), at, 3)(t))
+        for k in words:
+            words[k] += made[k]
+    found = []
+    for b in range(16):
+        made = lm_scoring._merge_words(str(tmp_path), at)(table(words, b))
+        found += [Row(**dict(zip(made, x))) for x in zip(*made.values())]
+    m = lm_scoring.Model(str(tmp_path), at, 3, found)
+    w, place, _ = lm_scoring._tokens(part.slice(0, 400))
+    measured("score", lambda: lm_scoring._look_up(m, w, place))
+    per_gram = max(peaks[f"merge {b}"] for b in range(16)) / (800 * 501 / 16)
+    assert peaks["count"] / 200_000 < 110 and peaks["score"] / len(w) < 110 and per_gram < 265  # bytes for each token
+
+
 def vectors(spark, n=300, width=24):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=width) / width**0.5], "x") for i in range(n)]
