@@ -19,7 +19,9 @@ probes, each with its list of buckets there.  A group thus meets a vector once,
 tables finds it, and returns a query's k best.  Buckets that share these axes
 and hold over PART vectors are dealt by a hash of the vector's id into parts, so
 one that a third of all vectors share is many tasks; no bucket is capped and every vector is
-indexed.  Vectors without tables meet slices of SLICE queries.  Pairs are scored in blocks.  Sizes of
+indexed.  Vectors without tables meet slices of SLICE queries.  Buckets of ASKED queries are sought by one task.
+Pairs are scored in matrix products, and of a query's pairs only those are sorted that are not below
+the kth score it has so far, so sorting follows the number of queries and not that of pairs.  Sizes of
 bands, and of what holds over PART vectors, are the only thing that reaches the driver.
 
 Recall and shares of candidates against brute force are in the README and in the tests.
@@ -37,34 +39,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import Scratch, U, cogrouped, mix
+from .shared import Scratch, U, cogrouped, mix, runs
 from .vectors import QUERIES, best, matrix, usable
 
-TABLES, POLYTOPES, PART, SLICE = 24, 2, 8192, 16_384
+TABLES, POLYTOPES, PART, SLICE, ASKED = 24, 2, 8192, 16_384, 512
 STEP, FEW = 1.1, 256
 #: Buckets probed in a table, at any size.
 PROBES = 362
 #: The bucket of all bands with fewer than FEW vectors.
 SCANNED = -1
-#: Pairs scored at once, and bucket entries of a group.
-PAIRS, ENTRIES = 1 << 16, 150_000
+#: Pairs kept until the first cut at least, pairs of a bucket from which on it is scored alone, and bucket entries of a group.
+PAIRS, DENSE, ENTRIES = 1 << 16, 2048, 150_000
 FOUND = "query_id bigint, vec_id bigint, score double"
 HASHED = "vec_id bigint, e array<double>, buckets array<bigint>"
 SENT = "b bigint, vec_id bigint, e binary, buckets binary"
 
 
 def rotated(x: np.ndarray, table: int) -> np.ndarray:
-    """Pseudo-rotation of rows whose width is a power of two."""
+    """Pseudo-rotation of rows whose width is a power of two; a few at a time, as columns, so that they stay in the cache."""
     n, width = x.shape
     signs = np.random.default_rng(table).choice(np.array([-1.0, 1.0]), (3, width))
-    for s in signs:
-        x, h = x * s, 1
-        while h < width:
-            x = x.reshape(n, -1, 2, h)
-            x = np.concatenate([x[:, :, :1] + x[:, :, 1:], x[:, :, :1] - x[:, :, 1:]], 2).reshape(n, width)
-            h *= 2
-        x = x / np.sqrt(width)
-    return x
+    out, step = np.empty((n, width)), max(1, 32_768 // width)
+    for at in range(0, n, step):
+        part = np.ascontiguousarray(x[at : at + step].T)
+        for s in signs:
+            part, h = part * s[:, None], 1
+            while h < width:
+                part = part.reshape(-1, 2, h, part.shape[-1])
+                both = np.empty_like(part)
+                np.add(part[:, 0], part[:, 1], out=both[:, 0])
+                np.subtract(part[:, 0], part[:, 1], out=both[:, 1])
+                part = both.reshape(width, -1)
+                h *= 2
+            part /= np.sqrt(width)
+        out[at : at + step] = part.T
+    return out
 
 
 def _wide(x: np.ndarray, width: int) -> np.ndarray:
@@ -74,10 +83,16 @@ def _wide(x: np.ndarray, width: int) -> np.ndarray:
     return out / np.sqrt((out * out).sum(1))[:, None]
 
 
-def _length(e):
-    """Natural logarithm of a vector's length, of any finite size."""
-    top = F.array_max(F.transform(e, F.abs))
-    return F.log(top) + F.log(F.aggregate(e, F.lit(0.0), lambda a, x: a + (x / top) * (x / top))) / 2
+def _measured(batches):
+    """Vectors with the natural logarithm of their length, of any finite size."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        x = matrix(t, int(np.diff(t["e"].combine_chunks().offsets.to_numpy()).max()))
+        top = np.abs(x).max(1)
+        length = np.log(top) + np.log(((x / top[:, None]) ** 2).sum(1)) / 2
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("e"), pa.array(length)], names=["vec_id", "e", "length"])
 
 
 def _axes(x: np.ndarray, table: int, k: int) -> np.ndarray:
@@ -96,14 +111,19 @@ def _own(x: np.ndarray, table: int) -> np.ndarray:
 
 
 def _nearest_buckets(x: np.ndarray, table: int, count: int) -> np.ndarray:
-    """The ``count`` buckets nearest to each vector: the best of all sums follow from the best of partial sums."""
+    """The ``count`` buckets nearest to each vector: the best of all sums follow from the best of partial sums.
+
+    Of two sorted lists the ith and the jth make a sum that i * j - 1 others do not exceed, so only those with i * j up to ``count`` are made.
+    """
     name, behind = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
     for k in range(POLYTOPES):
         both = _axes(x, table, k)
         width = both.shape[1]
         more = (both.max(1, keepdims=True) - both) ** 2
-        behind = (behind[:, :, None] + more[:, None, :]).reshape(len(x), -1)
-        name = (name[:, :, None] * width + np.arange(width)).reshape(len(x), -1)
+        axis, order = np.argsort(more, axis=1), np.argsort(behind, axis=1)
+        more, behind, name = np.take_along_axis(more, axis, 1), np.take_along_axis(behind, order, 1), np.take_along_axis(name, order, 1)
+        i, j = np.nonzero(np.arange(1, behind.shape[1] + 1)[:, None] * np.arange(1, width + 1) <= count)
+        behind, name = behind[:, i] + more[:, j], name[:, i] * width + axis[:, j]
         if behind.shape[1] > count:
             some = np.argpartition(behind, count - 1, axis=1)[:, :count]
             behind, name = np.take_along_axis(behind, some, 1), np.take_along_axis(name, some, 1)
@@ -134,7 +154,8 @@ def _group(coarse: np.ndarray, part: np.ndarray, groups: int) -> np.ndarray:
 
 def _rows(group: np.ndarray, row: np.ndarray, name: np.ndarray, ids: np.ndarray, x: np.ndarray):
     """Entries (group, row, bucket) as one record for each group and row, vectors as binary."""
-    order = np.lexsort((name, row, group))
+    key = group * len(ids) + row
+    order = np.argsort(key.astype(np.min_scalar_type(int(key.max(initial=0)))), kind="stable")
     group, row, name = group[order], row[order], name[order]
     new = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (row[1:] != row[:-1])))) if len(group) else np.zeros(0, np.int64)
     for at in range(0, len(new), 4096):
@@ -159,56 +180,119 @@ def _exact(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.cumsum(y * x, axis=1)[:, -1]
 
 
+def _rounding(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each query, what a matrix product may be off by: all within it of the kth are compared by their exact scores."""
+    return 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((y * y).sum(1)) * np.sqrt((x * x).sum(1).max())
+
+
+def _values(y: np.ndarray, query: np.ndarray, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Exact scores of pairs."""
+    step = max(1, (1 << 20) // x.shape[1])
+    return np.concatenate([np.zeros(0), *(_exact(y[query[at : at + step]], x[row[at : at + step]]) for at in range(0, len(query), step))])
+
+
 def _top(own: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of queries and rows, and exact scores, of each query's k best rows, ties to smaller ids; ids are distinct."""
     score = y @ x.T
     score[own[:, None] == ids[None, :]] = -np.inf
     kth = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(y), -np.inf)
-    # a matrix product is off by its rounding: all within it of the kth are compared by their exact scores
-    off = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((y * y).sum(1)) * np.sqrt((x * x).sum(1).max())
-    query, row = np.nonzero((score >= (kth - off)[:, None]) & (score > -np.inf))
-    value = np.empty(len(query))
-    for at in range(0, len(query), 1 << 16):
-        some = slice(at, at + (1 << 16))
-        value[some] = _exact(y[query[some]], x[row[some]])
+    query, row = np.nonzero((score >= (kth - _rounding(y, x))[:, None]) & (score > -np.inf))
+    value = _values(y, query, x, row)
     keep = best(query, ids[row], value, k)
     return query[keep], row[keep], value[keep]
 
 
-def _matched(own: np.ndarray, y: np.ndarray, asked: tuple, ids: np.ndarray, x: np.ndarray, filed: tuple, k: int):
-    """Ids of queries and rows, and exact scores, of the k best of each query among the rows in its buckets; asked and filed: (bucket, place) sorted by bucket."""
-    low = np.searchsorted(filed[0], asked[0])
-    many = np.searchsorted(filed[0], asked[0], "right") - low
-    order = np.argsort(asked[1], kind="stable")
-    low, many, query = low[order], many[order], asked[1][order]
-    begin = np.searchsorted(query, np.arange(len(own) + 1))
-    total = np.concatenate(([0], np.cumsum(many)))[begin]
-    at = 0
-    while at < len(own):  # queries whose pairs fill a block
-        to = max(at + 1, int(np.searchsorted(total, total[at] + 16 * PAIRS, "right")) - 1)
-        part = slice(begin[at], begin[to])
-        m, end = many[part], np.cumsum(many[part])
-        place = np.arange(end[-1] if len(end) else 0) + np.repeat(low[part] - (end - m), m)
-        pair = np.unique(np.repeat(query[part], m) * len(ids) + filed[1][place])
-        q, r = pair // len(ids), pair % len(ids)
-        keep = own[q] != ids[r]
-        q, r = q[keep], r[keep]
-        at = to
-        if not len(q):
-            continue
-        score = np.concatenate([np.einsum("ij,ij->i", y[q[i : i + PAIRS]], x[r[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)])
-        order = np.lexsort((-score, q))
+class _Best:
+    """The pairs that may still be among the k best of their queries; ``least`` is the score below which a query's pairs are not."""
+
+    def __init__(self, own: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        self.own, self.y, self.ids, self.x, self.k = own, y, ids, x, k
+        self.off, self.least = _rounding(y, x), np.full(len(own), -np.inf)
+        self.found: list[tuple] = []
+        self.new, self.limit = 0, max(PAIRS, 2 * k * len(own))
+
+    def score(self, query: np.ndarray, row: np.ndarray, due: np.ndarray | None = None) -> None:
+        """Meets all of ``query`` with all of ``row``; only pairs that are due count."""
+        score = self.y[query] @ self.x[row].T
+        hit = score >= self.least[query][:, None]
+        if due is not None:
+            hit &= due
+        q, r = np.nonzero(hit)
+        self.found.append((query[q], row[r], score[q, r]))
+        self.new += len(q)
+        if self.new >= self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        """Leaves each pair once, of each query those within rounding of its kth; where these are more, the k best by exact scores."""
+        q, r, score = (np.concatenate(v) for v in zip(*self.found)) if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        keep = (self.own[q] != self.ids[r]) & (score >= self.least[q])
+        q, r, score = q[keep], r[keep], score[keep]
+        pair = q * len(self.ids) + r
+        order = np.argsort(pair)
+        once = order[np.concatenate(([True], np.diff(pair[order]) > 0))[: len(order)]]
+        order = once[np.argsort(-score[once])]
+        order = order[np.argsort(q[order].astype(np.uint16), kind="stable")]  # SLICE queries at most
         q, r, score = q[order], r[order], score[order]
-        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))[: len(q)]
         size = np.diff(np.append(first, len(q)))
-        kth = np.repeat(score[first + np.minimum(size, k) - 1], size)
-        # all within rounding of the kth are compared by their exact scores
-        off = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((y[q[first]] ** 2).sum(1)) * np.sqrt((x * x).sum(1).max())
-        keep = score >= kth - np.repeat(off, size)
-        q, r = q[keep], r[keep]
-        value = _exact(y[q], x[r])
-        keep = best(q, ids[r], value, k)
-        yield own[q[keep]], ids[r[keep]], value[keep]
+        full = size >= self.k
+        with np.errstate(invalid="ignore"):
+            least = score[first[full] + self.k - 1] - self.off[q[first[full]]]
+        self.least[q[first[full]]] = np.where(np.isnan(least), -np.inf, least)
+        keep = score >= self.least[q]
+        q, r, score = q[keep], r[keep], score[keep]
+        tied = np.flatnonzero(np.bincount(q, minlength=len(self.own))[q] > self.k)
+        if len(tied):
+            keep = np.ones(len(q), bool)
+            keep[tied] = False
+            keep[tied[best(q[tied], self.ids[r[tied]], _values(self.y, q[tied], self.x, r[tied]), self.k)]] = True
+            q, r, score = q[keep], r[keep], score[keep]
+        self.found, self.new = [(q, r, score)], 0
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of queries and rows, and exact scores."""
+        self.cut()
+        q, r, _ = self.found[0]
+        value = _values(self.y, q, self.x, r)
+        keep = best(q, self.ids[r], value, self.k)
+        return self.own[q[keep]], self.ids[r[keep]], value[keep]
+
+
+def _matched(own: np.ndarray, y: np.ndarray, asked: tuple, ids: np.ndarray, x: np.ndarray, filed: tuple, k: int, fine: int):
+    """Ids of queries and rows, and exact scores, of the k best of each query among the rows in its buckets; asked and filed: (bucket, place) sorted by bucket.
+
+    Buckets that share their axes but the last are scored as one matrix product, of which only pairs
+    in probed buckets count; where it is over DENSE pairs for each bucket, as one product for each bucket.
+    """
+    at_row, block = runs(filed[0])[0], runs(filed[0] // fine)[0]
+    for begin in range(0, len(own), SLICE):
+        some = slice(begin, begin + SLICE)
+        kept = _Best(own[some], y[some], ids, x, k)
+        mine = (asked[1] >= begin) & (asked[1] < begin + SLICE)
+        name, query = asked[0][mine], asked[1][mine] - begin
+        place = np.zeros(len(kept.own), np.int64)
+        for a, z in zip(block[:-1], block[1:]):
+            coarse = filed[0][a] // fine * fine
+            low, high = np.searchsorted(name, (coarse, coarse + fine))
+            if low == high:
+                continue
+            place[query[low:high]] = 1
+            who = np.flatnonzero(place)
+            place[who] = np.arange(len(who))
+            bounds = at_row[np.searchsorted(at_row, a) : np.searchsorted(at_row, z) + 1]
+            if len(who) * (z - a) <= DENSE * (len(bounds) - 1):
+                due = np.zeros((len(who), fine), bool)
+                due[place[query[low:high]], name[low:high] - coarse] = True
+                kept.score(who, filed[1][a:z], due[:, filed[0][a:z] - coarse])
+            else:
+                lows, highs = (np.searchsorted(name, filed[0][bounds[:-1]], side) for side in ("left", "right"))
+                for i, j, u, v in zip(bounds[:-1], bounds[1:], lows, highs):
+                    step = max(1, 16 * PAIRS // (j - i))
+                    for w in range(u, v, step):
+                        kept.score(query[w : min(v, w + step)], filed[1][i:j])
+            place[who] = 0
+        yield kept.rows()
 
 
 def _entries(t: pa.Table, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +303,7 @@ def _entries(t: pa.Table, place: np.ndarray | None = None) -> tuple[np.ndarray,
     if place is not None:
         row = place[row]
         name, row = name[row >= 0], row[row >= 0]
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)
     return name[order], row[order]
 
 
@@ -227,12 +311,13 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score`` from tables (vec_id, e)."""
     keep = Scratch()
     once = lambda df: df.groupBy("vec_id").agg(F.min("e").alias("e"))
-    candidates, queries = once(candidates), once(queries)
-    width, longest = candidates.agg(F.max(F.size("e")), F.max(_length(F.col("e")))).first()
+    candidates = keep(once(candidates).mapInArrow(_measured, "vec_id bigint, e array<double>, length double"), "vectors")
+    queries = keep(once(queries), "queries")
+    width, longest = candidates.agg(F.max(F.size("e")), F.max("length")).first()
     width, longest = width or 1, longest or 0.0
     padded = 1 << max(1, (width - 1).bit_length())
     fine = 2 * padded
-    band = F.floor((F.lit(longest) - _length(F.col("e"))) / float(np.log(STEP))).cast("int")
+    band = F.floor((F.lit(longest) - F.col("length")) / float(np.log(STEP))).cast("int")
     counts = {r["band"]: r["count"] for r in candidates.groupBy(band.alias("band")).count().collect()}
     large = sorted(b for b, n in counts.items() if n >= FEW)
     first = {b: i * TABLES for i, b in enumerate(large)}  # a band's first table
@@ -290,32 +375,32 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     group, row, name = np.concatenate([group, far.ravel()]), np.concatenate([row, np.repeat(np.arange(len(ids)), scanned_parts)]), np.concatenate([name, np.full(far.size, SCANNED)])
                 yield from _rows(group, row, name, ids, x)
 
-    def run(t: pa.Table, q: pa.Table) -> dict[str, list]:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+    def run(t: pa.Table, q: pa.Table) -> dict[str, np.ndarray]:
+        out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
+        whole = lambda: {name: np.concatenate(parts) for name, parts in out.items()}
         if not t.num_rows or not q.num_rows:
-            return out
+            return whole()
         own, y = q["vec_id"].to_numpy(), np.frombuffer(b"".join(q["e"].to_pylist())).reshape(-1, width)
         all_ids, x = t["vec_id"].to_numpy(), np.frombuffer(b"".join(t["e"].to_pylist())).reshape(-1, width)
         ids, x = _first_copies(all_ids, x, k + 1)
 
         def add(query, row, value):
-            out["query_id"] += query.tolist()
-            out["vec_id"] += row.tolist()
-            out["score"] += value.tolist()
+            for parts, part in zip(out.values(), (query, row, value)):
+                parts.append(part)
 
         if t["b"][0].as_py() >= groups:
             for at in range(0, len(own), QUERIES):
                 query, row, value = _top(own[at : at + QUERIES], y[at : at + QUERIES], ids, x, k)
                 add(own[at : at + QUERIES][query], ids[row], value)
-            return out
+            return whole()
         order = np.argsort(ids)
         at = np.minimum(np.searchsorted(ids[order], all_ids), len(ids) - 1)
         place = np.where(ids[order][at] == all_ids, order[at], -1)
-        for found in _matched(own, y, _entries(q), ids, x, _entries(t, place), k):
+        for found in _matched(own, y, _entries(q), ids, x, _entries(t, place), k, fine):
             add(*found)
-        return out
+        return whole()
 
-    found = cogrouped(filed.mapInArrow(spread_vectors, SENT), queries.mapInArrow(spread_queries, SENT), "b", run, FOUND)
+    found = cogrouped(filed.mapInArrow(spread_vectors, SENT), queries.repartition(-(-max(asks, 1) // ASKED)).mapInArrow(spread_queries, SENT), "b", run, FOUND)
     # a vector comes from several tables, each time with the same exact score
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -351,6 +351,51 @@ def test_ann_finds_the_same_in_larger_tables(spark):
     assert len(still) > 100 and still <= set(found[1])
 
 
+def test_ann_sorts_few_of_the_pairs(monkeypatch):
+    """The best of all pairs in probed buckets, ties included, while fewer places are sorted than there are pairs."""
+    monkeypatch.setattr(ann_search, "PAIRS", 256)
+    rng, tables, fine, k = np.random.default_rng(8), 6, 128, 20
+    count, sort, lexsort, unique = [0], np.argsort, np.lexsort, np.unique
+
+    def counted(f, size):
+        def run(a, *args, **kwargs):
+            count[0] += size(a)
+            return f(a, *args, **kwargs)
+
+        return run
+
+    def found(x, dense):
+        monkeypatch.setattr(ann_search, "DENSE", dense)
+        ids, mine = np.arange(len(x)), np.arange(0, len(x), 20)
+        unit = ann_search._wide(x, 64)
+        name = np.stack([ann_search._own(unit, t) + t * fine**2 for t in range(tables)], 1)
+        probes = np.concatenate([ann_search._nearest_buckets(unit[mine], t, 362) + t * fine**2 for t in range(tables)], 1)
+        ordered = lambda m: (m.ravel()[o := sort(m.ravel(), kind="stable")], np.repeat(np.arange(len(m)), m.shape[1])[o])
+        asked, filed = ordered(probes), ordered(name)
+        count[0] = 0
+        with monkeypatch.context() as m:
+            m.setattr(np, "argsort", counted(sort, np.size))
+            m.setattr(np, "lexsort", counted(lexsort, lambda a: len(a[0])))
+            m.setattr(np, "unique", counted(unique, np.size))
+            parts = list(ann_search._matched(ids[mine], x[mine], asked, ids, x, filed, k, fine))
+        got = [np.concatenate(p).tolist() for p in zip(*parts)]
+        pairs = np.searchsorted(filed[0], asked[0], "right") - np.searchsorted(filed[0], asked[0])
+        return sorted(zip(*got)), count[0] / pairs.sum(), name, probes, mine
+
+    def brute(x, name, probes, mine):
+        for q, p in zip(mine, probes):
+            rows = np.setdiff1d(np.flatnonzero(np.isin(name, p).any(1)), q)
+            score = ann_search._exact(x[[q]], x[rows])
+            keep = lexsort((rows, -score))[:k]
+            yield from ((int(q), int(r), float(s)) for r, s in zip(rows[keep], score[keep]))
+
+    for x in (rng.normal(size=(2000, 64)), rng.integers(-1, 2, (2000, 64)).astype(float)):  # the second is full of equal scores
+        for dense in (0, 1 << 20):
+            got, _, *rest = found(x, dense)
+            assert got == sorted(brute(x, *rest))
+    assert found(rng.normal(size=(10_000, 64)), 2048)[1] < 1
+
+
 
 def test_license_scan(spark, empty):
     rows = [(1, "Licensed under the Apache Licence, Version 2.0."), (2, "ALL RIGHTS RESERVED. CC-BY, cc by"), (3, None), (4, ""), (5, "x" * 90_000 + " all rights reserved"), (6, "a General  Public, LICENSE and the general public licensee")]
