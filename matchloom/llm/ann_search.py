@@ -21,7 +21,8 @@ and hold over PART vectors are dealt by a hash of the vector's id into parts, so
 one that a third of all vectors share is many tasks; no bucket is capped and every vector is
 indexed.  Vectors without tables meet slices of SLICE queries.  Buckets of ASKED queries are sought by one task.
 Pairs are scored in matrix products, and of a query's pairs only those are sorted that are not below
-the kth score it has so far, so sorting follows the number of queries and not that of pairs.  Sizes of
+the kth score it has so far.  Where there are over AHEAD groups, the first table of each band goes ahead: the
+kth score a query finds there goes with it to all groups of the others, so they keep and return few of its pairs.  Sizes of
 bands, and of what holds over PART vectors, are the only thing that reaches the driver.
 
 Recall and shares of candidates against brute force are in the README and in the tests.
@@ -39,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import Scratch, U, cogrouped, mix, runs
+from .shared import Scratch, U, cogrouped, drop, mix, runs, written
 from .vectors import QUERIES, best, matrix, usable
 
 TABLES, POLYTOPES, PART, SLICE, ASKED = 24, 2, 8192, 16_384, 512
@@ -48,11 +49,14 @@ STEP, FEW = 1.1, 256
 PROBES = 362
 #: The bucket of all bands with fewer than FEW vectors.
 SCANNED = -1
+#: Groups over which the first table goes ahead.
+AHEAD = 48
 #: Pairs kept until the first cut at least, pairs of a bucket from which on it is scored alone, and bucket entries of a group.
 PAIRS, DENSE, ENTRIES = 1 << 16, 2048, 150_000
 FOUND = "query_id bigint, vec_id bigint, score double"
 HASHED = "vec_id bigint, e array<double>, buckets array<bigint>"
 SENT = "b bigint, vec_id bigint, e binary, buckets binary"
+ASKS = f"{SENT}, least double"
 
 
 def rotated(x: np.ndarray, table: int) -> np.ndarray:
@@ -152,8 +156,8 @@ def _group(coarse: np.ndarray, part: np.ndarray, groups: int) -> np.ndarray:
     return (mix(coarse.astype(np.uint64) * U(1 << 20) + part.astype(np.uint64)) % U(groups)).astype(np.int64)
 
 
-def _rows(group: np.ndarray, row: np.ndarray, name: np.ndarray, ids: np.ndarray, x: np.ndarray):
-    """Entries (group, row, bucket) as one record for each group and row, vectors as binary."""
+def _rows(group: np.ndarray, row: np.ndarray, name: np.ndarray, ids: np.ndarray, x: np.ndarray, **more: np.ndarray):
+    """Entries (group, row, bucket) as one record for each group and row, vectors as binary; ``more`` are further columns of rows."""
     key = group * len(ids) + row
     order = np.argsort(key.astype(np.min_scalar_type(int(key.max(initial=0)))), kind="stable")
     group, row, name = group[order], row[order], name[order]
@@ -161,7 +165,8 @@ def _rows(group: np.ndarray, row: np.ndarray, name: np.ndarray, ids: np.ndarray,
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
         ends = np.append(new, len(group))[at + 1 : at + 1 + len(some)]
-        yield pa.RecordBatch.from_arrays([pa.array(group[some]), pa.array(ids[row[some]]), pa.array([x[i].tobytes() for i in row[some]], pa.binary()), pa.array([name[a:z].tobytes() for a, z in zip(some, ends)], pa.binary())], names=["b", "vec_id", "e", "buckets"])
+        sent = {"b": group[some], "vec_id": ids[row[some]], "e": pa.array([x[i].tobytes() for i in row[some]], pa.binary()), "buckets": pa.array([name[a:z].tobytes() for a, z in zip(some, ends)], pa.binary())}
+        yield pa.RecordBatch.from_pydict(sent | {column: v[row[some]] for column, v in more.items()})
 
 
 def _first_copies(ids: np.ndarray, x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +208,20 @@ def _top(own: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int)
 
 
 class _Best:
-    """The pairs that may still be among the k best of their queries; ``least`` is the score below which a query's pairs are not."""
+    """The pairs that may still be among the k best of their queries; ``least`` is the score below which a query's pairs are not, at first as found elsewhere."""
 
-    def __init__(self, own: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+    def __init__(self, own: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray):
         self.own, self.y, self.ids, self.x, self.k = own, y, ids, x, k
         self.off, self.least = _rounding(y, x), np.full(len(own), -np.inf)
+        self.raise_to(np.arange(len(own)), least)
         self.found: list[tuple] = []
         self.new, self.limit = 0, max(PAIRS, 2 * k * len(own))
 
+    def raise_to(self, query: np.ndarray, kth: np.ndarray) -> None:
+        """Each query has k pairs that score at least ``kth``."""
+        with np.errstate(invalid="ignore"):
+            self.least[query] = np.fmax(self.least[query], kth - self.off[query])
+
     def score(self, query: np.ndarray, row: np.ndarray, due: np.ndarray | None = None) -> None:
         """Meets all of ``query`` with all of ``row``; only pairs that are due count."""
         score = self.y[query] @ self.x[row].T
@@ -237,9 +248,7 @@ class _Best:
         first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))[: len(q)]
         size = np.diff(np.append(first, len(q)))
         full = size >= self.k
-        with np.errstate(invalid="ignore"):
-            least = score[first[full] + self.k - 1] - self.off[q[first[full]]]
-        self.least[q[first[full]]] = np.where(np.isnan(least), -np.inf, least)
+        self.raise_to(q[first[full]], score[first[full] + self.k - 1])
         keep = score >= self.least[q]
         q, r, score = q[keep], r[keep], score[keep]
         tied = np.flatnonzero(np.bincount(q, minlength=len(self.own))[q] > self.k)
@@ -259,16 +268,18 @@ class _Best:
         return self.own[q[keep]], self.ids[r[keep]], value[keep]
 
 
-def _matched(own: np.ndarray, y: np.ndarray, asked: tuple, ids: np.ndarray, x: np.ndarray, filed: tuple, k: int, fine: int):
+def _matched(own: np.ndarray, y: np.ndarray, asked: tuple, ids: np.ndarray, x: np.ndarray, filed: tuple, k: int, fine: int, least: np.ndarray | None = None):
     """Ids of queries and rows, and exact scores, of the k best of each query among the rows in its buckets; asked and filed: (bucket, place) sorted by bucket.
 
     Buckets that share their axes but the last are scored as one matrix product, of which only pairs
     in probed buckets count; where it is over DENSE pairs for each bucket, as one product for each bucket.
+    Pairs below ``least`` need not be found.
     """
+    least = np.full(len(own), -np.inf) if least is None else least
     at_row, block = runs(filed[0])[0], runs(filed[0] // fine)[0]
     for begin in range(0, len(own), SLICE):
         some = slice(begin, begin + SLICE)
-        kept = _Best(own[some], y[some], ids, x, k)
+        kept = _Best(own[some], y[some], ids, x, k, least[some])
         mine = (asked[1] >= begin) & (asked[1] < begin + SLICE)
         name, query = asked[0][mine], asked[1][mine] - begin
         place = np.zeros(len(kept.own), np.int64)
@@ -311,7 +322,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score`` from tables (vec_id, e)."""
     keep = Scratch()
     once = lambda df: df.groupBy("vec_id").agg(F.min("e").alias("e"))
-    candidates = keep(once(candidates).mapInArrow(_measured, "vec_id bigint, e array<double>, length double"), "vectors")
+    candidates = written(once(candidates).mapInArrow(_measured, "vec_id bigint, e array<double>, length double"), "vectors")
     queries = keep(once(queries), "queries")
     width, longest = candidates.agg(F.max(F.size("e")), F.max("length")).first()
     width, longest = width or 1, longest or 0.0
@@ -323,6 +334,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     first = {b: i * TABLES for i, b in enumerate(large)}  # a band's first table
     base = F.try_element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), band) if first else F.lit(None).cast("int")
     filed = keep(candidates.select("vec_id", "e", base.cast("bigint").alias("base")).mapInArrow(_filed(width, padded), HASHED), "filed")
+    drop(candidates)
     coarse = F.when(F.col("bucket") == SCANNED, F.lit(SCANNED)).otherwise(F.floor(F.col("bucket") / fine))
     sizes = filed.select(F.explode("buckets").alias("bucket")).groupBy(coarse.alias("coarse")).count().where(F.col("count") > PART)
     many = {r["coarse"]: -(-r["count"] // PART) for r in sizes.collect()}
@@ -338,20 +350,22 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         at = np.minimum(np.searchsorted(hot, coarse), len(hot) - 1)
         return np.where(hot[at] == coarse, hot_parts[at], 1)
 
-    def spread_vectors(batches):
+    def spread_vectors(batches, tables: range):
         for batch in batches:
             t = pa.Table.from_batches([batch])
             ids, x = t["vec_id"].to_numpy(), matrix(t, width)
             name = t["buckets"].combine_chunks().flatten().to_numpy()
             row = np.repeat(np.arange(len(ids)), t["buckets"].combine_chunks().value_lengths().to_numpy())
             deal = mix(ids.astype(np.int64).view(np.uint64))
-            some = name == SCANNED
-            c = name[~some] // fine
-            group = _group(c, (deal[row[~some]] % parts_of(c).astype(np.uint64)).astype(np.int64), groups)
-            far = groups + (deal[row[some]] % U(scanned_parts)).astype(np.int64)[:, None] * slices + np.arange(slices)
-            yield from _rows(np.concatenate([group, far.ravel()]), np.concatenate([row[~some], np.repeat(row[some], slices)]), np.concatenate([name[~some], np.repeat(name[some], slices)]), ids, x)
-
-    def spread_queries(batches):
+            far_row = row[(name == SCANNED) & (TABLES - 1 in tables)]
+            near = (name != SCANNED) & np.isin(name // fine**POLYTOPES % TABLES, tables)
+            name, row = name[near], row[near]
+            c = name // fine
+            group = _group(c, (deal[row] % parts_of(c).astype(np.uint64)).astype(np.int64), groups)
+            far = groups + (deal[far_row] % U(scanned_parts)).astype(np.int64)[:, None] * slices + np.arange(slices)
+            yield from _rows(np.concatenate([group, far.ravel()]), np.concatenate([row, np.repeat(far_row, slices)]), np.concatenate([name, np.full(far.size, SCANNED)]), ids, x)
+
+    def spread_queries(batches, tables: range):
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
@@ -359,7 +373,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 ids, x = t["vec_id"].to_numpy(), matrix(t, width)
                 unit, row, name = _wide(x, padded), [], []
                 for begin, count in tries:
-                    for table in range(TABLES):
+                    for table in tables:
                         found = _nearest_buckets(unit, table, min(count, fine**POLYTOPES)) + (begin + table) * fine**POLYTOPES
                         row.append(np.repeat(np.arange(len(ids)), found.shape[1]))
                         name.append(found.ravel())
@@ -369,11 +383,11 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 end = np.cumsum(parts)
                 part = np.arange(end[-1] if len(end) else 0) - np.repeat(end - parts, parts)
                 group, row, name = _group(np.repeat(c, parts), part, groups), np.repeat(row, parts), np.repeat(name, parts)
-                if scans:
+                if scans and TABLES - 1 in tables:
                     deal = (mix(ids.astype(np.int64).view(np.uint64) ^ U(77)) % U(slices)).astype(np.int64)
                     far = groups + np.arange(scanned_parts) * slices + deal[:, None]
                     group, row, name = np.concatenate([group, far.ravel()]), np.concatenate([row, np.repeat(np.arange(len(ids)), scanned_parts)]), np.concatenate([name, np.full(far.size, SCANNED)])
-                yield from _rows(group, row, name, ids, x)
+                yield from _rows(group, row, name, ids, x, least=t["least"].to_numpy())
 
     def run(t: pa.Table, q: pa.Table) -> dict[str, np.ndarray]:
         out = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
@@ -396,11 +410,24 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         order = np.argsort(ids)
         at = np.minimum(np.searchsorted(ids[order], all_ids), len(ids) - 1)
         place = np.where(ids[order][at] == all_ids, order[at], -1)
-        for found in _matched(own, y, _entries(q), ids, x, _entries(t, place), k, fine):
+        for found in _matched(own, y, _entries(q), ids, x, _entries(t, place), k, fine, q["least"].to_numpy()):
             add(*found)
         return whole()
 
-    found = cogrouped(filed.mapInArrow(spread_vectors, SENT), queries.repartition(-(-max(asks, 1) // ASKED)).mapInArrow(spread_queries, SENT), "b", run, FOUND)
+    def met(asked: DataFrame, tables: range) -> DataFrame:
+        """Pairs found in some tables of each band; the last ones bring those without tables."""
+        vectors = filed.mapInArrow(lambda batches: spread_vectors(batches, tables), SENT)
+        return cogrouped(vectors, asked.repartition(-(-max(asks, 1) // ASKED)).mapInArrow(lambda batches: spread_queries(batches, tables), ASKS), "b", run, FOUND)
+
+    none = F.lit(float("-inf"))
+    queries = queries.withColumn("least", none)
+    if large and groups > AHEAD:
+        ahead = keep(met(queries, range(1)), "ahead")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        kth = ahead.withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+        found = met(queries.join(kth, "vec_id", "left").select("vec_id", "e", F.coalesce("kth", none).alias("least")), range(1, TABLES)).unionAll(ahead)
+    else:
+        found = met(queries, range(TABLES))
     # a vector comes from several tables, each time with the same exact score
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -396,6 +396,17 @@ def test_ann_sorts_few_of_the_pairs(monkeypatch):
     assert found(rng.normal(size=(10_000, 64)), 2048)[1] < 1
 
 
+def test_ann_with_a_table_ahead(spark, monkeypatch):
+    """Scores that the first table finds leave out nothing that is among the nearest: bands, small ones, copies and equal scores."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.integers(-1, 2, (1500, 24)), np.ones((60, 24)), 0.3 * rng.normal(size=(700, 24)), 9 * rng.normal(size=(30, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) if v.any()], "vec_id bigint, embedding array<double>")
+    rows = [sorted(map(tuple, ann_search.nearest_query(df).collect()))]
+    monkeypatch.setattr(ann_search, "AHEAD", 0)
+    rows.append(sorted(map(tuple, ann_search.nearest_query(df).collect())))
+    assert len(rows[0]) > 2000 and rows[0] == rows[1]
+
+
 
 def test_license_scan(spark, empty):
     rows = [(1, "Licensed under the Apache Licence, Version 2.0."), (2, "ALL RIGHTS RESERVED. CC-BY, cc by"), (3, None), (4, ""), (5, "x" * 90_000 + " all rights reserved"), (6, "a General  Public, LICENSE and the general public licensee")]
