@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch, U, Words, buckets, cogrouped, flat, grouped, mix, pack, packed, runs, slot_filter, spread, text_bytes, unpack, windows
+from .shared import Scratch, U, Words, buckets, cogrouped, flat, grouped, joined, mix, pack, packed, runs, slices, slot_filter, spread, text_bytes, unpack, windows
 
 TOP = U(0xFFFFFFFFFFFFFFFF)
 ENTRIES = "b int, known boolean, who binary, docs binary, keys binary"
@@ -43,10 +43,12 @@ PLACES = "b int, known boolean, who binary, docs binary, pos binary"
 BOTH = "b int, known boolean, who binary, docs binary, keys binary, pos binary"
 #: The first level's windows have at least this many words.
 SHORTEST = 7
-#: Entries that a scan task gathers before it sends them.
+#: Entries that a scan task or a bucket of documents gathers before it sends them.
 FLUSH = 400_000
-#: Bytes of text in one bucket of documents.
-GROUP = 12e6
+#: Bytes of text in one bucket of documents. A bucket is whole in a worker, and an executor may have four.
+GROUP = 4e6
+#: Bytes of text that are hashed at once, which takes some fifty times as many for a while; a longer text is one part.
+SLICE = 250_000
 
 
 def _lowest(row: np.ndarray, h: np.ndarray, n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +66,11 @@ def _lowest(row: np.ndarray, h: np.ndarray, n: int, half: int) -> tuple[np.ndarr
     return place, low[place]
 
 
+def _parts(texts: pa.Table):
+    """A bucket's documents, about SLICE bytes of text at a time."""
+    return (part for batch in texts.to_batches() for part in slices(batch, limit=SLICE))
+
+
 def _key_bucket(keys: np.ndarray, count: int) -> np.ndarray:
     return (keys >> U(20)) % U(count)
 
@@ -137,9 +144,27 @@ def _extended(n: int, last: int, length: int, count: int):
             return out
         docs, _, keys = unpack(found, keys=np.uint64)
         wanted = np.unique(mix(docs.view(np.uint64)) ^ keys)
-        for batch in texts.to_batches(max_chunksize=256):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            words = Words(*flat(batch.column("text")))
+        del docs, keys
+
+        def flush():
+            w, doc, pos = (np.concatenate(x) for x in zip(*kept))
+            kept.clear()
+            order = np.lexsort((doc, w))
+            w, doc, pos = w[order], doc[order], pos[order]
+            begin, r = runs(w)
+            later = doc > doc[begin[:-1]][r]  # repeated for sure
+            if length < n:
+                parts = ((False, np.ones(len(w), bool), _key_bucket(w, count)),)
+            else:
+                parts = ((False, ~later, _key_bucket(w[~later], count)), (True, later, spread(doc[later], count)))
+            for known, keep, bucket in parts:
+                for k, v in pack(bucket, count, known, doc[keep], keys=w[keep], pos=pos[keep]).items():
+                    out[k] += v
+
+        kept, size = [], 0
+        for part in _parts(texts):
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            words = Words(*flat(part.column("text")))
             h = words.hashes()
             place, low = _lowest(words.row, h, n, last)
             if not len(place):
@@ -154,17 +179,13 @@ def _extended(n: int, last: int, length: int, count: int):
             if length < n:
                 keep = np.concatenate(([True], (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])))
                 w, doc, pos = w[keep], doc[keep], pos[keep]
-            order = np.lexsort((pos, doc, w))
-            w, doc, pos = w[order], doc[order], pos[order]
-            begin, r = runs(w)
-            later = doc > doc[begin[:-1]][r]  # repeated for sure
-            if length < n:
-                parts = ((False, np.ones(len(w), bool), _key_bucket(w, count)),)
-            else:
-                parts = ((False, ~later, _key_bucket(w[~later], count)), (True, later, spread(doc[later], count)))
-            for known, keep, bucket in parts:
-                for k, v in pack(bucket, count, known, doc[keep], keys=w[keep], pos=pos[keep]).items():
-                    out[k] += v
+            kept.append((w, doc, pos))
+            size += len(w)
+            if size > FLUSH:
+                flush()
+                size = 0
+        if kept:
+            flush()
         return out
 
     return run
@@ -222,9 +243,9 @@ def repeated_places(docs: DataFrame, keep: Scratch, n: int = 13, shortest: int =
     total = text_bytes(known)
     count = buckets(spark, total / 24, 1e6)
     home = buckets(spark, total, GROUP)
-    survivors = keep(grouped(packed(known, _level(n, levels[0], count), ENTRIES), "b", _repeated(home), ENTRIES), "windows")
+    survivors = keep(grouped(packed(known, _level(n, levels[0], count), ENTRIES, limit=SLICE), "b", _repeated(home), ENTRIES), "windows")
     for last, length in zip(levels, levels[1:]):
-        split = slot_filter(survivors.select("docs").mapInArrow(_ids, "id bigint"), "id")
+        split = slot_filter(grouped(survivors.select("b", "docs"), "b", _ids, "id bigint"), "id")
         texts = split(known, "doc_id")[0].withColumn("b", _home(home))
         extended = cogrouped(texts, survivors, "b", _extended(n, last, length, count if length < n else home), BOTH)
         if length == n:
@@ -235,11 +256,9 @@ def repeated_places(docs: DataFrame, keep: Scratch, n: int = 13, shortest: int =
     return None, None, home
 
 
-def _ids(batches):
-    for batch in batches:
-        found = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
-        ids = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["id"])
+def _ids(t: pa.Table) -> dict[str, np.ndarray]:
+    """A bucket's documents, each once; they are in no other bucket."""
+    return {"id": np.unique(joined(t["docs"], np.int64))}
 
 
 def _home(count: int):
@@ -270,8 +289,8 @@ def remove_repeats(docs: DataFrame, n: int = 13, shortest: int = SHORTEST) -> Da
         none = np.zeros(0, np.int64)
 
         def rows():
-            for batch in t.to_batches(max_chunksize=256):
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            for part in _parts(t):
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
                     yield doc, _one(text or b"", at.get(doc, none), n)
 
         return _result(rows())
@@ -281,10 +300,10 @@ def remove_repeats(docs: DataFrame, n: int = 13, shortest: int = SHORTEST) -> Da
             yield _result((doc, _kept(text or b"", np.zeros(0, np.int64), n)) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()))
 
     if split is None:
-        return packed(docs, whole, RESULT)
+        return packed(docs, whole, RESULT, limit=SLICE)
     possible, others = split(docs, "doc_id")
     first = cogrouped(possible.withColumn("b", _home(home)), places, "b", apart, RESULT)
-    return first.unionAll(packed(others, whole, RESULT))
+    return first.unionAll(packed(others, whole, RESULT, limit=SLICE))
 
 
 def _one(text: bytes, starts: np.ndarray, n: int):

@@ -80,6 +80,33 @@ def test_substring_dedup(docs, empty):
     assert [r.n_removed for r in substring_dedup.remove_repeats(alone).collect()] == [0]
 
 
+def test_substring_dedup_hashes_little_text_at_once():
+    rng, n = random.Random(7), 13
+    words = [f"word{i}" for i in range(5000)]
+    copied = [rng.choice(words) for _ in range(40)]
+    rows = [[rng.choice(words) for _ in range(2500)] for _ in range(250)]
+    for i in range(0, 250, 10):
+        rows[i][99:141] = [f"left{i}", *copied, f"right{i}"]
+    ids = np.arange(250) * 3
+    made = pa.table({"doc_id": ids, "text": [" ".join(w) for w in rows]})
+    lows = [substring_dedup._lowest(x.row, x.hashes(), n, 7)[1] for x in (substring_dedup.Words(*substring_dedup.flat(pa.array([" ".join(w)]))) for w in rows)]
+    packed = substring_dedup.pack(np.zeros(sum(map(len, lows)), np.int64), 1, False, np.repeat(ids, [len(x) for x in lows]), keys=np.concatenate(lows))
+    found = pa.table({k: packed[k] for k in ("b", "known", "who", "docs", "keys")})
+    for length in (7, n):
+        tracemalloc.start()
+        out = substring_dedup._extended(n, 7, length, 4)(made, found)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made.nbytes > 5e6 and peak < 100e6
+    parts, got = pa.table(out), []
+    for b in range(4):
+        places = substring_dedup._later(4)(parts.filter(pa.array([x == b for x in out["b"]])))
+        docs, _, pos = substring_dedup.unpack(pa.table(places), pos=np.uint32)
+        got += zip(docs.tolist(), pos.tolist())
+    assert sorted(got) == [(30 * i, 100 + j) for i in range(1, 25) for j in range(28)]
+    assert substring_dedup._ids(pa.table({"docs": [np.array(x).tobytes() for x in ([3, 9], [9], [3, 6])]}))["id"].tolist() == [3, 6, 9]
+
+
 def test_ngram_join(docs, empty):
     sets = {}
     for i, t in collected(docs):
